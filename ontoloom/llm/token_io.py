@@ -10,7 +10,9 @@ starts, so that all runs of a block are decoded side by side, one token of each
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ GROUP = 128
 #: Tokens from which on a block is full.
 BLOCK_TOKENS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-MEMO = 800_000
+MEMO = 1_400_000
+#: Closing marks: characters that are neither letters, digits nor white space.
+MARKS = ".,;:!?%$&*#|"
 END_ID = 2
 
 
@@ -67,34 +71,39 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(texts), 512):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 512], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 512], add_special_tokens=False)]
         return out
 
+    def _cut(self, piece: str) -> list[str]:
+        """The pre-tokens of a space and a piece; letters, or letters and closing marks, need no pattern."""
+        if piece.isalpha():
+            return [" " + piece]
+        stem = piece.rstrip(MARKS)
+        if stem.isalpha():
+            return [" " + stem, piece[len(stem) :]]
+        return self.split(" " + piece)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        """The ids of each text as 32-bit integers of the machine's order (little-endian)."""
         if len(self.pieces) + len(self.tokens) > MEMO:
             self.pieces.clear()
             self.tokens.clear()
         pieces, tokens = self.pieces, self.tokens
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if EXTRA_SPACE.search(text) or text[:1].isspace() or text[-1:].isspace():
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-        fresh = {x for part in cut if part for x in part if x not in pieces}
-        parts = {x: self.split(x) for x in fresh}
-        new = list({t for p in parts.values() for t in p if t not in tokens})
+        # A text is its first piece, whole in odd cases, and the pieces that follow a space.
+        cut = [[t] if EXTRA_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
+        heads = self._encode([c.pop(0) for c in cut])
+        parts = {x: self._cut(x) for x in set().union(*cut).difference(pieces)}
+        new = list(set().union(*parts.values()).difference(tokens))
         tokens.update(zip(new, self._encode(new)))
+        get = tokens.__getitem__
         for x, p in parts.items():
-            pieces[x] = tokens[p[0]] if len(p) == 1 else b"".join([tokens[t] for t in p])
-        whole = iter(self._encode([t for t, part in zip(texts, cut) if part is None]))
-        return [next(whole) if part is None else b"".join(map(pieces.__getitem__, part)) for part in cut]
+            pieces[x] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        get = pieces.__getitem__
+        return [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids packed as zlib-compressed differences of nothing: plain little-endian 32-bit integers, compressed."""
+    """(doc_id, n_tokens, ids), the ids packed for the intermediate table."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -102,7 +111,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder, end, squeeze = Encoder.cached(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in chunks([len(x) for x in texts], 2 << 20):
+            for a, b in chunks([len(x) for x in texts]):
                 ids = [x + end for x in encoder.encode(texts[a:b])]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -296,8 +305,6 @@ def encode_corpus(docs: DataFrame, tokenizer: str | None = None, folder: str | N
     Null texts are empty and have the end id only. Rows with equal ids are all written, ordered by length and content; null ids come first
     and stay null. Other columns are ignored. An empty table gives an empty corpus and result.
     """
-    import uuid
-
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ontoloom/corpus-{uuid.uuid4().hex}"
     write_corpus(docs, folder, tokenizer)
