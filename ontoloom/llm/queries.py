@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from ontoloom.llm import decontam, mixing, neardup, ngram_rules, token_io, urlfilter, warc
+from ontoloom.llm import decontam, mixing, neardup, ngram_rules, quality, substring_dedup, token_io, toxicity, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_io.op1_token_ids,
+        quality.op2_quality_classifier,
         warc.op3_resolve_revisits,
+        toxicity.op4_toxicity,
         decontam.op5_decontaminate,
         ngram_rules.op6_quality_rules,
         neardup.op7_minhash_near_dedup,
         urlfilter.op8_url_filter,
         mixing.op9_mix_sources,
+        substring_dedup.op10_suffix_dedup,
     )
 }
 
