@@ -174,7 +174,7 @@ for _name, (_strategy, _select) in _FUSIONS.items():
     query(_name, _fused_sql(_select))(_fusion(_strategy))
 
 # Time series.
-_MS = "epoch_ms(ts)"
+_MS = "(epoch_us(ts) // 1000)"
 
 
 def _bucket_sql(width: int) -> str:
@@ -250,7 +250,7 @@ def ts_peer_outliers(spark, d):
     return A.peer_outliers(views.table(spark, d, "events"), "user_id", "value").select("event_id", "user_id", "value")
 
 
-@query("ts_sliding_rate", """WITH w AS (SELECT epoch_ms(ts) // 1000 // 1800 * 1800 - 1800 * k AS s FROM events, range(2) t(k)) SELECT make_timestamp(s * 1000000) AS start, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 9) AS per_second FROM w GROUP BY s""")
+@query("ts_sliding_rate", """WITH w AS (SELECT epoch_us(ts) // 1000000 // 1800 * 1800 - 1800 * k AS s FROM events, range(2) t(k)) SELECT make_timestamp(s * 1000000) AS start, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 9) AS per_second FROM w GROUP BY s""")
 def ts_sliding_rate(spark, d):
     rows = A.sliding_rate(views.table(spark, d, "events"), "1 hour", "30 minutes")
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("per_second", 9).alias("per_second"))
@@ -425,7 +425,7 @@ def props_extract(spark, d):
     return views.table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("followed_by", "SELECT user_id, event_id AS item_id, lead(event_id) OVER w AS next_id, epoch_ms(lead(ts) OVER w) - epoch_ms(ts) AS time_delta_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lead(event_id) OVER w IS NOT NULL")
+@query("followed_by", "SELECT user_id, event_id AS item_id, lead(event_id) OVER w AS next_id, epoch_us(lead(ts) OVER w) // 1000 - epoch_us(ts) // 1000 AS time_delta_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lead(event_id) OVER w IS NOT NULL")
 def followed_by(spark, d):
     e = views.table(spark, d, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("item_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
     return logs.followed_by(e).withColumnRenamed("chain", "user_id")
