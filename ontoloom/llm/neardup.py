@@ -4,7 +4,8 @@
    Exact copies share a class and go on as one node.
 2. Nodes with a band key in common form a bucket. In each round every member of a bucket is compared with one hub,
    not with all others; links found merge components, and only buckets that still hold several components go on.
-3. What stays after the hub rounds is compared pair by pair, over components that differ, so that no link is lost.
+3. What stays after the hub rounds meets by its rarest shingles, which is exact and parts the members of a large bucket that
+   have just a passage in common; pairs from different components are compared, so that no link is lost.
 4. Pairs are confirmed on full sets of 64-bit shingle hashes.
 """
 
@@ -220,8 +221,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if active.isEmpty():
             break
     else:
-        other = active.select("key", F.col("uid").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-        pairs = active.join(other, "key").where((F.col("uid") < F.col("b")) & (F.col("comp") != F.col("cb")) & alike("n_shingles", "nb"))
+        keyed = _still_open(_by_rare_shingles(active.select("uid", "n_shingles").distinct(), sets, percent), comps)
+        other = keyed.select("key", F.col("uid").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"), F.col("before").alias("bb"))
+        left = F.least(F.col("n_shingles") - F.col("place"), F.col("nb") - F.col("pb"))
+        pairs = keyed.join(other, "key").where((F.col("uid") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("nb"))) & ~F.arrays_overlap("before", "bb"))
         new = Saved(confirmed(pairs.select(F.col("uid").alias("a"), "b").distinct()), "links").df
         comps = Saved(connected_components(edges.unionByName(new)), "comps")
 
@@ -237,9 +240,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uid, n, packed in zip(batch.column("uid").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("shingles")):
+            values = np.frombuffer(packed.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_pydict({"uid": np.full(len(values), uid), "n_shingles": np.full(len(values), n), "key": values})
+
+
+#: Sizes of sets are put in bands, each so many times the one before.
+SIZE_STEP = 1.06
+#: Of the shingles before a key's, so many are kept to leave out pairs that met there already.
+EARLIER = 64
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: Saved, percent: int) -> DataFrame:
+    """(key, uid, n_shingles, place, before): the shingles by which a node can meet a similar one, and their places in the node's order.
+
+    Sets of sizes n and m with the wanted similarity have at least percent * (n + m) / (100 + percent) shingles in common. So if all
+    shingles are put in one order, the first common one has at least so many from its place on, in either set. In the
+    order of their frequency among the nodes the rare ones come first; a node whose first shingles are all its own
+    meets none. As the bound depends on both sizes, a key is a shingle with two bands of sizes, the node's own and
+    its partner's, and the node is listed there only if the shingle comes early enough for such a partner.
+    """
+    tokens = Saved(nodes.join(sets.sized(), "uid").mapInArrow(_tokens, "uid long, n_shingles long, key long"), "tokens").df
+    known = Saved(tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "known")
+    common = tokens.join(known.sized(), "key").groupBy("uid", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("t"))
+    early = f"(n_shingles - least(n_shingles, (n_shingles * {percent} + 99) div 100) + 1)"  # for the smallest partner
+    placed = common.withColumn("own", F.col("n_shingles") - F.size("t")).where(f"own < {early}")
+    placed = placed.select("uid", "n_shingles", "own", F.col("t.key").alias("key"), F.posexplode(F.expr(f"slice(t, 1, cast({early} - own as int))")).alias("k", "t"))
+    placed = placed.withColumn("before", F.expr(f"slice(key, greatest(1, k + 1 - {EARLIER}), least(k, {EARLIER}))"))
+    band = F.floor(F.log("n_shingles") / F.log(F.lit(SIZE_STEP))).cast("int")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(SIZE_STEP)))
+    placed = placed.select("uid", "n_shingles", F.col("t.key").alias("token"), (F.col("own") + F.col("k")).alias("place"), band.alias("band"), "before")
+    met = placed.withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).where("other >= 0")
+    smallest = F.pow(F.lit(SIZE_STEP), F.col("other")) * 0.999999
+    met = met.where((100 + percent) * (F.col("n_shingles") - F.col("place")) >= percent * (F.col("n_shingles") + smallest))
+    return met.select(F.xxhash64("token", F.least("band", "other"), F.greatest("band", "other")).alias("key"), "uid", "n_shingles", "place", "before")
+
+
 def _still_open(members: DataFrame, comps: Saved) -> DataFrame:
     """Members of the buckets that hold more than one component."""
-    labelled = members.join(comps.sized(), members["uid"] == F.col("node"), "left").select("key", "uid", "n_shingles", F.coalesce("component", "uid").alias("comp"))
+    labelled = members.join(comps.sized(), members["uid"] == F.col("node"), "left").select(*members.columns, F.coalesce("component", "uid").alias("comp"))
     labelled = Saved(labelled, "labelled").df
     open_keys = Saved(labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high")).select("key"), "open")
     return Saved(labelled.join(open_keys.sized(), "key", "left_semi"), "active").df
