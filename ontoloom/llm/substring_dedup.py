@@ -237,6 +237,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_contexts: int = GRO
                     "offset": np.arange(len(h), dtype=np.int64), "away": np.arange(len(h), dtype=np.int64) - row["shift"], "digest": h,
                 })
 
+    def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [spans_of(np.array(x), length) for x in batch.column("starts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("context_id"), *(pa.array([r[k] for r in runs], pa.list_(pa.int64())) for k in (0, 1))], names=["context_id", "starts", "ends"])
+
     # A context that several places have is repeated as a whole; the others are compared with each other and with one of each such kind.
     whole = kinds.where((F.col("n") > 1) & (F.octet_length("context") >= length)).select("context_id", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.octet_length("context").cast("long")).alias("ends"))
     several = kinds.select("context_id", "hash", "shift", "context").join(Saved(kinds.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "several").sized(), "hash")
@@ -247,8 +252,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_contexts: int = GRO
         strings = several.join(large.sized(), "hash", "left_semi").select("context_id", "hash", "shift", "context").mapInArrow(digests, "context_id binary, hash long, offset long, away long, digest long")
         strings = Saved(strings, "strings").df
         twice = strings.groupBy("hash", "away", "digest").count().where(F.col("count") > 1).drop("count")
-        by_digest = strings.join(twice, ["hash", "away", "digest"]).groupBy("context_id").agg(F.array_sort(F.collect_list("offset")).alias("starts"))
-        found = found.unionByName(by_digest.withColumn("ends", F.transform("starts", lambda x: x + length)))
+        starts = strings.join(twice, ["hash", "away", "digest"]).groupBy("context_id").agg(F.array_sort(F.collect_list("offset")).alias("starts"))
+        found = found.unionByName(starts.mapInArrow(join_runs, "context_id binary, starts array<long>, ends array<long>"))
     found = found.groupBy("context_id").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("ranges"))
     ranges = contexts.select("uid", "low", "context_id").join(found, "context_id").select("uid", F.transform("ranges", lambda r: F.struct((r["starts"] + F.col("low")).alias("a"), (r["ends"] + F.col("low")).alias("b"))).alias("ranges"))
     by_text = ranges.groupBy("uid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
