@@ -29,6 +29,8 @@ BAND_ROWS, BANDS = 6, 40
 DOMAIN_BITS = 20
 #: Rounds in which the members of a bucket meet a hub only.
 HUB_ROUNDS = 2
+#: 64-bit words that mark a set: bit k is the parity of the shingles whose hash begins with k. Two sets differ in at least as many shingles as bits.
+MARKS = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +146,9 @@ def _set_maker(words: int):
             for a, b in chunks([len(x or b"") for x in batch.column("words").to_pylist()], 2 << 20):
                 part = batch.slice(a, b - a)
                 sets = [np.unique(shingler.hashes(x)).tobytes() for x in part.column("words").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"uid": part.column("uid"), "shingles": pa.array(sets, pa.binary())})
+                parity = [np.packbits((np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * MARKS) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+                marks = {f"m{k}": pa.array([x[k] for x in parity], pa.int64()) for k in range(MARKS)}
+                yield pa.RecordBatch.from_pydict({"uid": part.column("uid"), "shingles": pa.array(sets, pa.binary())} | marks)
 
     return make
 
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     nodes = Saved(classes.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "c1", "c2"), "nodes")
     found = docs.select("text").mapInArrow(_classes, "c1 long, c2 long, words binary").join(nodes.sized(), ["c1", "c2"])
-    sets = Saved(found.groupBy("uid").agg(F.first("words").alias("words")).mapInArrow(_set_maker(words), "uid long, shingles binary"), "sets")
+    sets = Saved(found.groupBy("uid").agg(F.first("words").alias("words")).mapInArrow(_set_maker(words), "uid long, shingles binary" + "".join(f", m{k} long" for k in range(MARKS))), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose sets are similar enough."""
@@ -222,9 +226,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             break
     else:
         keyed = _still_open(_by_rare_shingles(active.select("uid", "n_shingles").distinct(), sets, percent), comps)
-        other = keyed.select("key", F.col("uid").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"), F.col("before").alias("bb"))
+        keyed = keyed.join(sets.sized().drop("shingles"), "uid")
+        other = keyed.select("key", *[F.col(f"m{k}").alias(f"o{k}") for k in range(MARKS)], F.col("uid").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"), F.col("before").alias("bb"))
         left = F.least(F.col("n_shingles") - F.col("place"), F.col("nb") - F.col("pb"))
-        pairs = keyed.join(other, "key").where((F.col("uid") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("nb"))) & ~F.arrays_overlap("before", "bb"))
+        sizes, apart = F.col("n_shingles") + F.col("nb"), sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(MARKS)), F.lit(0))
+        pairs = keyed.join(other, "key").where((F.col("uid") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("nb"))) & ~F.arrays_overlap("before", "bb") & ((100 + percent) * (sizes - apart) >= 2 * percent * sizes))
         new = Saved(confirmed(pairs.select(F.col("uid").alias("a"), "b").distinct()), "links").df
         comps = Saved(connected_components(edges.unionByName(new)), "comps")
 
