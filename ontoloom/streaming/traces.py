@@ -48,7 +48,11 @@ def assign_traces(events: DataFrame) -> DataFrame:
 
 
 def assign_traces_stream(events: DataFrame) -> DataFrame:
-    """Stream form: each agent's traces are kept as state. Sessions stay known; agents without events for a day are forgotten."""
+    """Stream form: each agent's traces are kept as state. Sessions stay known; agents without events for a day are forgotten.
+
+    A processing-time timeout asks for another batch after every batch, so a query with the trigger availableNow ends only with
+    spark.sql.streaming.noDataMicroBatches.enabled set to false.
+    """
     import json
 
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
