@@ -171,9 +171,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_contexts: int = GRO
             uid += len(data)
 
     with_digest = texts.select(F.md5("text").alias("digest"), "text")
-    scanned = Saved(with_digest.mapInArrow(find, "digest string, uid long, n_bytes long, places array<long>, hashes array<long>"), "anchors").df
+    scanned = Saved(with_digest.mapInArrow(find, "digest string, uid long, n_bytes long, places array<long>, hashes array<long>"), "anchors")
     one = F.min(F.struct("uid", "n_bytes", "places", "hashes")).alias("r")
-    distinct = Saved(scanned.groupBy("digest").agg(F.count("*").alias("copies"), one).select("digest", "copies", "r.*"), "texts").df
+    distinct = Saved(scanned.df.groupBy("digest").agg(F.count("*").alias("copies"), one).select("digest", "copies", "r.*"), "texts").df
+    scanned.delete()
     placed = distinct.select("uid", F.explode(F.arrays_zip("places", "hashes")).alias("a")).select("uid", F.col("a.places").alias("place"), F.col("a.hashes").alias("hash"))
     shared = Saved(placed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
     wanted = placed.join(shared.sized(), "hash").groupBy("uid").agg(F.collect_list(F.struct("place", "hash")).alias("at"))
@@ -194,8 +195,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_contexts: int = GRO
                     })
 
     chosen = with_digest.join(wanted.sized(), "digest").groupBy("uid").agg(F.first("text").alias("text"), F.first("at").alias("at"))
-    contexts = Saved(chosen.mapInArrow(cut, "uid long, low long, hash long, shift int, context_id binary, context binary"), "contexts").df
-    kinds = Saved(contexts.groupBy("context_id").agg(F.count("*").alias("n"), F.first("hash").alias("hash"), F.first("shift").alias("shift"), F.first("context").alias("context")), "kinds").df
+    contexts = Saved(chosen.mapInArrow(cut, "uid long, low long, hash long, shift int, context_id binary, context binary"), "contexts")
+    places = Saved(contexts.df.select("uid", "low", "context_id"), "places").df
+    kinds = Saved(contexts.df.groupBy("context_id").agg(F.count("*").alias("n"), F.first("hash").alias("hash"), F.first("shift").alias("shift"), F.first("context").alias("context")).withColumn("kind", F.monotonically_increasing_id()), "kinds").df
+    contexts.delete()
     large = Saved(kinds.groupBy("hash").count().where(F.col("count") > group_contexts).select("hash"), "large")
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,34 +231,40 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_contexts: int = GRO
             yield done(held)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(hash, digest, kind, offset) of each string; the digest is also of the distance from the anchor."""
         rolling = RollingHash()
         for batch in batches:
-            for row in batch.to_pylist():
-                h = rolling.of(np.frombuffer(row["context"], np.uint8), length).view(np.int64)
+            for base in range(0, len(batch), 256):
+                part = batch.slice(base, 256)
+                shifts, found = part.column("shift").to_pylist(), [rolling.of(np.frombuffer(x, np.uint8), length) for x in part.column("context").to_pylist()]
+                sizes = [len(h) for h in found]
+                offset = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                away = (offset - np.repeat(shifts, sizes)).astype(np.int64).view(np.uint64)
                 yield pa.RecordBatch.from_pydict({
-                    "context_id": pa.array([row["context_id"]] * len(h), pa.binary()), "hash": pa.array([row["hash"]] * len(h), pa.int64()),
-                    "offset": np.arange(len(h), dtype=np.int64), "away": np.arange(len(h), dtype=np.int64) - row["shift"], "digest": h,
+                    "hash": pa.array(np.repeat(part.column("hash").to_numpy(), sizes)), "digest": _mix(np.concatenate(found) + away).view(np.int64),
+                    "kind": pa.array(np.repeat(part.column("kind").to_numpy(), sizes)), "offset": offset,
                 })
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = [spans_of(np.array(x), length) for x in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("context_id"), *(pa.array([r[k] for r in runs], pa.list_(pa.int64())) for k in (0, 1))], names=["context_id", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), *(pa.array([r[k] for r in runs], pa.list_(pa.int64())) for k in (0, 1))], names=["kind", "starts", "ends"])
 
     # A context that several places have is repeated as a whole; the others are compared with each other and with one of each such kind.
     whole = kinds.where((F.col("n") > 1) & (F.octet_length("context") >= length)).select("context_id", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.octet_length("context").cast("long")).alias("ends"))
-    several = kinds.select("context_id", "hash", "shift", "context").join(Saved(kinds.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "several").sized(), "hash")
+    several = kinds.select("context_id", "hash", "shift", "context", "kind").join(Saved(kinds.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "several").sized(), "hash")
     usual = several.join(large.sized(), "hash", "left_anti")
     by_sorting = usual.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_groups, "context_id binary, starts array<long>, ends array<long>")
     found = whole.unionByName(by_sorting)
     if not large.df.isEmpty():
-        strings = several.join(large.sized(), "hash", "left_semi").select("context_id", "hash", "shift", "context").mapInArrow(digests, "context_id binary, hash long, offset long, away long, digest long")
-        strings = Saved(strings, "strings").df
-        twice = strings.groupBy("hash", "away", "digest").count().where(F.col("count") > 1).drop("count")
-        starts = strings.join(twice, ["hash", "away", "digest"]).groupBy("context_id").agg(F.array_sort(F.collect_list("offset")).alias("starts"))
-        found = found.unionByName(starts.mapInArrow(join_runs, "context_id binary, starts array<long>, ends array<long>"))
+        # The strings are many times the contexts, so they are made twice instead of being kept, and none is moved if those found twice are few.
+        strings = several.join(large.sized(), "hash", "left_semi").select("hash", "shift", "context", "kind").mapInArrow(digests, "hash long, digest long, kind long, offset int")
+        twice = Saved(strings.groupBy("hash", "digest").count().where(F.col("count") > 1).drop("count"), "twice")
+        starts = strings.join(twice.sized(), ["hash", "digest"]).groupBy("kind").agg(F.array_sort(F.collect_list("offset")).alias("starts"))
+        runs = starts.mapInArrow(join_runs, "kind long, starts array<long>, ends array<long>")
+        found = found.unionByName(kinds.select("kind", "context_id").join(runs, "kind").drop("kind"))
     found = found.groupBy("context_id").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("ranges"))
-    ranges = contexts.select("uid", "low", "context_id").join(found, "context_id").select("uid", F.transform("ranges", lambda r: F.struct((r["starts"] + F.col("low")).alias("a"), (r["ends"] + F.col("low")).alias("b"))).alias("ranges"))
+    ranges = places.join(found, "context_id").select("uid", F.transform("ranges", lambda r: F.struct((r["starts"] + F.col("low")).alias("a"), (r["ends"] + F.col("low")).alias("b"))).alias("ranges"))
     by_text = ranges.groupBy("uid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     spans = distinct.select("uid", "digest", "copies", "n_bytes").join(by_text, "uid", "left").where((F.col("copies") > 1) | F.col("ranges").isNotNull())
     everything = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")))
