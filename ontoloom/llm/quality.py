@@ -48,7 +48,7 @@ def statistics(text: str, data: bytes) -> list[float]:
         len(set(words)) / n,
         float(np.log1p(len(data) / len(lines))),
         float(-(used * np.log(used)).sum()),
-        sum(x[:1].isupper() for x in words[:: max(1, n // 2000)]) / min(n, len(words[:: max(1, n // 2000)]) or 1),
+        sum(x[:1].isupper() for x in words) / n,
     ]
 
 

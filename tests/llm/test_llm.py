@@ -279,3 +279,9 @@ def test_pipeline_stages(spark, tmp_path):
 def test_hash_of_kept_bytes(spark):
     done = substring_dedup.remove_repeats(frame(spark, [(1, "ab" * 10, "en", "a")])).select(F.sha2("kept", 256)).first()[0]
     assert done == hashlib.sha256(b"ab" * 10).hexdigest()
+
+
+def test_capital_share_is_of_all_words():
+    text = "\n".join(["One two three four five"] * 2000)
+    assert quality.statistics(text, text.encode())[-1] == pytest.approx(0.2)
+    assert quality.statistics(" \n ", b" \n ")[-1] == 0
