@@ -10,6 +10,7 @@ starts, so that all runs of a block are decoded side by side, one token of each
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -46,7 +47,7 @@ class Encoder:
     """Ids of texts. Byte-level BPE never merges over the borders of its pre-tokens, so each distinct one is encoded once.
 
     A text without two white-space characters in a row is first cut before each space; such a piece begins a pre-token, and
-    is remembered as a whole. Other texts go to the tokenizer as they are.
+    is remembered as a whole. Other texts, and those that hold an added token like <|endoftext|>, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([EXTRA_SPACE.pattern, *added])).search
         self.split = regex.compile(PATTERN).findall
         self.tokens: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -90,7 +92,7 @@ class Encoder:
             self.tokens.clear()
         pieces, tokens = self.pieces, self.tokens
         # A text is its first piece, whole in odd cases, and the pieces that follow a space.
-        cut = [[t] if EXTRA_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
+        cut = [[t] if self.whole(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
         heads = self._encode([c.pop(0) for c in cut])
         parts = {x: self._cut(x) for x in set().union(*cut).difference(pieces)}
         new = list(set().union(*parts.values()).difference(tokens))

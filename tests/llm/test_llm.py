@@ -285,3 +285,15 @@ def test_capital_share_is_of_all_words():
     text = "\n".join(["One two three four five"] * 2000)
     assert quality.statistics(text, text.encode())[-1] == pytest.approx(0.2)
     assert quality.statistics(" \n ", b" \n ")[-1] == 0
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_io.default_tokenizer())
+    texts = ["end <|endoftext|> next", "a<|endoftext|>b c", "<|endoftext|>", "x  <|endoftext|>", "<|endoftext|", "plain words"]
+    want = [[*t.encode(x, add_special_tokens=False).ids, token_io.END_ID] for x in texts]
+    assert want[0] == [437, 220, 50256, 1306, 2]
+    docs = frame(spark, [(k, x, "en", "a") for k, x in enumerate(texts)])
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_io.encode_corpus(docs).collect()}
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(want)}
