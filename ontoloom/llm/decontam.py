@@ -20,10 +20,12 @@ from ontoloom.llm.common import documents
 ERROR_RATE = 0.05
 #: Characters of the items that are matched in one scan.
 BLOCK_CHARS = 4_000_000
-#: Items with fewer characters after normalisation are too common to be evidence and are not searched.
+#: Items with fewer characters after normalisation must begin and end at word borders.
 MIN_CHARS = 40
 
 TOKEN = re.compile(r"[^\W_]+")
+#: Letters of scripts without spaces between words: Thai to Burmese, Khmer, kana, Han. There is a border on both sides of each.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
@@ -62,6 +64,30 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def is_border(text: str, k: int) -> bool:
+    """Whether a word of the normalised text may begin or end before its k-th character."""
+    return k <= 0 or k >= len(text) or " " in text[k - 1 : k + 1] or UNSPACED.search(text, k - 1, k + 1) is not None
+
+
+def distance(a: str, b: str) -> int:
+    """Edits between two whole strings."""
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a):
+        new = [k + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def bordered(item: str, text: str, start: int, most: int) -> int | None:
+    """The fewest errors of an occurrence that begins within most characters of start, between borders; None if it has more than most."""
+    begins = [a for a in range(max(0, start - most), min(len(text), start + most) + 1) if is_border(text, a)]
+    spans = [(a, b) for a in begins for b in range(a + max(1, len(item) - most), min(len(text), a + len(item) + most) + 1) if is_border(text, b)]
+    best = min((distance(item, text[a:b]) for a, b in spans), default=most + 1)
+    return best if best <= most else None
+
+
 class Matcher:
     """Finds the items of one block."""
 
@@ -91,16 +117,20 @@ class Matcher:
                     continue
                 _, item, errors = self.items[n]
                 start = end + 1 - size - offset  # of the item, if there were no insertions or deletions
-                if start >= 0 and text.startswith(item, start):
+                short = len(item) < MIN_CHARS
+                if start >= 0 and text.startswith(item, start) and (not short or is_border(text, start) and is_border(text, start + len(item))):
                     found[n] = 0
                     if first:
                         return [(self.items[n][0], 0)]
                     continue
-                if (n, start) in tried:
+                if errors == 0 or (n, start) in tried:
                     continue
                 tried.add((n, start))
                 window = text[max(0, start - errors) : start + len(item) + errors]
                 hit = myers(item, window, errors) if len(window) >= len(item) - errors else None
+                if hit and short:
+                    least = bordered(item, text, start, errors)
+                    hit = None if least is None else (least, 0)
                 if hit and hit[0] < found.get(n, errors + 1):
                     found[n] = hit[0]
                     if first:
@@ -109,13 +139,13 @@ class Matcher:
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, normalised, in blocks of about BLOCK_CHARS; null ids and short texts are left out, of a repeated id each text is kept."""
+    """The items, normalised, in blocks of about BLOCK_CHARS; null ids and texts without a letter or digit are left out, of a repeated id each text is kept."""
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-total // BLOCK_CHARS)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).distinct().collect()
-        found = sorted({(r["item_id"], x) for r in rows if len(x := normalise(r["text"])) >= MIN_CHARS})
+        found = sorted({(r["item_id"], x) for r in rows if (x := normalise(r["text"]))})
         if found:
             yield found
 
@@ -125,7 +155,8 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
 
     docs needs doc_id and text, items item_id and text; other columns are ignored. Null and empty texts match nothing. A repeated
     document gives its pairs once for each row, an item id with several texts once for each of them. Rows with null
-    doc_id match like others. Empty tables give an empty result. Whole texts are searched.
+    doc_id match like others. Empty tables give an empty result. Whole texts are searched. Items of fewer than MIN_CHARS characters have the same
+    budget (none below 1 / rate characters) and must stand between word borders.
     """
     id_type, item_type = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type.simpleString()}, item_id {item_type}, errors int"

@@ -297,3 +297,12 @@ def test_added_tokens_have_their_own_ids(spark):
     docs = frame(spark, [(k, x, "en", "a") for k, x in enumerate(texts)])
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_io.encode_corpus(docs).collect()}
     assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(want)}
+
+
+def test_short_items_are_searched(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "x = y_0"), (3, "cat"), (4, "法国的首都是什么"), (5, "?!")], "item_id long, text string")
+    texts = ["so: WHAT is the capital of france", "what is the captal of France now", "somewhat is the capital of france", "if x=y 0, concatenate", "a cat", "请问法国的首都是什么呢", "what is the capitol in france", "what is the capital of frances"]
+    docs = frame(spark, [(k, x, "en", "a") for k, x in enumerate(texts)])
+    got = {(r.doc_id, r.item_id): r.errors for r in decontam.leaks(docs, items).collect()}
+    assert got == {(0, 1): 0, (1, 1): 1, (3, 2): 0, (4, 3): 0, (5, 4): 0, (7, 1): 1}
+    assert {r.doc_id for r in decontam.without_leaks(docs, items).collect()} == {2, 6}
