@@ -60,6 +60,31 @@ def vec_similar_to_item(spark, d):
     return _rounded(vector.similar_to_item(views.vectors(spark, d), 0, 20, 0.1))
 
 
+# The same searches for every item whose id is divisible by 100.
+_ALL_SCORES = "scores AS (SELECT q.vec_id AS query_id, e.label AS collection, e.vec_id AS entity_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
+
+
+@query("vec_topk_queries", f"WITH {_ALL_SCORES} SELECT query_id, collection, entity_id, round(s, 6) AS score, row_number() OVER w AS rank FROM scores WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, entity_id) QUALIFY row_number() OVER w <= 10")
+def vec_topk_queries(spark, d):
+    return _rounded(vector.top_k_of_queries(views.vectors(spark, d), views.query_vectors(spark, d), 10))
+
+
+@query("vec_topk_per_type_queries", f"WITH {_ALL_SCORES} SELECT query_id, collection, entity_id, round(s, 6) AS score, row_number() OVER w AS rank FROM scores WINDOW w AS (PARTITION BY query_id, collection ORDER BY s DESC, entity_id) QUALIFY row_number() OVER w <= 5")
+def vec_topk_per_type_queries(spark, d):
+    return _rounded(vector.top_k_of_queries(views.vectors(spark, d), views.query_vectors(spark, d), 5, per_collection=True))
+
+
+@query("vec_expanded_queries", f"WITH {_ALL_SCORES}, hits AS (SELECT query_id, entity_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY s DESC, entity_id) AS k FROM scores WHERE collection IN (0, 1, 2, 3)) WHERE k <= 10 AND s >= 0.05) SELECT query_id, entity_id, 'item-' || entity_id AS name, round(s, 6) AS score, count(*) OVER (PARTITION BY query_id) AS total_count, row_number() OVER w AS rank FROM hits WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, entity_id) QUALIFY row_number() OVER w <= 10")
+def vec_expanded_queries(spark, d):
+    found = vector.vector_query_of_queries(views.vectors(spark, d), views.vector_entities(spark, d), views.query_vectors(spark, d), [0, 1, 2, 3], 10, 0.05)
+    return _rounded(found).drop("collection")
+
+
+@query("vec_similar_to_items", f"WITH {_ALL_SCORES}, t AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entity_id) <= 20) SELECT query_id, collection, entity_id, round(s, 6) AS score FROM t WHERE entity_id <> query_id AND s >= 0.1")
+def vec_similar_to_items(spark, d):
+    return _rounded(vector.similar_to_items(views.vectors(spark, d), views.query_vectors(spark, d), 20, 0.1))
+
+
 @query("vec_threshold_norm", "SELECT event_id, round(CASE WHEN value <= 0 THEN 0 WHEN value <= 1 THEN value ELSE value / 100 END, 9) AS threshold FROM events")
 def vec_threshold_norm(spark, d):
     return views.table(spark, d, "events").select("event_id", F.round(T.normalise_threshold(F.col("value")), 9).alias("threshold"))

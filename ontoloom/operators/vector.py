@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ontoloom.functions.text import cosine
 
@@ -51,5 +56,100 @@ def similar_to_item(vectors: DataFrame, item_id: object, n: int, threshold: floa
     return top_k(vectors, item["embedding"], n).where((F.col("entity_id") != F.lit(item_id)) & (F.col("score") >= threshold)).drop("rank")
 
 
+#: Queries that are sent to all rows at once, and rows that meet them at once.
+BLOCK_QUERIES, BLOCK_ROWS = 2048, 512
+
+
+def _dots(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(query, row) inner products, summed in the order of the dimensions so that equal rows have equal scores."""
+    out = np.zeros((len(queries), len(rows)))
+    for k in range(rows.shape[1]):
+        out += np.multiply.outer(queries[:, k], rows[:, k])
+    return out
+
+
+def _matrix(rows: list[list[float]]) -> np.ndarray:
+    if len({len(x) for x in rows}) > 1:
+        raise ValueError("dimension mismatch")
+    return np.array(rows, np.float64)
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    queries = queries.select("query_id", "embedding").where("query_id is not null and embedding is not null")
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    for n in range(blocks):
+        if block := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect():
+            yield [tuple(r) for r in block]
+
+
+def _candidates(vectors: DataFrame, queries: DataFrame, k: int, per_collection: bool) -> DataFrame:
+    """(query_id, collection, entity_id, score): the k best rows of each query in each task, or in each task and collection."""
+    types = {c: vectors.schema[c].dataType.simpleString() for c in ("collection", "entity_id")}
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, collection {types['collection']}, entity_id {types['entity_id']}, score double"
+    batch_types = [to_arrow_type(x) for x in (queries.schema["query_id"].dataType, vectors.schema["collection"].dataType, vectors.schema["entity_id"].dataType)]
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for block in _query_blocks(queries):
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, asked = [q for q, _ in shared.value], _matrix([x for _, x in shared.value])
+            norms, kept = np.sqrt((asked * asked).sum(axis=1)), {}
+            for batch in batches:
+                rows = [r for r in batch.to_pylist() if r["embedding"] is not None]
+                for a in range(0, len(rows), BLOCK_ROWS):
+                    part = rows[a : a + BLOCK_ROWS]
+                    data = _matrix([r["embedding"] for r in part])
+                    if data.shape[1] != asked.shape[1]:
+                        raise ValueError("dimension mismatch")
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        scores = _dots(data, asked) / np.multiply.outer(norms, np.sqrt((data * data).sum(axis=1)))
+                    found = (data != 0).any(axis=1)
+                    groups: dict = {}
+                    for n, r in enumerate(part):
+                        if found[n]:
+                            groups.setdefault(r["collection"] if per_collection else None, []).append(n)
+                    for group, at in groups.items():
+                        ids = np.broadcast_to(np.array([part[n]["entity_id"] for n in at]), (len(names), len(at)))
+                        of = np.broadcast_to(np.array([part[n]["collection"] for n in at], object), ids.shape)
+                        new = [scores[:, at], ids, of]
+                        if group in kept:
+                            new = [np.concatenate(x, axis=1) for x in zip(kept[group], new)]
+                        order = np.lexsort((new[1], -new[0]), axis=1)[:, :k]
+                        kept[group] = [np.take_along_axis(x, order, 1) for x in new]
+            for scores, ids, of in kept.values():
+                for n in np.flatnonzero(norms > 0).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([names[n]] * ids.shape[1], batch_types[0]), pa.array(of[n].tolist(), batch_types[1]), pa.array(ids[n].tolist(), batch_types[2]), pa.array(scores[n])], names=["query_id", "collection", "entity_id", "score"])
+
+        out = out.unionByName(vectors.select("collection", "entity_id", "embedding").mapInArrow(search, schema))
+    return out
+
+
+def top_k_of_queries(vectors: DataFrame, queries: DataFrame, k: int, per_collection: bool = False) -> DataFrame:
+    """(query_id, collection, entity_id, score, rank): top_k, or top_k_per_collection, for every row of queries (query_id, embedding), whose ids differ.
+
+    Each task keeps its k best rows of each query before they are shuffled. Null and zero vectors on either side give no row; ids
+    of entities aren't null; unequal dimensions are an error.
+    """
+    keys = ["query_id", "collection"] if per_collection else ["query_id"]
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "entity_id")
+    return _candidates(vectors, queries, k, per_collection).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def vector_query_of_queries(vectors: DataFrame, entities: DataFrame, queries: DataFrame, collections: list, limit: int = 10, min_score: float | None = None) -> DataFrame:
+    """vector_query for every row of queries (query_id, embedding); total_count and rank are those of each query."""
+    hits = top_k_of_queries(vectors.where(F.col("collection").isin(collections)), queries, limit, per_collection=True)
+    if min_score is not None:
+        hits = hits.where(F.col("score") >= min_score)
+    found = hits.drop("rank").join(entities, "entity_id")
+    found = found.withColumn("total_count", F.count("*").over(Window.partitionBy("query_id")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def similar_to_items(vectors: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
+    """similar_to_item for every row of items (query_id, embedding), whose ids are those of the items."""
+    return top_k_of_queries(vectors, items, n).where((F.col("entity_id") != F.col("query_id")) & (F.col("score") >= threshold)).drop("rank")
+
+
 def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("collection").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dimension"))

@@ -35,6 +35,11 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
     return [float(x) for x in table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()["embedding"]]
 
 
+def query_vectors(spark: SparkSession, sf_dir: str, step: int = 100) -> DataFrame:
+    """(query_id, embedding) of all items whose id is divisible by step."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def _id(kind: str, column: str):
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
 
