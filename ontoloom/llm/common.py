@@ -7,14 +7,15 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest Parquet size of a side that is broadcast; a larger side is joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Largest Parquet size of a side that is broadcast (several times as much in memory); a larger side is joined by a shuffle.
+BROADCAST_BYTES = 3 << 20
 
 #: A word, in the contracts of the operators: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,11 +23,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Shuffle files are removed once the query that wrote them is over.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, else an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ontoloom-")
         context.setCheckpointDir(found)
     return found
@@ -38,7 +45,12 @@ class Saved:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/ontoloom/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def _fs(self):
@@ -76,6 +88,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in parts whose texts have `most` bytes together, or are single, with the texts (null: empty); only one part is in Python at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in chunks(sizes, most):
+            part = batch.slice(a, b - a)
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+
+
 def chunks(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes sum to most at most, or single larger ones."""
     start = total = 0

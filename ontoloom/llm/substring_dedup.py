@@ -1,15 +1,16 @@
-"""Suffix-array dedup: longest-previous-factor arrays over groups of passages that share an anchor.
-
-A global suffix array doesn't fit a task. But two equal strings of L bytes have the same anchor: the 64-byte gram
-with the smallest hash, the leftmost of equals, at the same place. So only the surroundings of anchors that occur
-more than once are sorted, one group per anchor:
-1. One scan finds the anchors of each text; exact copies count as one text.
-2. For anchors that occur twice or more, a second scan cuts their contexts, all L-byte strings with that anchor; equal
-   contexts are counted, not repeated.
-3. In each group a suffix array of the distinct contexts, sorted by prefix doubling up to L bytes, gives for every position the
-   previous (or any other) position whose factor has L bytes or more.
-Groups with more than GROUP_CONTEXTS distinct contexts aren't sorted in one task: their L-byte strings are
-counted by digest, which Spark spreads over all tasks.
+"""Suffix-array dedup: longest-previous-factor arrays over groups of passages that share a gram.
+
+A global suffix array doesn't fit a task. But two equal strings of L bytes have the same anchor: the gram of L / 2 bytes with the
+smallest hash, the leftmost of equals, at the same distance. So only the surroundings of grams that occur more than once are sorted:
+1. One scan finds the anchors of each text, with the starts that each stands for; exact copies count as one text.
+2. For anchors that occur twice or more, a second scan cuts their contexts: the bytes before and after the gram that strings with this
+   anchor cover. Equal contexts are counted, not repeated; they are told apart by 128-bit digests of their bytes.
+3. The contexts of one gram form a group. A suffix array of several groups, in which the gram is one symbol, gives the previous and next
+   smaller positions in suffix order, and the common prefixes with these are the longest previous factors; the mirror image of
+   positions gives the longest later ones. A start with a factor of L bytes is repeated.
+4. A group of more than SORT_SYMBOLS is parted: its contexts are cut at ranges of distances from the anchor, and what the strings of one
+   range have in common becomes the gram by which they are grouped anew. So any number of contexts of one gram spreads over all
+   tasks; in the last step a range is a single distance, and all contexts of a group are equal.
 """
 
 from __future__ import annotations
@@ -23,16 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import Saved, documents
+from ontoloom.llm.common import Saved, documents, slices
 from ontoloom.llm.neardup import _mix
 
-GRAM = 64
-#: Positions that are searched for anchors at a time.
-SEGMENT_BITS = 22
-#: Distinct contexts of one anchor that are sorted in one task (3 MB).
-GROUP_CONTEXTS = 4096
-#: Bytes of contexts that are sorted at a time.
-SORT_BYTES = 2 << 20
+#: Starts that are searched for anchors at a time.
+SEGMENT_BITS = 18
+#: Symbols of contexts that are sorted at a time, 2 ** 21 - 1 at most.
+SORT_SYMBOLS = 1 << 19
+#: Distances from the anchor that contexts of large groups are cut at, step by step.
+RANGES = (24, 1)
 
 
 class RollingHash:
@@ -67,69 +67,88 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(backward[: n - size + 1], forward[size - 1 : n])
 
 
-def anchors(text: bytes, length: int, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all strings of `length` bytes."""
-    window, step = length - GRAM + 1, (1 << SEGMENT_BITS) - length
-    found, hashes = [], []
-    for base in range(0, max(0, len(text) - length + 1), step):
-        h = rolling.of(np.frombuffer(text, np.uint8)[base : base + step + length - 1], GRAM)
-        if len(h) < window:
-            break
-        mask = np.uint64((1 << SEGMENT_BITS) - 1)
+def anchors(text: bytes, length: int, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, low, high, hash) of the anchors of all strings of `length` bytes; an anchor stands for the starts low to high.
+
+    At the end of a segment the starts of an anchor may be parted; what is compared are starts, so that nothing is lost.
+    """
+    gram, step = length // 2, 1 << SEGMENT_BITS
+    window, mask = length - gram + 1, np.uint64((1 << (SEGMENT_BITS + 1)) - 1)
+    data, parts = np.frombuffer(text, np.uint8), []
+    for base in range(0, len(text) - length + 1, step):
+        h = rolling.of(data[base : base + step + length - 1], gram)
         key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)  # of equal grams, the leftmost
         place = (sliding_min(key, window) & mask).astype(np.int64)
-        place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-        found.append(place + base)
-        hashes.append(h[place])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, first = np.unique(np.concatenate(found), return_index=True)
-    return place, np.concatenate(hashes)[first].view(np.int64)
-
-
-def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Ranks of pairs, equal for equal pairs."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    step = np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(step)
+        low = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        high = np.append(low[1:] - 1, len(place) - 1)
+        parts.append((place[low] + base, low + base, high + base, h[place[low]].view(np.int64)))
+    if not parts:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _dense(keys: np.ndarray, n: int) -> np.ndarray:
+    """Ranks of pairs of ranks below 2 ** 21, equal for equal pairs; sorts pair and place in one integer."""
+    packed = (keys << np.uint64(21)) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    place = (packed & np.uint64((1 << 21) - 1)).astype(np.int64)
+    packed >>= np.uint64(21)
+    step = np.zeros(n, np.uint32)
+    step[1:] = packed[1:] != packed[:-1]
+    out = np.empty(n, np.uint32)
+    out[place] = np.cumsum(step, dtype=np.uint32)
     return out
 
 
-def factors(contexts: list[bytes], groups: list[int], shifts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix, earlier, other) for the positions in the joined contexts at which a string of `length` bytes starts.
+def _smaller_before(x: np.ndarray) -> np.ndarray:
+    """For each index, the nearest one before it with a smaller value, or -1: jumps over stretches that are known to be larger."""
+    jump = np.arange(-1, len(x) - 1)
+    open_ = np.arange(len(x))
+    while len(open_):
+        to = jump[open_]
+        open_ = open_[(to >= 0) & (x[to] > x[open_])]
+        jump[open_] = jump[jump[open_]]
+    return jump
+
+
+def longest_factors(symbols: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, later) for sorted starts: the lengths, `most` at most, of the longest factors from there that also begin at an earlier or a later start.
 
-    Suffixes are ranked by their first `length` bytes within a group and a distance from the anchor; as longer matches
-    don't matter, the longest previous factor is known to be long enough if the previous smaller position
-    in suffix order has the same rank. Sorted by (rank, position) that is the neighbour, and so is the next smaller
-    one for the factors of later positions. earlier: an earlier position matches; other: any other one does.
+    The suffix array is made by doubling prefixes up to `most` symbols. The longest previous factor of a position is the common prefix with the
+    previous or next smaller position in suffix order; common prefixes are read from the ranks of the doublings.
     """
-    joined = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
-    sizes = np.array([len(x) for x in contexts])
-    ends = np.cumsum(sizes)
-    n = int(ends[-1])
-    at = np.arange(n)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    # Only strings with the same group and distance from the anchor are compared: no position meets itself in another context.
-    offset = at - (ends - sizes)[owner] - np.array(shifts)[owner]
-    kind = np.array(groups)[owner] * np.int64(4 * length) + (offset + 2 * length)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | joined[k : k + n]
-    rank, have = _ranks(kind, word.view(np.int64)), 8  # bytes past a context's end are compared too, but lead to no string of full length
-    while have < length:
-        more = min(have, length - have)
-        partner = np.minimum(at + more, n - 1)
-        rank = _ranks(rank, rank[partner])
+    n = len(symbols) + most
+    padded = np.zeros(n, np.uint64)
+    padded[: len(symbols)] = symbols.astype(np.uint64) + 1
+    rank, have, levels = _dense(padded, n), 1, []
+    while have < most:
+        levels.append((have, rank))
+        more = min(have, most - have)
+        second = np.append(rank[more:], np.zeros(more, np.uint32)).astype(np.uint64)
+        rank = _dense((rank.astype(np.uint64) << np.uint64(21)) | second, n)
         have += more
-    start = np.flatnonzero(at + length <= ends[owner])
-    suffixes = start[np.lexsort((start, rank[start]))]
-    same = rank[suffixes][1:] == rank[suffixes][:-1]
-    earlier, later = np.concatenate([[False], same]), np.concatenate([same, [False]])
-    if not len(suffixes):
-        earlier = later = np.zeros(0, bool)
-    return suffixes, earlier, earlier | later
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b, full, length = a.copy(), b.copy(), rank[a] == rank[b], np.zeros(len(a), np.int64)
+        for k, ranks in reversed(levels):
+            same = np.where(ranks[a] == ranks[b], k, 0)
+            a, b, length = np.minimum(a + same, n - 1), np.minimum(b + same, n - 1), length + same
+        return np.where(full, most, np.minimum(length, most))
+
+    order = np.argsort(rank[starts], kind="stable")
+    suffixes = starts[order]
+    out = []
+    for at in (suffixes, -suffixes):
+        best = np.zeros(len(starts), np.int64)
+        for found, reverse in ((_smaller_before(at), False), (_smaller_before(at[::-1]), True)):
+            if reverse:
+                found = np.where(found >= 0, len(at) - 1 - found, -1)[::-1]
+            hit = np.flatnonzero(found >= 0)
+            best[hit] = np.maximum(best[hit], common(suffixes[hit], suffixes[found[hit]]))
+        lengths = np.empty(len(starts), np.int64)
+        lengths[order] = best
+        out.append(lengths)
+    return out[0], out[1]
 
 
 def spans_of(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -151,142 +170,225 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, group_contexts: int = GROUP_CONTEXTS) -> Saved:
-    """(digest, starts, ends): for each text with repeats, by its MD5 digest, the byte ranges covered by strings of `length` bytes that start anywhere else too.
+def _digest(key: bytes, left: bytes, right: bytes) -> bytes:
+    return hashlib.md5(b"%d " % len(left) + key + left + right).digest()
 
-    A text that several rows have is repeated as a whole, if it is long enough.
-    """
-    reach = length - GRAM
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, uid = RollingHash(), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            data = [x.encode() for x in batch.column("text").to_pylist()]
-            found = [anchors(x, length, rolling) for x in data]
-            yield pa.RecordBatch.from_pydict({
-                "digest": batch.column("digest"), "uid": np.arange(uid, uid + len(data)), "n_bytes": pa.array([len(x) for x in data], pa.int64()),
-                "places": pa.array([p for p, _ in found], pa.list_(pa.int64())), "hashes": pa.array([h for _, h in found], pa.list_(pa.int64())),
-            })
-            uid += len(data)
-
-    with_digest = texts.select(F.md5("text").alias("digest"), "text")
-    scanned = Saved(with_digest.mapInArrow(find, "digest string, uid long, n_bytes long, places array<long>, hashes array<long>"), "anchors")
-    one = F.min(F.struct("uid", "n_bytes", "places", "hashes")).alias("r")
-    distinct = Saved(scanned.df.groupBy("digest").agg(F.count("*").alias("copies"), one).select("digest", "copies", "r.*"), "texts").df
-    scanned.delete()
-    placed = distinct.select("uid", F.explode(F.arrays_zip("places", "hashes")).alias("a")).select("uid", F.col("a.places").alias("place"), F.col("a.hashes").alias("hash"))
-    shared = Saved(placed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
-    wanted = placed.join(shared.sized(), "hash").groupBy("uid").agg(F.collect_list(F.struct("place", "hash")).alias("at"))
-    wanted = Saved(distinct.select("uid", "digest").join(wanted, "uid"), "wanted")
+def _cutter(length: int):
+    """Contexts of the wanted anchors of each text; those that a text repeats are one row with several offsets."""
+    gram = length // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uid, text, at in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist()):
-                data = text.encode()
-                for k in range(0, len(at), 4096):
-                    part = at[k : k + 4096]
-                    low = [max(0, a["place"] - reach) for a in part]
-                    contexts = [data[b : a["place"] + length] for a, b in zip(part, low)]
+        for batch, texts in slices(batches):
+            for k, text in enumerate(texts):
+                data, at, rows = text.encode(), batch.column("at")[k].as_py(), {}
+                doc_id, uid = batch.column("doc_id").slice(k, 1), batch.column("uid")[k].as_py()
+                for a in at:
+                    place, low = a["place"], a["low"]
+                    key = hashlib.md5(data[place : place + gram]).digest()
+                    left, right = data[low:place], data[place + gram : a["high"] + length]
+                    rows.setdefault(_digest(key, left, right), (key, left, right, []))[3].append(low)
+                parts = [(i, key, left, right, sorted(lows)[b : b + 4096]) for i, (key, left, right, lows) in rows.items() for b in range(0, len(lows), 4096)]
+                for b in range(0, len(parts), 2048):
+                    ids, keys, lefts, rights, lows = zip(*parts[b : b + 2048])
+                    n = len(ids)
                     yield pa.RecordBatch.from_pydict({
-                        "uid": pa.array([uid] * len(part), pa.int64()), "low": pa.array(low, pa.int64()), "hash": pa.array([a["hash"] for a in part], pa.int64()),
-                        "shift": pa.array([a["place"] - b for a, b in zip(part, low)], pa.int32()),
-                        "context_id": pa.array([hashlib.md5(b"%d %d " % (a["hash"], a["place"] - b) + c).digest() for a, b, c in zip(part, low, contexts)], pa.binary()), "context": pa.array(contexts, pa.binary()),
+                        "owner": pa.array([uid] * n, pa.int64()), "offsets": pa.array(lows, pa.list_(pa.int32())), "doc_id": doc_id.take(pa.array([0] * n)), "uid": pa.array([uid] * n, pa.int64()),
+                        "at": pa.array([x[0] for x in lows], pa.int32()), "id": pa.array(ids, pa.binary()), "key": pa.array(keys, pa.binary()), "left": pa.array(lefts, pa.binary()), "right": pa.array(rights, pa.binary()),
                     })
 
-    chosen = with_digest.join(wanted.sized(), "digest").groupBy("uid").agg(F.first("text").alias("text"), F.first("at").alias("at"))
-    contexts = Saved(chosen.mapInArrow(cut, "uid long, low long, hash long, shift int, context_id binary, context binary"), "contexts")
-    places = Saved(contexts.df.select("uid", "low", "context_id"), "places").df
-    kinds = Saved(contexts.df.groupBy("context_id").agg(F.count("*").alias("n"), F.first("hash").alias("hash"), F.first("shift").alias("shift"), F.first("context").alias("context")).withColumn("kind", F.monotonically_increasing_id()), "kinds").df
-    contexts.delete()
-    large = Saved(kinds.groupBy("hash").count().where(F.col("count") > group_contexts).select("hash"), "large")
-
-    def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by hash. Several groups are sorted together."""
-        held: list[dict] = []
-        size = 0
-
-        def done(rows: list[dict]) -> pa.RecordBatch:
-            place = {h: k for k, h in enumerate(dict.fromkeys(r["hash"] for r in rows))}
-            suffixes, _, other = factors([r["context"] for r in rows], [place[r["hash"]] for r in rows], [r["shift"] for r in rows], length)
-            hits = np.sort(suffixes[other])
-            ends = np.cumsum([len(r["context"]) for r in rows])
-            owner = np.searchsorted(ends, hits, side="right")
-            cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-            out = []
-            for k, r in enumerate(rows):
-                if cuts[k] < cuts[k + 1]:
-                    out.append((r["context_id"], *spans_of(hits[cuts[k] : cuts[k + 1]] - (ends[k] - len(r["context"])), length)))
-            ids, starts, stops = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_pydict({"context_id": pa.array(ids, pa.binary()), "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(stops, pa.list_(pa.int64()))})
+    return cut
 
+
+def _parter(length: int, core: int, width: int):
+    """Cuts contexts at ranges of `width` distances from the anchor; the strings of a range have length - width + 1 bytes in common, or more in the last one."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if size >= SORT_BYTES and row["hash"] != held[-1]["hash"]:
-                    yield done(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["context"])
-        if held:
-            yield done(held)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hash, digest, kind, offset) of each string; the digest is also of the distance from the anchor."""
-        rolling = RollingHash()
-        for batch in batches:
-            for base in range(0, len(batch), 256):
-                part = batch.slice(base, 256)
-                shifts, found = part.column("shift").to_pylist(), [rolling.of(np.frombuffer(x, np.uint8), length) for x in part.column("context").to_pylist()]
-                sizes = [len(h) for h in found]
-                offset = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-                away = (offset - np.repeat(shifts, sizes)).astype(np.int64).view(np.uint64)
+            for b in range(0, len(batch), 1024):
+                rows = []
+                piece = batch.slice(b, 1024)
+                for k, (i, key, left, right) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("id", "key", "left", "right")))):
+                    far, near = len(left), length - core - len(right)  # distances of the first and the last start
+                    for j in range(near // width, far // width + 1):
+                        low, high = j * width, min(j * width + width - 1, length - core)
+                        first, last = min(high, far), max(low, near)
+                        tail, head = left[far - low :], right[: length - core - high]
+                        new = left[far - first : far - low], right[length - core - high : length - core - last]
+                        key_ = hashlib.md5(b"%d %d " % (j, len(tail)) + key + tail + head).digest()
+                        rows.append((k, i, far - first, key_, _digest(key_, *new), *new))
+                source, owner, offset, keys, ids, lefts, rights = zip(*rows)
+                of = pa.array(source)
                 yield pa.RecordBatch.from_pydict({
-                    "hash": pa.array(np.repeat(part.column("hash").to_numpy(), sizes)), "digest": _mix(np.concatenate(found) + away).view(np.int64),
-                    "kind": pa.array(np.repeat(part.column("kind").to_numpy(), sizes)), "offset": offset,
+                    "owner": pa.array(owner, pa.binary()), "offsets": pa.array([[x] for x in offset], pa.list_(pa.int32())), "doc_id": piece.column("doc_id").take(of), "uid": piece.column("uid").take(of),
+                    "at": pa.array([a + x for a, x in zip(piece.column("at").take(of).to_pylist(), offset)], pa.int32()), "id": pa.array(ids, pa.binary()), "key": pa.array(keys, pa.binary()),
+                    "left": pa.array(lefts, pa.binary()), "right": pa.array(rights, pa.binary()),
                 })
 
-    def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return part
+
+
+def _sorter(length: int, core: int, keep: str, most: int):
+    """Rows come sorted by key and order. Whole groups are sorted together, `most` symbols at a time."""
+    span = length - core + 1  # symbols of a string, of which the gram is one
+
+    def done(groups: list[list[tuple]]) -> pa.RecordBatch:
+        rows = [r for g in groups for r in g]
+        left, right = (np.array([len(r[k]) for r in rows]) for k in (1, 2))
+        ends = np.cumsum(left + right + 2)
+        begin = ends - left - right - 2
+        symbols = np.frombuffer(b"".join(x for _, a, b in rows for x in (a, b"\0", b, b"\0")), np.uint8).astype(np.int32)
+        symbols[begin + left] = 256 + np.repeat(np.arange(len(groups)), [len(g) for g in groups])  # the gram
+        symbols[ends - 1] = 256 + len(groups) + np.arange(len(rows))  # nothing matches across a context's end
+        many = left + right + 2 - span
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(begin, many) + inner
+        previous, later = longest_factors(symbols, starts, span)
+        hit = previous >= span if keep == "first" else np.maximum(previous, later) >= span
+        owner, inner = np.repeat(np.arange(len(rows)), many)[hit], inner[hit]
+        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+        out = [(r[0], *spans_of(inner[cuts[k] : cuts[k + 1]], length)) for k, r in enumerate(rows) if cuts[k] < cuts[k + 1]]
+        ids, a, b = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.binary()), "starts": pa.array(a, pa.list_(pa.int64())), "ends": pa.array(b, pa.list_(pa.int64()))})
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = []
+        group: list[tuple] = []
+        size = total = 0
+        last = None
         for batch in batches:
-            runs = [spans_of(np.array(x), length) for x in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), *(pa.array([r[k] for r in runs], pa.list_(pa.int64())) for k in (0, 1))], names=["kind", "starts", "ends"])
-
-    # A context that several places have is repeated as a whole; the others are compared with each other and with one of each such kind.
-    whole = kinds.where((F.col("n") > 1) & (F.octet_length("context") >= length)).select("context_id", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.octet_length("context").cast("long")).alias("ends"))
-    several = kinds.select("context_id", "hash", "shift", "context", "kind").join(Saved(kinds.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "several").sized(), "hash")
-    usual = several.join(large.sized(), "hash", "left_anti")
-    by_sorting = usual.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_groups, "context_id binary, starts array<long>, ends array<long>")
-    found = whole.unionByName(by_sorting)
-    if not large.df.isEmpty():
-        # The strings are many times the contexts, so they are made twice instead of being kept, and none is moved if those found twice are few.
-        strings = several.join(large.sized(), "hash", "left_semi").select("hash", "shift", "context", "kind").mapInArrow(digests, "hash long, digest long, kind long, offset int")
-        twice = Saved(strings.groupBy("hash", "digest").count().where(F.col("count") > 1).drop("count"), "twice")
-        starts = strings.join(twice.sized(), ["hash", "digest"]).groupBy("kind").agg(F.array_sort(F.collect_list("offset")).alias("starts"))
-        runs = starts.mapInArrow(join_runs, "kind long, starts array<long>, ends array<long>")
-        found = found.unionByName(kinds.select("kind", "context_id").join(runs, "kind").drop("kind"))
-    found = found.groupBy("context_id").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("ranges"))
-    ranges = places.join(found, "context_id").select("uid", F.transform("ranges", lambda r: F.struct((r["starts"] + F.col("low")).alias("a"), (r["ends"] + F.col("low")).alias("b"))).alias("ranges"))
-    by_text = ranges.groupBy("uid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    spans = distinct.select("uid", "digest", "copies", "n_bytes").join(by_text, "uid", "left").where((F.col("copies") > 1) | F.col("ranges").isNotNull())
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")))
-    return Saved(spans.select("digest", F.when(F.col("copies") > 1, everything).otherwise(F.col("ranges")).alias("ranges")), "spans")
+            for b in range(0, len(batch), 1024):
+                piece = batch.slice(b, 1024)
+                for key, *row in zip(*(piece.column(c).to_pylist() for c in ("key", "id", "left", "right"))):
+                    if key != last and group:
+                        if held and total + size > most:
+                            yield done(held)
+                            held, total = [], 0
+                        held.append(group)
+                        total += size
+                        group, size = [], 0
+                    last = key
+                    group.append(tuple(row))
+                    size += len(row[1]) + len(row[2]) + 2
+        for part in ([*held, group],) if total + size <= most else (held, [group]):
+            if part and part[-1]:
+                yield done(part)
+
+    return sort
+
+
+def _located(pieces: DataFrame, owner_type: str, length: int, core: int, ranges: tuple[int, ...], keep: str, most: int) -> DataFrame:
+    """(owner, ranges): what is repeated in the contexts of pieces, by their owner. pieces: owner, offsets, doc_id, uid, at, id, key, left, right."""
+    saved = Saved(pieces, "contexts")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "at")
+    kinds = saved.df.groupBy("id").agg(F.sum(F.size("offsets")).alias("n"), F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("key", "left", "right")])
+    kinds = Saved(kinds.withColumn("size", (F.octet_length("left") + F.octet_length("right") + core).cast("long")), "kinds")
+    places = Saved(saved.df.select("id", "owner", "offsets", order.alias("order")), "places")
+    saved.delete()
+    groups = Saved(kinds.df.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.col("size") + 2 - core).alias("symbols")).where("many > 1"), "groups")
+    fitting = Saved(groups.df.where(F.col("symbols") <= most).select("key"), "fitting")
+    large = Saved(groups.df.where(F.col("symbols") > most).select("key"), "large")
+    groups.delete()
+    columns = ("id", "key", "left", "right", "first")
+    several = kinds.df.join(fitting.sized(), "key").select(*columns)
+    found = Saved(several.repartition("key").sortWithinPartitions("key", "first").select(*columns[:4]).mapInArrow(_sorter(length, core, keep, most), "id binary, starts array<long>, ends array<long>"), "found")
+    ranged = found.df.select("id", F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b")).alias("ranges"))
+    if ranges and not large.df.isEmpty():
+        rest = kinds.df.join(large.sized(), "key", "left_semi").select("id", "key", "left", "right", "first.doc_id", "first.uid", "first.at")
+        wide = ranges[0]
+        cut = rest.mapInArrow(_parter(length, core, wide), _SCHEMA.format(owner="binary", doc_id=kinds.df.schema["first"].dataType["doc_id"].dataType.simpleString()))
+        inner = _located(cut, "binary", length, length - wide + 1, ranges[1:], keep, most)
+        ranged = ranged.unionByName(inner.withColumnRenamed("owner", "id"))
+    marks = kinds.df.select("id", "n", "first", "size").join(ranged, "id", "left").where((F.col("n") > 1) | F.col("ranges").isNotNull())
+    marks = Saved(marks, "marks")
+    for x in (kinds, found, fitting, large):
+        x.delete()
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
+    own = F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    if keep == "first":  # only the first place of a context has an earlier copy in other contexts at most
+        chosen = lambda k: F.when((F.col("order") == F.col("first")) & (k == 0), own).otherwise(whole)
+    else:
+        chosen = lambda k: F.when(F.col("n") > 1, whole).otherwise(own)
+    moved = F.flatten(F.transform("offsets", lambda x, k: F.transform(chosen(k), lambda r: F.struct((r["a"] + x).alias("a"), (r["b"] + x).alias("b")))))
+    out = Saved(places.df.join(marks.sized(), "id").select("owner", moved.alias("ranges")).groupBy("owner").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    marks.delete()
+    places.delete()
+    return out.df
+
+
+_SCHEMA = "owner {owner}, offsets array<int>, doc_id {doc_id}, uid long, at int, id binary, key binary, left binary, right binary"
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", most: int = SORT_SYMBOLS) -> Saved:
+    """(digest, doc_id, copies, n_bytes, ranges): for each text with repeats, by its MD5 digest, the byte ranges covered by strings of `length` bytes that start anywhere else too.
+
+    With keep="first", the ranges of strings with an earlier start: smaller doc_id (nulls last), then smaller position. copies: how many rows
+    have the text; doc_id: the smallest of theirs. A text that several rows have is repeated as a whole, if it is long enough.
+    """
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") >= length).withColumn("digest", F.unhex(F.md5("text")))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, uid = RollingHash(), TaskContext.get().partitionId() << 36
+        for batch, part in slices(batches):
+            data = [x.encode() for x in part]
+            found = [anchors(x, length, rolling) for x in data]
+            lists = {c: pa.array([f[k] for f in found], pa.list_(pa.int64() if c == "hashes" else pa.int32())) for k, c in enumerate(("places", "lows", "highs", "hashes"))}
+            yield pa.RecordBatch.from_pydict({"digest": batch.column("digest"), "doc_id": batch.column("doc_id"), "uid": np.arange(uid, uid + len(data)), "n_bytes": pa.array([len(x) for x in data], pa.int64())} | lists)
+            uid += len(data)
 
+    scanned = Saved(texts.mapInArrow(find, f"digest binary, doc_id {id_type}, uid long, n_bytes long, places array<int>, lows array<int>, highs array<int>, hashes array<long>"), "anchors")
+    known = scanned.df.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("r"), F.first("n_bytes").alias("n_bytes"))
+    distinct = Saved(known.select("digest", "copies", "r.doc_id", "r.uid", "n_bytes"), "texts")
+    # One row of each text goes on; the arrays of the others are left out without moving them, if these are few.
+    copied = Saved(distinct.df.where("copies > 1").select("digest", F.col("uid").alias("kept")), "copied")
+    others = Saved(scanned.df.select("digest", "uid").join(copied.sized(), "digest").where(F.col("uid") != F.col("kept")).select("uid"), "others")
+    chosen = scanned.df.join(others.sized(), "uid", "left_anti")
+    hashes = Saved(chosen.select("uid", F.explode(F.arrays_zip("places", "lows", "highs", "hashes")).alias("a")).select("uid", F.col("a.places").alias("place"), F.col("a.lows").alias("low"), F.col("a.highs").alias("high"), F.col("a.hashes").alias("hash")), "placed")
+    for x in (scanned, copied, others):
+        x.delete()
+    shared = Saved(hashes.df.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
+    wanted = hashes.df.join(shared.sized(), "hash").groupBy("uid").agg(F.collect_list(F.struct("place", "low", "high")).alias("at"))
+    wanted = Saved(distinct.df.select("uid", "digest", "doc_id").join(wanted, "uid"), "wanted")
+    hashes.delete()
+    shared.delete()
+    # By id as well as digest, so that the copies of a frequent text are not gathered.
+    side = wanted.sized().select("uid", "at", F.col("digest").alias("d"), F.col("doc_id").alias("i"))
+    sources = texts.join(side, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "uid", "text", "at")
+    cut = sources.mapInArrow(_cutter(length), _SCHEMA.format(owner="long", doc_id=id_type))
+    by_text = _located(cut, "long", length, length // 2, RANGES, keep, most).withColumnRenamed("owner", "uid")
+    wanted.delete()
+    spans = distinct.df.join(by_text, "uid", "left").where((F.col("copies") > 1) | F.col("ranges").isNotNull())
+    out = Saved(spans.select("digest", "doc_id", "copies", "n_bytes", "ranges"), "spans")
+    distinct.delete()
+    return out
 
-def remove_repeats(docs: DataFrame, length: int = 400, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", most: int = SORT_SYMBOLS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (array of start, end), kept (the bytes that are left).
 
     docs needs doc_id and text; other columns are ignored. A byte goes if it lies in a string of `length` bytes that also starts anywhere
-    else in any document, itself included; matches don't cross documents, overlaps count, and all copies go, the first too.
+    else in any document, itself included; matches don't cross documents, overlaps count, and all copies go, the first too. With
+    keep="first" the first copy stays: of equal strings the one in the smallest doc_id (nulls last), then at the smallest position.
 
     Null and empty texts have 0 bytes and no spans, as have all texts of fewer than `length` bytes. Null ids stay null. A repeated row is a copy
-    of its text, so every copy goes. An empty table gives an empty result.
+    of its text, so every copy goes; with keep="first", rows with the same id and text count as one document and stay alike. An
+    empty table gives an empty result. most: symbols that are sorted at a time.
     """
-    spans = repeated_spans(docs, length, group_contexts)
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    joined = text.join(spans.sized(), "digest", "left").select("doc_id", "text", "ranges")
+    if keep not in ("none", "first"):
+        raise ValueError("keep is none or first")
+    spans = repeated_spans(docs, length, keep, most)
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")))
+    again = F.col("copies") > 1
+    if keep == "first":
+        again &= ~F.col("doc_id").eqNullSafe(F.col("first_id"))
+    marked = text.join(spans.sized().withColumnRenamed("doc_id", "first_id"), "digest", "left")
+    joined = marked.select("doc_id", "text", F.when(again, everything).otherwise(F.col("ranges")).alias("ranges"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [x.encode() for x in batch.column("text").to_pylist()]
+        for batch, part in slices(batches):
+            data = [x.encode() for x in part]
             cuts = [merged([(r["a"], r["b"]) for r in x]) if x else [] for x in batch.column("ranges").to_pylist()]
             kept = [b"".join([x[a:b] for a, b in zip([0, *[b for _, b in c]], [*[a for a, _ in c], len(x)])]) if c else x for x, c in zip(data, cuts)]
             yield pa.RecordBatch.from_pydict({

@@ -76,19 +76,49 @@ def test_near_duplicates(docs, none):
     assert neardup.keep_one(docs, 4).count() < docs.count()
 
 
-@pytest.mark.parametrize("groups", [4096, 2])
-def test_suffix_dedup(docs, none, groups):
+def test_longest_factors():
+    rng = random.Random(0)
+    for _ in range(40):
+        n, most = rng.randrange(5, 80), rng.choice([1, 3, 7, 16])
+        symbols = [rng.randrange(2) for _ in range(n)]
+        starts = sorted(rng.sample(range(n), rng.randrange(1, n)))
+
+        def common(a, b):
+            k = 0
+            while k < most and max(a, b) + k < n and symbols[a + k] == symbols[b + k]:
+                k += 1
+            return k
+
+        previous, later = substring_dedup.longest_factors(np.array(symbols), np.array(starts), most)
+        for k, i in enumerate(starts):
+            assert previous[k] == max((common(i, j) for j in starts if j < i), default=0)
+            assert later[k] == max((common(i, j) for j in starts if j > i), default=0)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("most", [substring_dedup.SORT_SYMBOLS, 700])
+def test_suffix_dedup(spark, docs, none, keep, most):
+    """With 700 symbols nearly all groups are parted, down to single distances."""
+    periodic = frame(spark, [(300, "ab" * 700, "en", "a"), (301, "x" + "ab" * 300 + "y", "en", "a"), (302, "ab" * 200 + "c", "en", "a")])
+    docs = docs.unionByName(periodic)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    count = collections.Counter(x[k : k + 400] for _, x in rows if len(x) < 300_000 for k in range(len(x) - 399))
-    count["w" * 400] = 2
+    count, first = collections.Counter(), {}
+    for i, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for k in range(len(x) - 399 if len(x) < 300_000 else 0):
+            count[x[k : k + 400]] += 1
+            first.setdefault(x[k : k + 400], (i, x, k))
     want = []
     for i, x in rows:
-        hit = range(len(x) - 399) if len(x) >= 300_000 else [k for k in range(len(x) - 399) if count[x[k : k + 400]] > 1]
+        if len(x) >= 300_000:  # a run of one byte
+            hit = range(keep == "first", len(x) - 399)
+        else:
+            hit = [k for k in range(len(x) - 399) if (count[x[k : k + 400]] > 1 if keep == "none" else first[x[k : k + 400]] != (i, x, k))]
         spans = substring_dedup.merged([(k, k + 400) for k in hit])
-        want.append(repr((i, len(x), spans)))
-    got = substring_dedup.remove_repeats(docs, 400, groups).collect()
-    assert sorted(repr((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans])) for r in got) == sorted(want)
-    assert substring_dedup.remove_repeats(none).count() == 0
+        kept = b"".join(x[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(x)]))
+        want.append(repr((i, len(x), spans, hashlib.sha256(kept).hexdigest())))
+    got = substring_dedup.remove_repeats(docs, 400, keep, most).collect()
+    assert sorted(repr((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], hashlib.sha256(r.kept).hexdigest())) for r in got) == sorted(want)
+    assert substring_dedup.remove_repeats(none, 400, keep).count() == 0
 
 
 def test_token_ids(docs, none):
