@@ -201,7 +201,7 @@ def _cutter(length: int):
 
 
 def _parter(length: int, core: int, width: int):
-    """Cuts contexts at ranges of `width` distances from the anchor; the strings of a range have length - width + 1 bytes in common, or more in the last one."""
+    """Cuts contexts at ranges of `width` distances from the anchor; the strings of a range have length - width + 1 bytes in common."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +211,9 @@ def _parter(length: int, core: int, width: int):
                 for k, (i, key, left, right) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("id", "key", "left", "right")))):
                     far, near = len(left), length - core - len(right)  # distances of the first and the last start
                     for j in range(near // width, far // width + 1):
-                        low, high = j * width, min(j * width + width - 1, length - core)
-                        first, last = min(high, far), max(low, near)
+                        first, last = min(j * width + width - 1, far), max(j * width, near)
+                        low = min(j * width, length - core + 1 - width)  # the last range is filled up to the same width
+                        high = low + width - 1
                         tail, head = left[far - low :], right[: length - core - high]
                         new = left[far - first : far - low], right[length - core - high : length - core - last]
                         key_ = hashlib.md5(b"%d %d " % (j, len(tail)) + key + tail + head).digest()
@@ -295,7 +296,7 @@ def _located(pieces: DataFrame, owner_type: str, length: int, core: int, ranges:
     ranged = found.df.select("id", F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b")).alias("ranges"))
     if ranges and not large.df.isEmpty():
         rest = kinds.df.join(large.sized(), "key", "left_semi").select("id", "key", "left", "right", "first.doc_id", "first.uid", "first.at")
-        wide = ranges[0]
+        wide = min(ranges[0], length - core + 1)
         cut = rest.mapInArrow(_parter(length, core, wide), _SCHEMA.format(owner="binary", doc_id=kinds.df.schema["first"].dataType["doc_id"].dataType.simpleString()))
         inner = _located(cut, "binary", length, length - wide + 1, ranges[1:], keep, most)
         ranged = ranged.unionByName(inner.withColumnRenamed("owner", "id"))
