@@ -122,5 +122,3 @@ def words_of(data: bytes) -> list[bytes]:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-
-EXTRA_SPACE = re.compile(r"\s\s")

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import EXTRA_SPACE, Saved, chunks, documents, shared_dir, worker_state
+from ontoloom.llm.common import Saved, documents, shared_dir, slices, worker_state
 
 #: Longest code, in bits; the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -30,10 +31,12 @@ MAX_BITS = 18
 GROUP = 128
 #: Tokens from which on a block is full.
 BLOCK_TOKENS = 1 << 16
-#: Pieces of text whose ids a worker remembers.
-MEMO = 1_400_000
+#: Pieces that are encoded in one string.
+TOGETHER = 64
 #: Closing marks: characters that are neither letters, digits nor white space.
 MARKS = ".,;:!?%$&*#|"
+#: White space other than spaces and line ends, in the widest sense.
+BLANKS = r"\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 END_ID = 2
 
 
@@ -44,23 +47,25 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts. Byte-level BPE never merges over the borders of its pre-tokens, so each distinct one is encoded once.
+    """Ids of texts. Byte-level BPE never merges over the borders of its pre-tokens, so that each distinct piece of many texts is encoded once.
 
-    A text without two white-space characters in a row is first cut before each space; such a piece begins a pre-token, and
-    is remembered as a whole. Other texts, and those that hold an added token like <|endoftext|>, go to the tokenizer as they are.
+    A text is cut before each space and each line end; if no other white space follows there, a piece begins a pre-token. Closing
+    marks after a letter or digit are a pre-token too, so the piece is parted there. The distinct pieces go to the tokenizer joined,
+    many at a time; as each begins with its only space or line end, the ids that begin with one part them again. Texts with odd
+    pieces go to the tokenizer as they are: two white-space characters in a row, other white space, added tokens like <|endoftext|>.
     """
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([EXTRA_SPACE.pattern, *added])).search
-        self.split = regex.compile(PATTERN).findall
-        self.tokens: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.odd = "|".join([rf"(?s)^\n?$|^[{BLANKS}]|.[\n{BLANKS}]", *added])
+        self.odd_head = "|".join([rf"[ \n{BLANKS}]", *added])
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        # How byte-level vocabularies write a space and a line end.
+        self.begins[[k for token, k in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
 
     @classmethod
     def cached(cls, path: str) -> Encoder:
@@ -70,38 +75,56 @@ class Encoder:
             known[path] = cls(path)
         return known[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 512):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 512], add_special_tokens=False)]
-        return out
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for k in range(0, len(texts), 64):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False):
+                yield e.ids
+
+    def _pieces(self, pieces: pa.Array) -> list[np.ndarray]:
+        """[ids, sizes] of pieces, which all begin with their only space or line end."""
+        texts = pieces.to_pylist()
+        ids = [np.array(x, np.uint32) for x in self._encode(["".join(texts[a : a + TOGETHER]) for a in range(0, len(texts), TOGETHER)])]
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        return [flat, np.diff(np.flatnonzero(self.begins[flat]), append=len(flat))]
 
-    def _cut(self, piece: str) -> list[str]:
-        """The pre-tokens of a space and a piece; letters, or letters and closing marks, need no pattern."""
-        if piece.isalpha():
-            return [" " + piece]
-        stem = piece.rstrip(MARKS)
-        if stem.isalpha():
-            return [" " + stem, piece[len(stem) :]]
-        return self.split(" " + piece)
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
+        """[ids, sizes] of texts one by one."""
+        ids = list(self._encode(texts))
+        return [np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers of the machine's order (little-endian)."""
-        if len(self.pieces) + len(self.tokens) > MEMO:
-            self.pieces.clear()
-            self.tokens.clear()
-        pieces, tokens = self.pieces, self.tokens
-        # A text is its first piece, whole in odd cases, and the pieces that follow a space.
-        cut = [[t] if self.whole(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
-        heads = self._encode([c.pop(0) for c in cut])
-        parts = {x: self._cut(x) for x in set().union(*cut).difference(pieces)}
-        new = list(set().union(*parts.values()).difference(tokens))
-        tokens.update(zip(new, self._encode(new)))
-        get = tokens.__getitem__
-        for x, p in parts.items():
-            pieces[x] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-        get = pieces.__getitem__
-        return [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
+        pieces = cut.flatten().dictionary_encode()
+        which, first, words = pieces.indices.to_numpy(), cut.offsets.to_numpy(), pieces.dictionary
+        odd = pc.match_substring_regex(words, self.odd)
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        parted = pc.and_(pc.match_substring_regex(stems, r"[\pL\pN]$"), pc.not_equal(pc.binary_length(stems), pc.binary_length(words)))
+        stems = pc.if_else(parted, stems, words)
+        tails = pc.struct_field(pc.extract_regex(pc.if_else(parted, words, ""), f"(?P<tail>[{re.escape(MARKS)}]*)$"), "tail")
+        tails = pa.concat_arrays([tails, pa.array([""])]).dictionary_encode()
+        stems = pc.if_else(odd, "x", stems)  # in a text that is encoded as it is
+        stems = pc.if_else(pc.starts_with(stems, "\n"), stems, pc.binary_join_element_wise(" ", stems, "")).dictionary_encode()
+        heads = words.take(pieces.indices.take(pa.array(first[:-1])))  # no space before them
+        # A list of ids for each stem, each tail and each head; a piece is one of the first two and one of the tails.
+        parts = [self._pieces(stems.dictionary), self._texts(tails.dictionary.to_pylist()), self._texts(heads.to_pylist())]
+        sizes = np.concatenate([n for _, n in parts])
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), np.concatenate([x for x, _ in parts]))
+        n, tail_of = len(stems.dictionary), tails.indices.to_numpy()
+        both = np.empty((len(which), 2), np.int32)
+        both[:, 0], both[:, 1] = stems.indices.to_numpy()[which], n + tail_of[which]
+        both[first[:-1]] = np.stack([n + len(tails.dictionary) + np.arange(len(heads)), np.full(len(heads), n + tail_of[-1])], axis=1)
+        flat = lists.take(pa.array(both.ravel())).flatten().to_numpy().tobytes()
+        ends = 4 * np.append(0, np.cumsum(sizes[both].sum(axis=1)))[first]
+        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        is_odd = odd.to_numpy(zero_copy_only=False)[which]
+        is_odd[first[:-1]] = pc.match_substring_regex(heads, self.odd_head).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(np.logical_or.reduceat(is_odd, first[:-1])).tolist()
+        for k, x in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = np.array(x, np.uint32).tobytes()
+        return out
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -111,14 +134,12 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         import zstandard
 
         encoder, end, squeeze = Encoder.cached(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in chunks([len(x) for x in texts]):
-                ids = [x + end for x in encoder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids": pa.array([squeeze(_planes(x)) for x in ids], pa.binary()),
-                })
+        for batch, texts in slices(batches, most=10 << 20):
+            ids = [x + end for x in encoder.encode(texts)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids": pa.array([squeeze(_planes(x)) for x in ids], pa.binary()),
+            })
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 

@@ -125,7 +125,6 @@ def test_token_ids(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_io.default_tokenizer())
-    t.encode_special_tokens = True
     start, want = 0, []
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     for i, x in rows:
@@ -139,8 +138,12 @@ def test_token_ids(docs, none):
 
 def test_pieces_equal_whole_texts():
     e = token_io.Encoder(token_io.default_tokenizer())
-    texts = ["it's  a 'test'", "don't we'll, (x) 3.5% <|endoftext|> été!!", " lead", "trail ", "a\n\nb c", "über 12ab cd34", "x y z", "", "!"]
-    assert e.encode(texts) == [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    texts = ["it's  a 'test'", "don't we'll, (x) 3.5% <|endoftext|> été!!", " lead", "trail ", "a\n\nb c", "über 12ab cd34", "x y z", "", "!", "a  b c", "x\u0120 \u0120w", "日本 語 x\ty z", "a\nb c\n", "\nx", "a \nb", "a\n b", "x\t y", "a\r\nb", "x\u00a0 y", "l1\nl2 w.\nl3", " ", "w.,!! (a.) b', c'.", "1, 2.5% $$ ...", "x\u3000y", "\x1c x"]
+    for part in (texts, texts[:1], texts[4:5], []):
+        assert e.encode(part) == [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab1é .,'!\n\t<|", [9, 9, 3, 3, 8, 2, 1, 1, 1, 2, 0.2, 1, 1], k=60)) for _ in range(2000)]
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("most", [4, 6, 18])
