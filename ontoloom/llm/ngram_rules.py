@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import chunks, documents
+from ontoloom.llm.common import documents, slices
 from ontoloom.llm.textstats import TextStats, base_failed, text_stats
 
 BUCKET_BITS = 16
@@ -43,25 +43,19 @@ def is_trusted(s: TextStats, data: bytes) -> bool:
     return 10 * int(((x >= 65) & (x <= 90)).sum()) <= len(x)
 
 
-def _read(batch: pa.RecordBatch) -> tuple[list[str], list[bytes]]:
-    texts = [x or "" for x in batch.column("text").to_pylist()]
-    return texts, [x.encode() for x in texts]
-
-
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        texts, data = _read(batch)
-        for a, b in chunks([len(x) for x in data]):
-            trusted = [is_trusted(text_stats(texts[k], data[k]), data[k]) for k in range(a, b)]
-            for into, chosen in ((raw, data[a:b]), (target, [x for x, t in zip(data[a:b], trusted) if t])):
-                long = [x for x in chosen if len(x) > 2]
-                if long:
-                    found = buckets_of(np.frombuffer(b"".join(long), np.uint8))
-                    inner = np.ones(len(found), bool)
-                    ends = np.cumsum([len(x) for x in long])[:-1]
-                    inner[ends - 1] = inner[ends - 2] = False  # trigrams across two documents
-                    into += np.bincount(found[inner], minlength=len(into))
+    for _, texts in slices(batches):
+        data = [x.encode() for x in texts]
+        trusted = [is_trusted(text_stats(t, x), x) for t, x in zip(texts, data)]
+        for into, chosen in ((raw, data), (target, [x for x, t in zip(data, trusted) if t])):
+            long = [x for x in chosen if len(x) > 2]
+            if long:
+                found = buckets_of(np.frombuffer(b"".join(long), np.uint8))
+                inner = np.ones(len(found), bool)
+                ends = np.cumsum([len(x) for x in long])[:-1]
+                inner[ends - 1] = inner[ends - 2] = False  # trigrams across two documents
+                into += np.bincount(found[inner], minlength=len(into))
     used = np.flatnonzero(raw)
     yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "raw": raw[used], "target": target[used]})
 
@@ -78,42 +72,55 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
     return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
 
 
-def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, the base counts, base_failed, llr, kept, and the columns in keep.
-
-    docs needs doc_id and text; other columns are ignored unless named in keep. kept is false for base_failed, else whether
-    llr reaches the threshold. Null and empty texts have counts of 0, llr 0.0 and fail the base rules; texts of
-    fewer than three bytes have llr 0.0. Repeated rows count and stay as often as they are there. Null ids stay null. An
-    empty table gives an empty result. Without any trusted document every llr is 0.0 and the base rules alone decide.
-    """
+def judged(docs: DataFrame, threshold: float = THRESHOLD, into: str = "quality") -> DataFrame:
+    """docs with one column more, a struct of the base counts, base_failed, llr and kept; only the texts go through Python."""
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs))  # 256 kB
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ratios.value
-        for batch in batches:
-            texts, data = _read(batch)
-            llr = np.zeros(len(data))
-            for a, b in chunks([len(x) for x in data]):
-                sizes = np.array([len(x) for x in data[a:b]])
-                if sizes.sum() < 3:
-                    continue
-                sums = np.concatenate([[0.0], np.cumsum(table[buckets_of(np.frombuffer(b"".join(data[a:b]), np.uint8))], dtype=np.float64), [0.0, 0.0]])
-                ends = np.cumsum(sizes)
-                many = sizes > 2
-                first, last = (ends - sizes)[many], (ends - 2)[many]
-                llr[a:b][many] = (sums[last] - sums[first]) / (sizes[many] - 2)
-            stats = [text_stats(t, d) for t, d in zip(texts, data)]
-            failed = np.array([base_failed(s) for s in stats], bool)
-            llr = np.round(llr, 6)
-            columns = {c: pa.array([s[k] for s in stats], pa.int64()) for k, c in enumerate(STAT_COLUMNS)}
-            columns |= {"base_failed": pa.array(failed), "llr": pa.array(llr), "kept": pa.array(~failed & (llr >= threshold))}
-            columns = {"doc_id": batch.column("doc_id")} | columns | {c: batch.column(f"keep_{c}") for c in keep}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    given = docs.select("doc_id", "text", *[F.col(c).alias(f"keep_{c}") for c in keep])
-    kept_types = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    stats = "".join(f"{c} long, " for c in STAT_COLUMNS)
-    return given.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {stats}base_failed boolean, llr double, kept boolean{kept_types}")
+        for column in columns:
+            done = [_scores(texts, table, threshold) for _, texts in slices([pa.record_batch([column], ["text"])])]
+            yield pa.concat_arrays(done) if done else pa.array([], _RESULT)
+
+    fields = "".join(f"{c}: bigint, " for c in STAT_COLUMNS)
+    return docs.withColumn(into, F.arrow_udf(score, f"struct<{fields}base_failed: boolean, llr: double, kept: boolean>")("text"))
+
+
+_RESULT = pa.struct([*((c, pa.int64()) for c in STAT_COLUMNS), ("base_failed", pa.bool_()), ("llr", pa.float64()), ("kept", pa.bool_())])
+
+
+def _scores(texts: list[str], table: np.ndarray, threshold: float) -> pa.StructArray:
+    data = [x.encode() for x in texts]
+    llr, sizes = np.zeros(len(data)), np.array([len(x) for x in data])
+    if sizes.sum() > 2:
+        sums = np.concatenate([[0.0], np.cumsum(table[buckets_of(np.frombuffer(b"".join(data), np.uint8))], dtype=np.float64), [0.0, 0.0]])
+        ends, many = np.cumsum(sizes), sizes > 2
+        first, last = (ends - sizes)[many], (ends - 2)[many]
+        llr[many] = (sums[last] - sums[first]) / (sizes[many] - 2)
+    llr = np.round(llr, 6)
+    stats = [text_stats(t, d) for t, d in zip(texts, data)]
+    failed = np.array([base_failed(s) for s in stats], bool)
+    counts = [pa.array([s[k] for s in stats], pa.int64()) for k in range(len(STAT_COLUMNS))]
+    return pa.StructArray.from_arrays([*counts, pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= threshold))], fields=list(_RESULT))
+
+
+def quality_rules(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, the base counts, base_failed, llr, kept.
+
+    docs needs doc_id and text; other columns are ignored. kept is false for base_failed, else whether llr reaches the
+    threshold. Null and empty texts have counts of 0, llr 0.0 and fail the base rules; texts of fewer than three bytes
+    have llr 0.0. Repeated rows count and stay as often as they are there. Null ids stay null. An empty table gives
+    an empty result. Without any trusted document every llr is 0.0 and the base rules alone decide.
+    """
+    return judged(docs.select("doc_id", "text"), threshold).select("doc_id", "quality.*")
+
+
+def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the quality rules keep, with all their columns; docs needs text. Odd rows: see quality_rules."""
+    into = "quality"
+    while into in docs.columns:
+        into += "_"
+    return judged(docs, threshold, into).where(f"{into}.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

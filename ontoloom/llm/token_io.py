@@ -128,7 +128,7 @@ class Encoder:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids), the ids packed for the intermediate table."""
+    """(doc_id, n_tokens, ids, used, counts), the ids packed for the intermediate table; one row of many has the ids that these use and their counts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -136,12 +136,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder, end, squeeze = Encoder.cached(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
         for batch, texts in slices(batches, most=10 << 20):
             ids = [x + end for x in encoder.encode(texts)]
+            total = np.bincount(np.frombuffer(b"".join(ids), np.uint32))
+            used, empty = np.flatnonzero(total), [None] * (len(ids) - 1)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids": pa.array([squeeze(_planes(x)) for x in ids], pa.binary()),
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array([squeeze(_planes(x)) for x in ids], pa.binary()),
+                "used": pa.array([used, *empty], pa.list_(pa.int32())), "counts": pa.array([total[used], *empty], pa.list_(pa.int64())),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, used array<int>, counts array<long>")
 
 
 def _planes(ids: bytes) -> bytes:
@@ -156,18 +158,6 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return raw.reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for packed in batch.column("ids"):
-            got = np.bincount(_unpacked(packed.as_py()))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": used.astype(np.int64), "n": total[used]})
-
-
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """Optimal code lengths of at most `most` bits for positive counts, by package-merge."""
     n = len(counts)
@@ -252,7 +242,8 @@ class Codebook:
 def write_corpus(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Tokenizes docs and writes codebook and blocks to the folder, documents in ascending doc_id order, nulls first."""
     tokens = Saved(tokenized(docs, tokenizer or default_tokenizer(), end_id), "tokens")
-    counts = sorted(map(tuple, tokens.df.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()))  # at most the vocabulary
+    counts = tokens.df.select(F.explode(F.arrays_zip("used", "counts")).alias("c")).groupBy(F.col("c.used").alias("id")).agg(F.sum("c.counts").alias("n"))
+    counts = sorted(map(tuple, counts.collect()))  # at most the vocabulary
     ids, n = np.array([x for x, _ in counts], np.int64), np.array([x for _, x in counts], np.int64)
     lengths = code_lengths(n)
     spark = docs.sparkSession
@@ -284,7 +275,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             yield full(rows)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.df.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
+    ordered = tokens.df.drop("used", "counts").withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
     ordered.mapInArrow(pack, "part int, block int, n_docs int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, offsets binary, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     tokens.delete()
 
