@@ -55,11 +55,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
     the rule gives and take nothing. An empty table gives an empty result; a corpus without words has targets of 0.
     """
     spark = docs.sparkSession
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     # 40 bits of md5: the first ten are the bucket, the next ten the sub-bucket.
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 10), 16, 10).cast("long")
     sized = Saved(
-        docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), h.alias("h"))
+        docs.select("doc_id", "source", *kept, word_count(F.col("text")).alias("size"), h.alias("h"))
         .withColumn("b1", F.shiftright("h", 30).cast("int"))
         .withColumn("b2", F.shiftright("h", 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")),
         "mix-sizes",
@@ -124,12 +125,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
         drawn = joined(drawn, x.select("source", F.col("fill_place").alias(f"fill{k}")))
     extra = F.col("extra") | F.coalesce(F.col("place") == F.col("fill0"), F.lit(False)) | F.coalesce(F.col("place") == F.col("fill1"), F.lit(False))
     copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    return drawn.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    return drawn.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *["kept"] * bool(keep))
 
 
-def repeat_by_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as documents: each row as many times as it has copies."""
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def repeat_by_copies(mixed: DataFrame) -> DataFrame:
+    """The mix as documents: the columns kept by mix, each row as many times as it has copies; rows without any go."""
+    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("kept.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

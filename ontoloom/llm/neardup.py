@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import Saved, chunks, documents
+from ontoloom.llm.common import Saved, chunks, documents, slices
 from ontoloom.llm.components import connected_components
 
 #: Rows and bands: a pair with a Jaccard similarity of 0.8 shares no band with a probability of 5e-6.
@@ -112,29 +112,26 @@ def _signer(words: int):
         factors = np.random.default_rng(3).integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
         uid = TaskContext.get().partitionId() << 36
         last: dict[bytes, tuple] = {}
-        for batch in batches:
-            texts = [normalise(x) for x in batch.column("text").to_pylist()]
-            for a, b in chunks([len(x) for x in texts], 1 << 20):
-                rows = []
-                for text in texts[a:b]:
-                    c1, c2 = _class_of(text)
-                    if (c1, c2) not in last:
-                        if len(last) > 20000:
-                            last.clear()
-                        hashes = np.unique(shingler.hashes(text))
-                        keys = None
-                        if len(hashes):
-                            sig = minhash.signature(hashes).reshape(BANDS, BAND_ROWS)
-                            keys = _mix((sig.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                        last[c1, c2] = len(hashes), keys
-                    rows.append((c1, c2, *last[c1, c2]))
-                c1, c2, n, keys = zip(*rows)
-                uids = np.arange(uid, uid + len(rows))
-                uid += len(rows)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(a, b - a), "uid": uids, "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()),
-                    "n_shingles": pa.array(n, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64())),
-                })
+        for batch, texts in slices(batches):
+            rows = []
+            for text in map(normalise, texts):
+                c1, c2 = _class_of(text)
+                if (c1, c2) not in last:
+                    if len(last) > 5000:
+                        last.clear()
+                    hashes = np.unique(shingler.hashes(text))
+                    keys = None
+                    if len(hashes):
+                        sig = minhash.signature(hashes).reshape(BANDS, BAND_ROWS)
+                        keys = _mix((sig.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                    last[c1, c2] = len(hashes), keys
+                rows.append((c1, c2, *last[c1, c2]))
+            c1, c2, n, keys = zip(*rows)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "uid": np.arange(uid, uid + len(rows)), "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()),
+                "n_shingles": pa.array(n, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64())),
+            })
+            uid += len(rows)
 
     return sign
 
@@ -154,11 +151,10 @@ def _set_maker(words: int):
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [normalise(x) for x in batch.column("text").to_pylist()]
-        for a, b in chunks([len(x) for x in texts]):
-            both = [_class_of(x) for x in texts[a:b]]
-            yield pa.RecordBatch.from_pydict({"c1": pa.array([x for x, _ in both], pa.int64()), "c2": pa.array([x for _, x in both], pa.int64()), "words": pa.array(texts[a:b], pa.binary())})
+    for _, texts in slices(batches):
+        words = [normalise(x) for x in texts]
+        both = [_class_of(x) for x in words]
+        yield pa.RecordBatch.from_pydict({"c1": pa.array([x for x, _ in both], pa.int64()), "c2": pa.array([x for _, x in both], pa.int64()), "words": pa.array(words, pa.binary())})
 
 
 def _comparer(percent: int):
@@ -189,61 +185,77 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with their texts but are never a component's id, unless it has no other: then component_id is null and kept true. Repeated
     rows each give a row, with equal results. An empty table gives an empty result.
     """
+    return grouped_rows(docs, words, percent).drop("text_hash", "component")
+
+
+def grouped_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """near_duplicates with two columns more: text_hash (xxhash64 of the text), and component, an internal id, null for rows without partner."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = Saved(docs.select("doc_id", "text").mapInArrow(_signer(words), f"doc_id {id_type}, uid long, c1 long, c2 long, n_shingles long, bands array<long>"), "signed").df
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = Saved(source.mapInArrow(_signer(words), f"doc_id {id_type}, text_hash long, uid long, c1 long, c2 long, n_shingles long, bands array<long>"), "signed").df
     classes = signed.where(F.col("n_shingles") > 0).groupBy("c1", "c2").agg(F.min(F.struct("uid", "n_shingles", "bands")).alias("r"))
     classes = Saved(classes.select("c1", "c2", "r.*"), "classes").df
     banded = classes.select("uid", "n_shingles", F.explode("bands").alias("key"))
     shared = Saved(banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key"), "shared")
-    members = Saved(banded.join(shared.sized(), "key"), "members").df
+    members = Saved(banded.join(shared.sized(), "key"), "members")
+    shared.delete()
 
-    nodes = Saved(classes.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "c1", "c2"), "nodes")
+    nodes = Saved(classes.join(members.df.select("uid").distinct(), "uid", "left_semi").select("uid", "c1", "c2"), "nodes")
     found = docs.select("text").mapInArrow(_classes, "c1 long, c2 long, words binary").join(nodes.sized(), ["c1", "c2"])
     sets = Saved(found.groupBy("uid").agg(F.first("words").alias("words")).mapInArrow(_set_maker(words), "uid long, shingles binary" + "".join(f", m{k} long" for k in range(MARKS))), "sets")
+    nodes.delete()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> Saved:
         """Of pairs (a, b), those whose sets are similar enough."""
         left = sets.sized().select(F.col("uid").alias("a"), F.col("shingles").alias("sa"))
         right = sets.sized().select(F.col("uid").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_comparer(percent), "a long, b long")
+        return Saved(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_comparer(percent), "a long, b long"), "links")
 
     def alike(x: str, y: str):
         """Sizes that allow the similarity."""
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     edges: DataFrame | None = None
-    active = members.withColumn("comp", F.col("uid"))
+    active, held = members.df.withColumn("comp", F.col("uid")), None
     for turn in range(HUB_ROUNDS):
         order = F.col("uid") if turn == 0 else F.xxhash64(F.lit(turn), F.col("uid"))
         hubs = active.groupBy("key").agg(F.min(F.struct(order.alias("o"), "uid", "n_shingles", "comp")).alias("hub"))
         pairs = active.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & alike("n_shingles", "hub.n_shingles"))
         pairs = pairs.select(F.least("uid", "hub.uid").alias("a"), F.greatest("uid", "hub.uid").alias("b")).distinct()
-        new = Saved(confirmed(pairs), "links").df
+        new = confirmed(pairs).df
         edges = new if edges is None else edges.unionByName(new)
         comps = Saved(connected_components(edges), "comps")
-        active = _still_open(members, comps)
+        if held:
+            held.delete()
+        held = _still_open(members.df, comps)
+        active = held.df
         if active.isEmpty():
             break
     else:
-        keyed = _still_open(_by_rare_shingles(active.select("uid", "n_shingles").distinct(), sets, percent), comps)
-        keyed = keyed.join(sets.sized().drop("shingles"), "uid")
-        other = keyed.select("key", *[F.col(f"m{k}").alias(f"o{k}") for k in range(MARKS)], F.col("uid").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"), F.col("before").alias("bb"))
+        rare = Saved(_by_rare_shingles(active.select("uid", "n_shingles").distinct(), sets, percent), "rare")
+        keyed = _still_open(rare.df, comps)
+        rare.delete()
+        joined = keyed.df.join(sets.sized().drop("shingles"), "uid")
+        other = joined.select("key", *[F.col(f"m{k}").alias(f"o{k}") for k in range(MARKS)], F.col("uid").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"), F.col("before").alias("bb"))
         left = F.least(F.col("n_shingles") - F.col("place"), F.col("nb") - F.col("pb"))
         sizes, apart = F.col("n_shingles") + F.col("nb"), sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(MARKS)), F.lit(0))
-        pairs = keyed.join(other, "key").where((F.col("uid") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("nb"))) & ~F.arrays_overlap("before", "bb") & ((100 + percent) * (sizes - apart) >= 2 * percent * sizes))
-        new = Saved(confirmed(pairs.select(F.col("uid").alias("a"), "b").distinct()), "links").df
+        pairs = joined.join(other, "key").where((F.col("uid") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("nb"))) & ~F.arrays_overlap("before", "bb") & ((100 + percent) * (sizes - apart) >= 2 * percent * sizes))
+        new = confirmed(pairs.select(F.col("uid").alias("a"), "b").distinct()).df
         comps = Saved(connected_components(edges.unionByName(new)), "comps")
+        keyed.delete()
+    for x in (held, members, sets):
+        x.delete()
 
     # From nodes to classes to rows. The id of a component is the smallest doc_id of its rows.
     of_class = classes.join(comps.sized(), classes["uid"] == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "uid").alias("component"))
     ids = signed.where(F.col("n_shingles") > 0).groupBy("c1", "c2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     of_class = of_class.join(ids, ["c1", "c2"])
     lows = of_class.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("size"))
-    grouped = Saved(of_class.join(lows, "component").where(F.col("size") > 1).select("c1", "c2", "component_id"), "grouped")
-    rows = signed.select("doc_id", "n_shingles", "c1", "c2")
-    joined = rows.join(grouped.sized().withColumn("in_group", F.lit(True)), ["c1", "c2"], "left")
-    component = F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    grouped = Saved(of_class.join(lows, "component").where(F.col("size") > 1).select("c1", "c2", "component", "component_id"), "grouped")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "c1", "c2")
+    joined = rows.join(grouped.sized(), ["c1", "c2"], "left")
+    component = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,24 +296,39 @@ def _by_rare_shingles(nodes: DataFrame, sets: Saved, percent: int) -> DataFrame:
     return met.select(F.xxhash64("token", F.least("band", "other"), F.greatest("band", "other")).alias("key"), "uid", "n_shingles", "place", "before")
 
 
-def _still_open(members: DataFrame, comps: Saved) -> DataFrame:
+def _still_open(members: DataFrame, comps: Saved) -> Saved:
     """Members of the buckets that hold more than one component."""
     labelled = members.join(comps.sized(), members["uid"] == F.col("node"), "left").select(*members.columns, F.coalesce("component", "uid").alias("comp"))
-    labelled = Saved(labelled, "labelled").df
-    open_keys = Saved(labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high")).select("key"), "open")
-    return Saved(labelled.join(open_keys.sized(), "key", "left_semi"), "active").df
+    labelled = Saved(labelled, "labelled")
+    open_keys = Saved(labelled.df.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high")).select("key"), "open")
+    out = Saved(labelled.df.join(open_keys.sized(), "key", "left_semi"), "active")
+    labelled.delete()
+    open_keys.delete()
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each group the row with the smallest id; of rows that repeat an id and text, one. Rows with null ids stay."""
-    found = near_duplicates(docs, words, percent)
-    dropped = Saved(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    left = docs.join(dropped.sized(), "doc_id", "left_anti")
-    known = Saved(left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if known.df.isEmpty():
+    """The documents without near duplicates, with all columns: of each component one row, of those with its smallest id.
+
+    docs needs doc_id and text. Each row is decided by its own text: rows that share an id but not a component don't affect each other.
+    Of rows with the smallest id the one with the smallest hash of its text stays, and of rows that repeat id and text any one.
+    Components without any id keep one row as well. Null and empty texts and texts without words stay, as often as they are
+    there. An empty table gives an empty result.
+    """
+    found = Saved(grouped_rows(docs, words, percent).where(F.col("component").isNotNull()).select("component", "doc_id", "text_hash", "kept"), "found")
+    first = Saved(found.df.where("kept").groupBy("component", "doc_id").agg(F.min("text_hash").alias("text_hash")), "first")
+    rows = found.df.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    chosen = first.sized().select(F.col("component").alias("c"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
+    rows = rows.join(chosen, (F.col("component") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left")
+    dropped = Saved(rows.where(F.col("c").isNull()).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")), "dropped")
+    repeated = Saved(rows.where(F.col("c").isNotNull() & (F.col("rows") > 1)).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")), "repeated")
+    found.delete()
+    first.delete()
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t"))
+    left = docs.join(dropped.sized(), same, "left_anti")
+    if repeated.df.isEmpty():
         return left
-    once = left.join(known.sized(), "doc_id", "left_anti")
-    return once.unionByName(left.join(known.sized(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.join(repeated.sized(), same, "left_anti").unionByName(left.join(repeated.sized(), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
