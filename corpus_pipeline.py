@@ -8,7 +8,7 @@ from ontoloom.llm.common import Saved
 from ontoloom.llm.decontam import without_leaks
 from ontoloom.llm.mixing import mix, repeat_by_copies
 from ontoloom.llm.neardup import keep_one
-from ontoloom.llm.ngram_rules import quality_rules
+from ontoloom.llm.ngram_rules import keep_good
 from ontoloom.llm.token_io import encode_corpus
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,12 +16,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs, keep=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
+    return keep_good(docs.select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return keep_one(docs).select(*COLUMNS)
+    return keep_one(docs.select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
-    return repeat_by_copies(mix(docs, keep=("text", "lang", "n_chars")), COLUMNS)
+    return repeat_by_copies(mix(docs, keep=tuple(COLUMNS)))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
