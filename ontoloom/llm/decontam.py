@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ontoloom.llm.common import documents
+from ontoloom.llm.common import documents, slices
 
 #: Errors allowed per character of an item.
 ERROR_RATE = 0.05
@@ -159,6 +160,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
     budget (none below 1 / rate characters) and must stand between word borders.
     """
     id_type, item_type = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType.simpleString()
+    ids = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {id_type.simpleString()}, item_id {item_type}, errors int"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(items):
@@ -166,10 +168,10 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
-            for batch in batches:
-                rows = [(k, *hit) for k, x in enumerate(batch.column("text").to_pylist()) if x for hit in matcher.find(normalise(x))]
+            for batch, texts in slices(batches):
+                rows = [(k, *hit) for k, x in enumerate(texts) if x for hit in matcher.find(normalise(x))]
                 take = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["doc_id", "item_id", "errors"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), pa.array([r[1] for r in rows], ids), pa.array([r[2] for r in rows], pa.int32())], names=["doc_id", "item_id", "errors"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(match, schema))
     return out
@@ -182,8 +184,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
-            for batch in batches:
-                yield batch.filter(pa.array([not x or not matcher.find(normalise(x), first=True) for x in batch.column("text").to_pylist()], pa.bool_()))
+            for batch, texts in slices(batches):
+                yield batch.filter(pa.array([not x or not matcher.find(normalise(x), first=True) for x in texts], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import Saved, chunks, documents, in_fold
+from ontoloom.llm.common import Saved, documents, in_fold, slices
 from ontoloom.llm.textstats import text_stats
 
 #: Labelled rows used at most, about (a hash threshold picks them).
@@ -53,11 +53,9 @@ def statistics(text: str, data: bytes) -> list[float]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x or "" for x in batch.column("text").to_pylist()]
-        for a, b in chunks([len(x) for x in texts]):
-            rows = [statistics(x, x.encode()) for x in texts[a:b]]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "x": pa.array(rows, pa.list_(pa.float64()))})
+    for batch, texts in slices(batches):
+        rows = [statistics(x, x.encode()) for x in texts]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array(rows, pa.list_(pa.float64()))})
 
 
 def labelled(rows: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
@@ -101,8 +99,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(train: DataFrame) -> tuple[Fourier, np.ndarray, tuple[np.ndarray, np.ndarray]] | None:
-    """The feature map, ridge coefficients and calibration knots for rows (x, y, fold), or None without rows of both labels."""
-    train = Saved(train.select("x", "y", "fold").repartition(TASKS, F.xxhash64("x")), "train").df
+    """The feature map, ridge coefficients and calibration knots for rows (doc_id, x, y, fold), or None without rows of both labels; ids spread copies over the tasks."""
+    train = Saved(train.select("doc_id", "x", "y", "fold").repartition(TASKS, "doc_id"), "train").df
     moments = train.select("y", F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("y").alias("low"), F.max("y").alias("high")).orderBy("k").collect()
     if not moments or moments[0]["low"] == moments[0]["high"]:
         return None

@@ -1,7 +1,7 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows that tell quotation from abuse.
 
-The lexicon is a short list of English insults and what the labelled training rows teach: words that stand in many
-different contexts of toxic documents and hardly in others. The Levenshtein automata of all terms run along one trie;
+The lexicon is what the labelled training rows teach: words that stand in many different contexts of toxic documents and
+hardly in others. The Levenshtein automata of all terms run along one trie;
 the product is made deterministic once and run over all words of a batch at a time, a table lookup per character.
 Each hit is weighed by its surroundings; a logistic model of the sums gives the score.
 """
@@ -15,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import Saved, chunks, documents, in_fold
+from ontoloom.llm.common import Saved, documents, in_fold, slices
 from ontoloom.llm.quality import labelled
 
-#: Insults that are looked for whatever the labels say.
-SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: Words that report what others say.
 CUES = ("called", "dit", "dice", "quote", "quoted", "said", "sagt", "sagte", "says", "word", "wrote")
-MAX_TRAIN, MAX_TERMS = 30_000, 400
+MAX_TRAIN = 30_000
 #: A learned term stands in so many different contexts of toxic training documents, and so much more often than in others.
 MIN_CONTEXTS, MIN_RATIO = 4, 25.0
 #: Terms of fewer characters are matched exactly.
@@ -116,7 +114,10 @@ _LETTER = np.array([chr(c).isalnum() for c in range(0x3000)], bool)
 
 
 def hit_features(texts: list[str], trie: LevenshteinTrie, classes: np.ndarray) -> np.ndarray:
-    """Per text: exact hits used, exact hits quoted or reported, near hits used, largest number of hits in a stretch of 20 words, log(1 + words)."""
+    """Per text: exact hits used, exact hits quoted or reported, near hits used, largest number of hits in a stretch of 20 words, log(1 + words).
+
+    Quoted: an odd number of quotation marks before it on its line, and one after it. Reported: one of the WINDOW words on either side is a cue.
+    """
     lowered = [x.lower() for x in texts]
     joined = "\n".join(lowered) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -126,40 +127,33 @@ def hit_features(texts: list[str], trie: LevenshteinTrie, classes: np.ndarray) -
     starts, ends = edges[0::2], edges[1::2]
     codes = classes[np.minimum(points, len(classes) - 1)]
     found = trie.distances(codes, starts, ends - starts)
-    borders = np.cumsum([len(x) + 1 for x in lowered])
-    owner = np.searchsorted(borders, starts, side="right")
+    owner = np.searchsorted(np.cumsum([len(x) + 1 for x in lowered]), starts, side="right")
     out = np.zeros((len(texts), 5))
     out[:, 4] = np.log1p(np.bincount(owner, minlength=len(texts)))
     hits = np.flatnonzero(found <= 1)
-    for text in np.unique(owner[hits]):
-        mine = hits[owner[hits] == text] if len(texts) > 1 else hits
-        base = int(borders[text] - len(lowered[text]) - 1)
-        body = lowered[text]
-        exact_at = []
-        for w in mine:
-            a, b = int(starts[w]) - base, int(ends[w]) - base
-            # Quoted: an odd number of quotation marks before it on its line, and one after it.
-            line = body.rfind("\n", 0, a) + 1
-            stop = body.find("\n", b)
-            before, after = body[line:a], body[b : stop if stop >= 0 else len(body)]
-            quoted = sum(map(before.count, QUOTES)) % 2 == 1 and any(q in after for q in QUOTES)
-            near = body[max(0, a - 80) : a].split()[-WINDOW:]
-            reported = any(x.strip(",.:;!?") in CUES for x in near)
-            if found[w] == 0:
-                out[text, 1 if quoted or reported else 0] += 1
-                if not (quoted or reported):
-                    exact_at.append(w)
-            elif not (quoted or reported):
-                out[text, 2] += 1
-        if exact_at:
-            at = np.array(exact_at)
-            out[text, 3] = int((np.searchsorted(at, at + 20) - np.arange(len(at))).max())
+    if not len(hits):
+        return out
+    marks = np.concatenate([[0], np.cumsum(np.isin(points, [ord(c) for c in QUOTES]))])  # quotation marks before each place
+    lines = np.concatenate([[-1], np.flatnonzero(points == 10)])
+    line = np.searchsorted(lines, starts[hits])
+    before, after = marks[starts[hits]] - marks[lines[line - 1] + 1], marks[lines[line]] - marks[ends[hits]]
+    aside = (before % 2 == 1) & (after > 0)
+    for k in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]:
+        near = np.clip(hits + k, 0, len(starts) - 1)
+        same = owner[near] == owner[hits]
+        aside[same] |= [joined[a:b] in CUES for a, b in zip(starts[near[same]].tolist(), ends[near[same]].tolist())]
+    exact = found[hits] == 0
+    for k, chosen in enumerate((exact & ~aside, exact & aside, ~exact & ~aside)):
+        out[:, k] = np.bincount(owner[hits[chosen]], minlength=len(texts))
+    used = hits[exact & ~aside]
+    together = np.minimum(np.searchsorted(used, used + 20), np.searchsorted(owner[used], owner[used], side="right")) - np.arange(len(used))
+    np.maximum.at(out[:, 3], owner[used], together)
     return out
 
 
 def learn_terms(train: DataFrame) -> list[str]:
     """Terms for rows (text, y): different contexts in toxic rows against occurrences in others, by a smoothed ratio of rates."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]{3,30}"), 0)
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]{3,}"), 0)
     rows = train.select("y", words.alias("w"))
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum(F.size("w")).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
@@ -170,8 +164,8 @@ def learn_terms(train: DataFrame) -> list[str]:
     toxic = Saved(toxic, "toxic-words")
     clean = rows.where("y = 0").select(F.explode("w").alias("w")).join(toxic.sized().select("w"), "w", "left_semi").groupBy("w").agg(F.count("*").alias("m"))
     rate = ((F.col("n") + 0.5) / totals[1]) / ((F.coalesce("m", F.lit(0)) + 0.5) / totals[0])
-    found = toxic.df.join(clean, "w", "left").withColumn("rate", rate).where(F.col("rate") >= MIN_RATIO).orderBy(F.desc(F.col("n") * F.log("rate")), "w").limit(MAX_TERMS).collect()
-    return [r["w"] for r in found]
+    found = toxic.df.join(clean, "w", "left").withColumn("rate", rate).where(F.col("rate") >= MIN_RATIO).select("w").collect()  # from a bounded number of training rows
+    return sorted(r["w"] for r in found)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -194,23 +188,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, most
     never learned from. At most about MAX_TRAIN labelled rows are. score is the probability of label 1, predicted 1 from cutoff on.
 
     Null and empty texts have no hits and are scored as such. Repeated rows get equal scores; repeated labels count once. A null id is not held
-    out and has no label. Without labels of both kinds the seeds alone decide, with fixed coefficients. Empty tables give an empty result.
+    out and has no label. Without labels of both kinds there is no lexicon and every score is low. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     terms = learn_terms(labelled(docs.select("doc_id", "text"), labels, "toxic", most))
-    trie = LevenshteinTrie([*SEEDS, *terms])
-    classes = np.zeros(max(map(ord, trie.classes)) + 2, np.int64)
+    trie = LevenshteinTrie(terms)
+    classes = np.zeros(max(map(ord, trie.classes), default=0) + 2, np.int64)
     for c, k in trie.classes.items():
         classes[ord(c)] = k
-    shared = spark.sparkContext.broadcast((trie, classes))  # bounded by MAX_TERMS
+    shared = spark.sparkContext.broadcast((trie, classes))  # grows with the terms that about `most` rows can teach
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in chunks([len(x) for x in texts], 1 << 20):
-                x = hit_features(texts[a:b], *shared.value)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a)} | {c: pa.array(x[:, k]) for k, c in enumerate(FEATURES)})
+        for batch, texts in slices(batches):
+            x = hit_features(texts, *shared.value)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: pa.array(x[:, k]) for k, c in enumerate(FEATURES)})
 
     measured = Saved(docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {id_type}, " + ", ".join(f"{c} double" for c in FEATURES)), "hits").df
     train = labelled(measured, labels, "toxic", most).select(*FEATURES, "y").toPandas()  # about `most` rows
