@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ontoloom import catalogue_more
 from ontoloom.functions import text as T
 from ontoloom.operators import analytics as A
 from ontoloom.operators import fusion, graph, store, validate, vector
@@ -419,30 +420,28 @@ def dedup_log_id(spark, d):
     return store.drop_replays(e).select("event_id", "log_id")
 
 
-@query("trace_assignment")
+@query("trace_assignment", "SELECT CAST(user_id AS VARCHAR) AS agent_id, event_id, epoch_us(ts) // 1000 AS ts_ms, CAST(NULL AS VARCHAR) AS session_id, 'trace:' || event_id AS trace_id, true AS created FROM events")
 def trace_assignment(spark, d):
-    """The sequential rules, each user an agent without sessions; tests compare them with a plain loop."""
+    """Each user an agent without sessions: every event starts a trace. trace_assignment_sessions has the other rules."""
     e = views.table(spark, d, "events").select(F.col("user_id").cast("string").alias("agent_id"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("trace_id"))
     return traces.assign_traces(e)
 
 
 # Logs and text.
-_MESSAGES = "SELECT event_id, CASE event_type WHEN 'click' THEN 'Running Search' || user_id || ' tool with input: q' WHEN 'view' THEN 'Entering new Chain' || user_id || ' chain' WHEN 'error' THEN 'Retrieved ' || user_id || ' nodes request_id: req-' || event_id WHEN 'purchase' THEN props ELSE 'plain session_id: s' || user_id END AS message FROM events"
+_MESSAGES = "SELECT event_id, CASE event_type WHEN 'click' THEN 'Running Search' || user_id || ' tool with input: q' WHEN 'view' THEN 'Entering new Chain' || user_id || ' chain' WHEN 'error' THEN 'query: ' || user_id || ' request_id: req-' || event_id WHEN 'purchase' THEN props ELSE 'plain session_id: s' || user_id END AS message FROM events"
 
 
-@query("log_parse", rf"""WITH m AS ({_MESSAGES}) SELECT event_id, CASE WHEN starts_with(message, '{{') THEN NULL WHEN starts_with(message, 'Running') THEN 'tool_call' WHEN starts_with(message, 'Entering') THEN 'chain_execution' WHEN starts_with(message, 'Retrieved') THEN 'retrieve' END AS event_type,
+@query("log_parse", rf"""WITH m AS ({_MESSAGES}) SELECT event_id, CASE WHEN starts_with(message, 'Running') OR starts_with(message, 'Entering') THEN 'tool_call' WHEN starts_with(message, 'query') THEN 'query' END AS event_type,
 nullif(regexp_extract(message, 'session_id: ([\w-]+)', 1), '') AS own, coalesce(nullif(regexp_extract(message, 'session_id: ([\w-]+)', 1), ''), nullif(regexp_extract(message, 'request_id: ([\w-]+)', 1), '')) AS session_id,
-nullif(regexp_extract(message, 'Running (\w+) tool', 1), '') AS tool, nullif(regexp_extract(message, 'Retrieved (\d+) nodes', 1), '') AS node_count, json_extract_string(CASE WHEN starts_with(message, '{{') THEN message END, '$.k') AS k FROM m""")
+nullif(regexp_extract(message, '(?:Running|Entering new) (\w+)', 1), '') AS tool, nullif(regexp_extract(message, 'query: (.+)', 1), '') AS query, json_extract_string(CASE WHEN starts_with(message, '{{') THEN message END, '$.k') AS k FROM m""")
 def log_parse(spark, d):
-    e, user, eid = views.table(spark, d, "events"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
-    kind = F.col("event_type")
-    message = F.when(kind == "click", F.concat(F.lit("Running Search"), user, F.lit(" tool with input: q"))).when(kind == "view", F.concat(F.lit("Entering new Chain"), user, F.lit(" chain")))
-    message = message.when(kind == "error", F.concat(F.lit("Retrieved "), user, F.lit(" nodes request_id: req-"), eid)).when(kind == "purchase", F.col("props")).otherwise(F.concat(F.lit("plain session_id: s"), user))
+    e = views.table(spark, d, "events")
     rules = [logs.Rule("chain", "langchain", priority=20), logs.Rule("index", "llamaindex", priority=30), logs.Rule("json", "json", priority=10)]
+    message = F.expr(_MESSAGES.removeprefix("SELECT event_id, ").removesuffix(" AS message FROM events"))
     rows = logs.parse_logs(e.select("event_id", message.alias("message")), rules)
     p = lambda k: F.try_element_at("properties", F.lit(k))
     own = F.nullif(F.regexp_extract("message", logs.SESSION, 1), F.lit(""))
-    return rows.select("event_id", "event_type", own.alias("own"), "session_id", p("tool_name").alias("tool"), p("node_count").alias("node_count"), p("k").alias("k"))
+    return rows.select("event_id", "event_type", own.alias("own"), "session_id", p("tool_name").alias("tool"), p("query").alias("query"), p("k").alias("k"))
 
 
 @query("props_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -490,3 +489,7 @@ def trace_with_events(spark, d):
 def agent_events_by_range(spark, d):
     e = views.table(spark, d, "events")
     return e.where("user_id = 7 AND event_type IN ('click', 'view') AND ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-20'").select("event_id", "ts", "value")
+
+
+QUERIES.update(catalogue_more.QUERIES)
+ORACLE_SQL.update(catalogue_more.ORACLE_SQL)

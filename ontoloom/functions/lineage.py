@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from a reliable checkpoint; the folder is spark.checkpoint.dir, or a temporary one where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-"))
-    return df.checkpoint(eager=True)
+    """The rows of df, written to the shared folder and read again, so that their size is known to joins that follow.
+
+    The folder is spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode; on a cluster it is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="ontoloom-")
+        context.setCheckpointDir(folder)
+    path = f"{folder}/ontoloom/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

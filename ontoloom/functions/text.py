@@ -25,6 +25,16 @@ def entity_text(properties: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ". ")
 
 
+def event_text(properties: Column) -> Column:
+    """Text of a VARIANT: a string as it is; of an object 'key: value' of its strings, numbers and booleans, by key, joined by '. '; else empty."""
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    entries = F.array_sort(F.map_keys(F.try_variant_get(properties, "$", "map<string,variant>")))
+    fields = F.try_variant_get(properties, "$", "map<string,variant>")
+    parts = F.transform(entries, lambda k: F.when(kind(fields[k]).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), F.concat(k, F.lit(": "), fields[k].cast("string"))))
+    whole = F.array_join(F.filter(parts, lambda x: x.isNotNull()), ". ")
+    return F.when(kind(properties) == "STRING", properties.cast("string")).when(kind(properties) == "OBJECT", whole).otherwise("")
+
+
 def searchable_text(head: list[Column], metadata: Column) -> Column:
     """Parts and the metadata's strings, by key, joined by ' | '; nulls and empty parts are skipped."""
     values = F.transform(F.array_sort(F.map_entries(F.coalesce(metadata, F.create_map().cast("map<string,string>")))), lambda e: e["value"])

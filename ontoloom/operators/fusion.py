@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoloom.functions.lineage import cut
 from ontoloom.operators import graph as G
 from ontoloom.operators import vector as V
 
@@ -17,7 +18,11 @@ ALIASES = {"vector_prioritized": "vector_priority", "graph_prioritized": "graph_
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), "entity_id")))
+    """rows with rn, the rank by score; a rank or position that they have already is taken over."""
+    for known in ("rank", "position"):
+        if known in rows.columns:
+            return rows.withColumn("rn", F.col(known))
+    return G.numbered(rows, [F.desc("score"), F.col("entity_id")], "rn")
 
 
 def fuse(vector: DataFrame, graph: DataFrame, strategy: str = "rank_fusion") -> DataFrame:
@@ -31,7 +36,7 @@ def fuse(vector: DataFrame, graph: DataFrame, strategy: str = "rank_fusion") ->
     g = graph.select("entity_id", F.col("score").alias("gs"))
     both = F.col("vs").isNotNull() & F.col("gs").isNotNull()
     if strategy == "rank_fusion":
-        sides = [_ranked(x.select("entity_id", "score")).select("entity_id", (1.0 / (RRF_K + F.col("rn"))).alias("part")) for x in (vector, graph)]
+        sides = [_ranked(x).select("entity_id", (1.0 / (RRF_K + F.col("rn"))).alias("part")) for x in (vector, graph)]
         return sides[0].unionByName(sides[1]).groupBy("entity_id").agg(F.sum("part").alias("score")).withColumn("source", F.lit("hybrid"))
     how, score, keep = {
         "union": ("full_outer", F.when(both, (F.col("vs") + F.col("gs")) / 2).otherwise(F.coalesce("vs", "gs")), None),
@@ -45,14 +50,16 @@ def fuse(vector: DataFrame, graph: DataFrame, strategy: str = "rank_fusion") ->
 
 def finish(fused: DataFrame, limit: int) -> DataFrame:
     """Best first, ties by id, with the count before the cut to limit."""
-    counted = fused.withColumn("total_count", F.count("*").over(Window.partitionBy()))
-    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "entity_id"))).where(F.col("rank") <= limit)
+    fused = cut(fused)
+    best = fused.orderBy(F.desc("score"), "entity_id").limit(limit)  # only these are ranked in one task
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "entity_id")))
+    return ranked.crossJoin(F.broadcast(fused.agg(F.count("*").alias("total_count"))))  # one row
 
 
 @dataclass(frozen=True)
 class VectorQuery:
     query: list[float]
-    collections: list = field(default_factory=list)
+    collections: list = field(default_factory=list)  # none are searched if it is empty
     limit: int = 10
     min_score: float | None = None
 

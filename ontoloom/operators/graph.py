@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,70 @@ def reach(relations: DataFrame, start: object, depth: int, types: list[str] = ()
     steps = _steps(relations, types, direction)
     if entities is not None:
         steps = steps.join(entities.select(F.col("entity_id").alias("to")), "to", "left_semi")
-    spark = relations.sparkSession
-    seen = spark.createDataFrame([(start, 0)], f"entity_id {steps.schema['at'].dataType.simpleString()}, depth int")
-    frontier = seen
+    spark, schema = relations.sparkSession, f"entity_id {steps.schema['at'].dataType.simpleString()}, depth int"
+    known, last = {start: 0}, [start]
     for level in range(1, depth + 1):
-        found = steps.join(frontier, F.col("at") == F.col("entity_id")).select(F.col("to").alias("entity_id")).distinct()
-        frontier = cut(found.join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        rows = steps.where(F.col("at").isin(last)).select("to").where("to is not null").distinct().limit(FEW + 1).collect() if last else []
+        if len(known) + len(rows) > FEW:
             break
+        last = [r["to"] for r in rows if r["to"] not in known]
+        known |= dict.fromkeys(last, level)
+    else:
+        return spark.createDataFrame([(k, v) for k, v in known.items() if v], schema)
+    # Too many for the driver: from this level on, nodes are tables. A frontier of known small size is broadcast by Spark.
+    seen = cut(spark.createDataFrame(list(known.items()), schema))
+    frontier = seen.where(F.col("depth") == level - 1)
+    for k in range(level, depth + 1):
+        frontier = cut(_next(steps, frontier).join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(frontier)
     return seen.where(F.col("depth") > 0)
 
 
+#: Nodes of a traversal that are kept on the driver and sent with the query; a larger one uses tables.
+FEW = 1000
+
+
+def _next(steps: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The distinct ends of the steps from a frontier. As a semi-join, it can move below the unions and aggregates that make the edges."""
+    return steps.join(frontier.select(F.col("entity_id").alias("at")), "at", "left_semi").select(F.col("to").alias("entity_id")).distinct()
+
+
+def into_set(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations whose target is one of the entities."""
+    return relations.join(entities.select(F.col("entity_id").alias("target_id")), "target_id", "left_semi")
+
+
+def pattern(relations: DataFrame, first: str, second: str) -> DataFrame:
+    """(first_id, second_id, third_id): an edge of the first type followed by one of the second."""
+    a = relations.where(F.col("relation_type") == first).select(F.col("source_id").alias("first_id"), F.col("target_id").alias("second_id"))
+    b = relations.where(F.col("relation_type") == second).select(F.col("source_id").alias("second_id"), F.col("target_id").alias("third_id"))
+    return a.join(b, "second_id").select("first_id", "second_id", "third_id")
+
+
+def paths(relations: DataFrame, start: object, depth: int, types: list[str] = ()) -> DataFrame:
+    """(path, entity_id, depth): every path of 1 to depth outgoing steps that meets no node twice; parallel edges give equal paths."""
+    steps = _steps(relations, types, "outgoing")
+    kind = steps.schema["at"].dataType.simpleString()
+    level = relations.sparkSession.createDataFrame([([start], start, 0)], f"path array<{kind}>, entity_id {kind}, depth int")
+    found = []
+    for k in range(1, depth + 1):
+        near = steps.join(level.select(F.col("entity_id").alias("at")), "at", "left_semi")
+        longer = near.join(level, F.col("at") == F.col("entity_id")).where(~F.array_contains("path", F.col("to")))
+        level = cut(longer.select(F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("entity_id"), F.lit(k).alias("depth")))
+        found.append(level)
+    return reduce(DataFrame.unionByName, found) if found else level.limit(0)
+
+
+def numbered(rows: DataFrame, order: list, column: str) -> DataFrame:
+    """rows with their place in an order, from 1: sorted by ranges, numbered within each, and moved by the sizes of those before. No task has all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id()
+    ranged = cut(ranged.withColumn("_part", F.shiftright(local, 33)).withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per task
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def reach_both(relations: DataFrame, start: object, depth: int, types: list[str] = (), entities: DataFrame | None = None) -> DataFrame:
     """What is reached outgoing, then what is reached incoming; each node where it comes first. Not a walk over undirected edges."""
     both = [reach(relations, start, depth, types, d, entities).withColumn("way", F.lit(k)) for k, d in enumerate(("outgoing", "incoming"))]
@@ -40,9 +94,9 @@ def reach_both(relations: DataFrame, start: object, depth: int, types: list[str]
 
 
 def position_scores(found: DataFrame) -> DataFrame:
-    """score = 1 / position in the order (way, depth, id); for the small result of a bounded traversal."""
+    """score = 1 / position in the order (way, depth, id)."""
     keys = [c for c in ("way", "depth", "entity_id") if c in found.columns]
-    return found.withColumn("position", F.row_number().over(Window.orderBy(*keys))).withColumn("score", 1.0 / F.col("position"))
+    return numbered(found, keys, "position").withColumn("position", F.col("position").cast("int")).withColumn("score", 1.0 / F.col("position"))
 
 
 def traverse_multiset(relations: DataFrame, start: object, depth: int, types: list[str] = ()) -> DataFrame:
@@ -58,8 +112,7 @@ def closure(relations: DataFrame, start: object, relation_type: str, transitive:
     seen = cut(steps.where(F.col("at") == F.lit(start)).select(F.col("to").alias("entity_id")).distinct())
     frontier = seen
     while transitive and not frontier.isEmpty():
-        found = steps.join(frontier, F.col("at") == F.col("entity_id")).select(F.col("to").alias("entity_id")).distinct()
-        frontier = cut(found.join(seen, "entity_id", "left_anti"))
+        frontier = cut(_next(steps, frontier).join(seen, "entity_id", "left_anti"))
         seen = cut(seen.unionByName(frontier))
     return seen
 

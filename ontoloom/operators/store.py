@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +28,24 @@ def check_endpoints(relations: DataFrame, entities: DataFrame) -> tuple[DataFram
     return started.join(target, "target_id", "left_semi"), rejected
 
 
-def insert_new(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """existing and, of rows, the first with each key that it lacks; nothing is overwritten."""
-    return existing.unionByName(rows.dropDuplicates([key]).join(existing.select(key), key, "left_anti"))
+def insert_new(rows: DataFrame, existing: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """existing and, of rows, the first with each key that it lacks in the given order (by all columns if none is given); nothing is overwritten."""
+    first = latest(rows, key, order or [F.col(c) for c in sorted(rows.columns)])
+    return existing.unionByName(first.join(existing.select(key), key, "left_anti"))
+
+
+def create_entities(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, rejected): rows appended with one clock for created_at and updated_at; ids that exist already are rejected."""
+    now = F.current_timestamp()
+    new = rows.join(existing.select("entity_id"), "entity_id", "left_anti").withColumns({"created_at": now, "updated_at": now})
+    return existing.unionByName(new, allowMissingColumns=True), rows.join(existing.select("entity_id"), "entity_id", "left_semi")
+
+
+def upsert_vectors(existing: DataFrame, new: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, rejected) for vectors (collection, entity_id, embedding): a new one replaces the old; its collection must exist. new has one row for each id."""
+    known = new.join(collections.select("collection"), "collection", "left_semi")
+    kept = existing.join(known.select("collection", "entity_id"), ["collection", "entity_id"], "left_anti")
+    return kept.unionByName(known), new.join(collections.select("collection"), "collection", "left_anti")
 
 
 def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,19 +70,66 @@ def assign_sessions(events: DataFrame) -> DataFrame:
     sequential rules, with agents and the one-hour limit, are in streaming.traces.
     """
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    own = F.concat(F.lit("trace:"), F.col("event_id").cast("string"))
     opener = F.concat(F.lit("trace:"), F.first("event_id").over(w).cast("string"))
-    return events.withColumn("trace_id", F.coalesce("trace_id", F.when(F.col("session_id").isNotNull(), opener), own))
+    inside = events.where(F.col("session_id").isNotNull()).withColumn("trace_id", F.coalesce("trace_id", opener))
+    own = F.concat(F.lit("trace:"), F.col("event_id").cast("string"))
+    return inside.unionByName(events.where(F.col("session_id").isNull()).withColumn("trace_id", F.coalesce("trace_id", own)))
+
+
+@dataclass(frozen=True)
+class IngestOptions:
+    auto_create_traces: bool = True
+    generate_embeddings: bool = True
+
+
+def ingest_options(given: dict | None) -> IngestOptions:
+    """Options of a batch: fields that are left out are true, but without any options at all both are false."""
+    return IngestOptions(False, False) if given is None else IngestOptions(**given)
 
 
 def ingest_report(events: DataFrame, auto_create: bool = True) -> DataFrame:
-    """(index, ok, error) of a batch: without a timestamp, or without a trace id where none may be made, a row fails."""
+    """events with ok and error: without a trace id where none may be made a row fails, even if its session has a trace; so does one without a timestamp."""
     error = F.when(F.col("ts").isNull(), "missing timestamp")
     if not auto_create:
-        error = F.coalesce(error, F.when(F.col("trace_id").isNull(), F.lit("missing trace id")))
+        session = F.col("session_id") if "session_id" in events.columns else F.lit(None)
+        lost = F.when(session.isNotNull(), "Trace not found and auto-create disabled").otherwise("No trace specified and auto-create disabled")
+        error = F.coalesce(error, F.when(F.col("trace_id").isNull(), F.concat(F.lit("Failed to get/create trace: "), lost)))
     return events.withColumn("error", error).withColumn("ok", F.col("error").isNull())
 
 
+def bulk_result(report: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, traces, errors) of reported rows (index, trace_id, ok, error): ingested and failed; trace ids by their first index; errors by index."""
+    counts = report.agg(F.count_if("ok").alias("ingested"), F.count_if(~F.col("ok")).alias("failed"))
+    traces = report.where("ok").groupBy("trace_id").agg(F.min("index").alias("first_index"))
+    return counts, traces, report.where(~F.col("ok")).select("index", "error")
+
+
+def event_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) that a write of assigned events appends: the event, and an edge 'contains' from its trace."""
+    event, trace = F.concat(F.lit("agent_event:"), F.col("event_id").cast("string")), F.concat(F.lit("agent_trace:"), "trace_id")
+    entities = events.select(event.alias("entity_id"), F.lit("agent_event").alias("entity_type"), "trace_id", "properties")
+    return entities, events.select(F.lit("contains").alias("relation_type"), trace.alias("source_id"), event.alias("target_id"))
+
+
+#: The one collection for vectors of events.
+EVENTS_COLLECTION = "agent_events"
+
+
+def event_vectors(events: DataFrame, text: Column, embed: Callable[[Column], Column]) -> DataFrame:
+    """(collection, entity_id, embedding) of the events whose text isn't empty."""
+    rows = events.select(F.col("event_id").cast("string").alias("entity_id"), text.alias("text")).where("text <> ''")
+    return rows.select(F.lit(EVENTS_COLLECTION).alias("collection"), "entity_id", embed(F.col("text")).alias("embedding"))
+
+
+def linked_rows(items: DataFrame, agents: DataFrame, tasks: DataFrame, made: str, has: str) -> tuple[DataFrame, DataFrame]:
+    """(items, relations) of logs or thoughts (item_id, agent_id, task_id, ...): an edge from the agent, and one from the task; only from those that exist.
+
+    made and has: GENERATED_LOG and HAS_LOG, or GENERATED_THOUGHT and HAS_THOUGHT. The item is written in any case.
+    """
+    by = lambda kind, c, known: items.join(known.select(F.col("entity_id").alias(c)), c, "left_semi").select(F.lit(kind).alias("relation_type"), F.col(c).alias("source_id"), F.col("item_id").alias("target_id"))
+    return items, by(made, "agent_id", agents).unionByName(by(has, "task_id", tasks)).distinct()
+
+
 def drop_replays(events: DataFrame, key: str = "log_id") -> DataFrame:
     """The first event of each log id."""
     return latest(events, key, [F.col("ts"), F.col("event_id")])

@@ -42,7 +42,7 @@ def vector_query(vectors: DataFrame, entities: DataFrame, query: list[float], co
     hits = top_k_per_collection(vectors, query, limit, collections)
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
-    found = hits.drop("rank").join(entities, "entity_id")
+    found = hits.drop("rank").join(entities, "entity_id")  # limit rows of each collection at most
     found = found.withColumn("total_count", F.count("*").over(Window.partitionBy()))
     order = Window.orderBy(F.desc("score"), "entity_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -151,5 +151,15 @@ def similar_to_items(vectors: DataFrame, items: DataFrame, n: int, threshold: fl
     return top_k_of_queries(vectors, items, n).where((F.col("entity_id") != F.col("query_id")) & (F.col("score") >= threshold)).drop("rank")
 
 
+def filtered_top_k(vectors: DataFrame, entities: DataFrame, query: list[float], k: int) -> DataFrame:
+    """top_k among the given entities only, such as those whose metadata pass a filter; the filter comes before the ranking."""
+    return top_k(vectors.join(entities.select("entity_id").distinct(), "entity_id", "left_semi").select("collection", "entity_id", "embedding"), query, k)
+
+
+def similar_before_insert(vectors: DataFrame, entities: DataFrame, new: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(query_id, collection, entity_id, score, and the entity's columns): for each new row (query_id, embedding) its n nearest known rows with at least the threshold."""
+    return top_k_of_queries(vectors, new, n).where(F.col("score") >= threshold).drop("rank").join(entities, "entity_id")
+
+
 def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("collection").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dimension"))

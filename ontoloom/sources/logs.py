@@ -7,19 +7,24 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The patterns of the built-in rules, with the event type and the names of their groups.
+# The patterns of the built-in rules, tried in this order, each with its event type and the properties of its groups.
+# A group with '?' may be missing, and then gives no property. (?d) lets '.' stop at line feeds only.
 LANGCHAIN = (
-    (r"(?i)Running\s+(\w+)\s+tool(.*)", "tool_call", ("tool_name", "input")),
-    (r"(?i)Entering\s+(?:new\s+)?(\w+)\s+chain", "chain_execution", ("chain_name",)),
-    (r"(?i)Agent\s+(\w+)\s+(?:is\s+)?(executing|thinking|acting)", "agent_action", ("agent_name", "action")),
+    (r"(?id)(?:Entering new|Finished|Running) (\w+)(?: tool)?.*?(?:input[:\s]+)?(\{.*?\}|[^\n]+)", "tool_call", ("tool_name", "input")),
+    (r"(?id)(?:Entering new|Finished) (\w+) chain.*?(?:with input[:\s]+)?(.*)", "chain_execution", ("chain_type", "input")),
+    (r"(?id)Agent (Action|Finished).*?(?:tool[:\s]+)?(\w+)?.*?(?:input[:\s]+)?(.*)", "agent_action", ("action", "tool?", "input")),
 )
 LLAMAINDEX = (
-    (r"(?i)Query:\s*(.+)", "query", ("query",)),
-    (r"(?i)Retrieved\s+(\d+)\s+nodes", "retrieve", ("node_count",)),
+    (r"(?id)query[:\s]+([^\n]+).*?(?:response[:\s]+)?(.*)", "query", ("query", "response")),
+    (r"(?id)retrieve.*?(?:query[:\s]+)?([^\n]+).*?(?:nodes[:\s]+)?(\d+)", "retrieval", ("query", "node_count")),
 )
-SESSION = r"(?i)session[_-]?id[:\s]+([\w-]+)"
-REQUEST = r"(?i)(?:request|trace)[_-]?id[:\s]+([\w-]+)"
-AGENT = r"(?i)agent[_-]?id[:\s]+([\w-]+)"
+GENERIC_ERROR = r"(?id)(ERROR|FATAL|EXCEPTION).*?(.*?)(?:at|in|from)?\s*(.*)"
+SESSION = r"(?i)(?:session[-_]?id|sess[-_]?id)[:\s]+([a-zA-Z0-9\-]+)"
+REQUEST = r"(?i)(?:request[-_]?id|req[-_]?id|trace[-_]?id)[:\s]+([a-zA-Z0-9\-]+)"
+AGENT = r"(?i)(?:agent[-_]?id|agent[-_]?name)[:\s]+([a-zA-Z0-9\-]+)"
+
+#: The largest number of nodes that is taken over.
+MOST_NODES = 2**32 - 1
 
 
 @dataclass(frozen=True)
@@ -35,9 +40,19 @@ class Rule:
     priority: int = 100
 
 
-def _captured(text: Column, pattern: str, groups: tuple[str, ...]) -> Column:
-    pairs = [x for k, g in enumerate(groups) for x in (F.lit(g), F.regexp_extract(text, pattern, k + 1))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+def _captured(text: Column, pattern: str, groups: tuple[str, ...], **more: str) -> Column:
+    """A map of the groups' names and what they matched, with some fixed entries."""
+    pairs = [F.lit(x) for pair in more.items() for x in pair]
+    for k, g in enumerate(groups):
+        value = F.regexp_extract(text, pattern, k + 1)
+        if g.endswith("?"):
+            value = F.nullif(value, F.lit(""))
+        if g == "node_count":
+            number = value.try_cast("decimal(20)")
+            value = F.when(number <= MOST_NODES, number.cast("string"))
+        pairs += [F.lit(g.rstrip("?")), value]
+    made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.map_filter(made, lambda k, v: v.isNotNull())
 
 
 def _parsed(event_type: Column, properties: Column) -> Column:
@@ -51,13 +66,15 @@ def _rule(rule: Rule, text: Column) -> Column:
         made = F.from_json(text, "map<string,string>")
         added = [x for old, new in rule.mapping.items() for x in (F.lit(new), F.try_element_at(made, F.lit(old)))]
         full = F.map_concat(made, F.map_filter(F.create_map(*added), lambda k, v: v.isNotNull() & ~F.array_contains(F.map_keys(made), k))) if added else made
-        return F.when(F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{"), _parsed(F.coalesce(F.try_element_at(full, F.lit("event_type")), kind), full))
+        known = _parsed(F.coalesce(F.try_element_at(full, F.lit("event_type")), kind), full)
+        other = _parsed(kind, F.create_map(F.lit("message"), F.trim(text)))  # an array or a single value
+        return F.when(F.try_parse_json(text).isNotNull(), F.when(F.ltrim(text).startswith("{"), known).otherwise(other))
     if rule.kind == "regex":
         return F.when(text.rlike(rule.pattern), _parsed(kind, _captured(text, rule.pattern, rule.groups)))
     table = {"langchain": LANGCHAIN, "llamaindex": LLAMAINDEX}[rule.kind]
     out = F.lit(None)
     for pattern, event_type, groups in reversed(table):
-        out = F.when(text.rlike(pattern), _parsed(F.lit(event_type), _captured(text, pattern, groups))).otherwise(out)
+        out = F.when(text.rlike(pattern), _parsed(F.lit(event_type), _captured(text, pattern, groups, framework=rule.kind))).otherwise(out)
     return out
 
 
@@ -72,6 +89,27 @@ def parse_logs(logs: DataFrame, rules: list[Rule], agent_id: str | None = None)
     return rows.withColumns({"event_type": F.col("_p.event_type"), "properties": F.col("_p.properties"), "session_id": F.coalesce(taken(SESSION), taken(REQUEST)), "agent_id": agent}).drop("_p")
 
 
+def error_parts(message: Column) -> Column:
+    """A struct (level, message, location) by GENERIC_ERROR, null for other lines. No rule uses it."""
+    part = lambda k: F.regexp_extract(message, GENERIC_ERROR, k)
+    return F.when(message.rlike(GENERIC_ERROR), F.struct(part(1).alias("level"), part(2).alias("message"), part(3).alias("location")))
+
+
+def pull(logs: DataFrame, start_ms: int, end_ms: int, contains: str | None = None, stream: str | None = None) -> DataFrame:
+    """Log rows (log_stream, timestamp, message, ...) from start to end, both included, that hold a string, of one stream if given; oldest first.
+
+    event_id is that of the row, or for rows of a single stream without one the stream and time. All rows in the range are returned.
+    """
+    rows = logs.where(F.col("timestamp").between(start_ms, end_ms))
+    if contains:
+        rows = rows.where(F.col("message").contains(contains))
+    if stream is not None:
+        rows = rows.where(F.col("log_stream") == stream)
+    own = F.concat_ws("-", "log_stream", F.col("timestamp").cast("string"))
+    rows = rows.withColumn("event_id", F.coalesce("event_id", own) if "event_id" in logs.columns else own)
+    return rows.orderBy("timestamp", "event_id")
+
+
 def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Records of files that each hold a JSON array."""
     reader = spark.read.option("multiLine", True)
@@ -79,8 +117,8 @@ def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 #: The parts of a model-invocation record that the graph needs.
-INVOCATION = """timestamp string, requestId string, operation string, modelId string, errorCode string, identity struct<arn:string>,
-input struct<inputBodyJson:struct<messages:array<struct<role:string,content:array<struct<text:string,toolUse:struct<toolUseId:string,name:string,input:map<string,string>>,toolResult:struct<toolUseId:string,content:array<struct<text:string>>>>>>>>,inputTokenCount:bigint>,
+INVOCATION = """timestamp string, requestId string, region string, inferenceRegion string, operation string, modelId string, errorCode string, identity struct<arn:string>,
+input struct<inputBodyJson:struct<messages:array<struct<role:string,content:array<struct<text:string,toolUse:struct<toolUseId:string,name:string,input:map<string,string>>,toolResult:struct<toolUseId:string,content:array<struct<text:string>>>>>>>,system:array<struct<text:string>>,toolConfig:struct<tools:array<struct<toolSpec:struct<name:string>>>>>,inputTokenCount:bigint>,
 output struct<outputBodyJson:struct<output:struct<message:struct<role:string,content:array<struct<text:string,toolUse:struct<toolUseId:string,name:string,input:map<string,string>>>>>>,stopReason:string,metrics:struct<latencyMs:bigint>,usage:struct<inputTokens:bigint,outputTokens:bigint,totalTokens:bigint>>,outputTokenCount:bigint>"""
 
 PATIENT = r"(?i)\b(PAT\d+|patient-\d+)\b"

@@ -16,18 +16,19 @@ STATE = "traces string"
 def advance(traces: list[list], events: pd.DataFrame) -> list[tuple]:
     """Assigns the events of one agent in order of (ts_ms, event_id), and adds the traces it makes.
 
-    A trace is [trace_id, session_id, start]. A given trace id wins; else the newest trace of the session; else the agent's newest trace that
-    started less than an hour before; else a new one. An event with neither trace, session nor
-    agent always starts one, of session 'default'.
+    A trace is [trace_id, session_id, start]. A given trace id wins. An event with a session belongs to the newest trace of that session;
+    else, if it has an agent, to the agent's newest trace that started less than an hour before; else it starts a trace of its
+    session. A session that the agent's trace took in isn't registered by that. An event with neither trace nor
+    session always starts a trace, of session 'default'.
     """
     out = []
     for e in events.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
         session = e.session_id if isinstance(e.session_id, str) else None
         given = e.trace_id if isinstance(e.trace_id, str) else None
         found = given
-        if found is None and (session is not None or isinstance(e.agent_id, str)):
-            of_session = [t for t in traces if session is not None and t[1] == session]
-            recent = [t for t in traces if t[2] > e.ts_ms - HOUR_MS]
+        if found is None and session is not None:
+            of_session = [t for t in traces if t[1] == session]
+            recent = [t for t in traces if t[2] > e.ts_ms - HOUR_MS] if isinstance(e.agent_id, str) else []
             chosen = of_session or recent
             found = max(chosen, key=lambda t: (t[2], t[0]))[0] if chosen else None
         created = found is None
@@ -43,8 +44,19 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def assign_traces(events: DataFrame) -> DataFrame:
-    """Batch form for events (agent_id, event_id, ts_ms, session_id, trace_id): one group per agent. A session must belong to one agent."""
-    return events.groupBy("agent_id").applyInPandas(lambda pdf: _frame(advance([], pdf)), OUT)
+    """Batch form for events (agent_id, event_id, ts_ms, session_id, trace_id). A session must belong to one agent, or to none.
+
+    Events with a trace id, and agents' events without sessions anywhere, are decided by themselves. Only agents with sessions are walked
+    through in order, one group per agent; events without agent form a group per session.
+    """
+    with_session = F.max(F.col("session_id").isNotNull() & F.col("trace_id").isNull()).alias("walked")
+    agents = events.groupBy("agent_id").agg(with_session)
+    marked = events.join(agents.withColumnRenamed("agent_id", "a"), F.col("agent_id").eqNullSafe(F.col("a"))).drop("a")
+    walked = F.col("walked") & F.col("trace_id").isNull() & (F.col("agent_id").isNotNull() | F.col("session_id").isNotNull())
+    own = F.concat(F.lit("trace:"), F.col("event_id").cast("string"))
+    alone = marked.where(~walked).select("agent_id", "event_id", "ts_ms", "session_id", F.coalesce("trace_id", own).alias("trace_id"), F.col("trace_id").isNull().alias("created"))
+    group = [F.coalesce("agent_id", F.lit("")), F.when(F.col("agent_id").isNull(), F.col("session_id"))]
+    return alone.unionByName(marked.where(walked).drop("walked").groupBy(*group).applyInPandas(lambda pdf: _frame(advance([], pdf)), OUT))
 
 
 def assign_traces_stream(events: DataFrame) -> DataFrame:

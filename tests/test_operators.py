@@ -99,6 +99,18 @@ def test_graph_against_a_loop(spark):
     assert {r["entity_id"] for r in graph.reach(edges, 3, 5, entities=only).collect()} <= {22}
 
 
+def test_large_traversals_use_tables(spark, monkeypatch):
+    edges = spark.createDataFrame([("x", k, (k * s + 1) % 40) for k in range(40) for s in (2, 3)], "relation_type string, source_id long, target_id long")
+    want = [sorted(map(tuple, graph.reach(edges, 3, d).collect())) for d in (1, 3, 5)]
+    for few in (1, 4, 9):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert [sorted(map(tuple, graph.reach(edges, 3, d).collect())) for d in (1, 3, 5)] == want
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    got = graph.numbered(rows, ["v"], "place").collect()
+    assert {r["v"]: r["place"] for r in got} == {k: k + 1 for k in range(1000)}
+    assert graph.numbered(rows.limit(0), ["v"], "place").count() == 0
+
+
 def test_logs(spark):
     lines = ["Running WebSearch tool with input: weather forecast", '{"event_type": "test", "request_id":"req-123"}', "session_id: s1 hello", None, ""]
     rules = [logs.Rule("l", "langchain"), logs.Rule("j", "json", mapping={"request_id": "rid"}, priority=1), logs.Rule("r", "regex", r"(\w+) failed with (\d+)", ("job", "code"), event_type="failure")]
@@ -106,6 +118,17 @@ def test_logs(spark):
     assert [r["event_type"] for r in got] == ["tool_call", "test", None, None, None, "failure"]
     assert got[1]["properties"]["rid"] == "req-123" and got[1]["session_id"] is None and got[2]["session_id"] == "s1"
     assert got[5]["properties"] == {"job": "build", "code": "7"}
+    assert got[0]["properties"] == {"framework": "langchain", "tool_name": "WebSearch", "input": " with input: weather forecast"}
+    more = ["Finished calc tool now", "Agent Finished", "query: a b\nresponse: c", "Retrieve from nodes: 12", "[1]", "7", "req_id: r-1 agent_name: bob"]
+    rules = [logs.Rule("j", "json", priority=1), logs.Rule("l", "langchain"), logs.Rule("i", "llamaindex")]
+    got = logs.parse_logs(spark.createDataFrame([(x,) for x in more], "message string"), rules).collect()
+    assert [r["event_type"] for r in got] == ["tool_call", "agent_action", "query", "retrieval", None, None, None]
+    assert got[0]["properties"]["tool_name"] == "calc" and got[1]["properties"] == {"framework": "langchain", "action": "Finished", "input": ""}
+    assert got[2]["properties"]["query"] == "a b" and got[3]["properties"]["node_count"] == "2"
+    assert got[4]["properties"] == {"message": "[1]"} and got[5]["properties"] == {"message": "7"}
+    assert (got[6]["session_id"], got[6]["agent_id"]) == ("r-1", "bob")
+    errors = spark.createDataFrame([("FATAL disk full at node 3",), ("fine",)], "m string").select(logs.error_parts(F.col("m")).alias("e")).collect()
+    assert errors[0]["e"]["level"] == "FATAL" and errors[1]["e"] is None
 
 
 def record(k, **more):
@@ -150,7 +173,11 @@ def test_store(spark):
 
 
 def test_trace_rules():
+    """Sessions first, then the agent's trace of the last hour; neither for events without session, and no agent's trace for events without agent."""
     h = traces.HOUR_MS
+    columns = ["agent_id", "event_id", "ts_ms", "session_id", "trace_id"]
+    lost = traces.advance([], pd.DataFrame([(None, 1, 0, "s1", None), (None, 2, 10, "s2", None), (None, 3, 20, "s1", None), ("a", 4, 30, None, None), ("a", 5, 40, "s3", None), ("a", 6, 50, None, None)], columns=columns))
+    assert [r[4] for r in lost] == ["trace:1", "trace:2", "trace:1", "trace:4", "trace:4", "trace:6"]
     rows = [("a", 1, 0, "s", None), ("a", 2, 10, "s", None), ("a", 3, 20, "other", None), ("a", 4, 30, None, "given"), ("a", 5, h + 5, "other", None), ("a", 6, h + 6, "s", None)]
     got = traces.advance([], pd.DataFrame(rows, columns=["agent_id", "event_id", "ts_ms", "session_id", "trace_id"]))
     assert [r[4] for r in got] == ["trace:1", "trace:1", "trace:1", "given", "trace:5", "trace:1"]
