@@ -33,6 +33,8 @@ GROUP = 128
 BLOCK_TOKENS = 1 << 16
 #: Pieces that are encoded in one string.
 TOGETHER = 64
+#: Pieces whose ids a worker remembers, the first that it meets.
+MEMO = 600_000
 #: Closing marks: characters that are neither letters, digits nor white space.
 MARKS = ".,;:!?%$&*#|"
 #: White space other than spaces and line ends, in the widest sense.
@@ -66,6 +68,7 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         # How byte-level vocabularies write a space and a line end.
         self.begins[[k for token, k in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
 
     @classmethod
     def cached(cls, path: str) -> Encoder:
@@ -80,17 +83,28 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False):
                 yield e.ids
 
-    def _pieces(self, pieces: pa.Array) -> list[np.ndarray]:
-        """[ids, sizes] of pieces, which all begin with their only space or line end."""
+    def _together(self, pieces: pa.Array) -> pa.ListArray:
+        """The ids of pieces, which all begin with their only space or line end."""
         texts = pieces.to_pylist()
         ids = [np.array(x, np.uint32) for x in self._encode(["".join(texts[a : a + TOGETHER]) for a in range(0, len(texts), TOGETHER)])]
         flat = np.concatenate([np.zeros(0, np.uint32), *ids])
-        return [flat, np.diff(np.flatnonzero(self.begins[flat]), append=len(flat))]
-
-    def _texts(self, texts: list[str]) -> list[np.ndarray]:
-        """[ids, sizes] of texts one by one."""
-        ids = list(self._encode(texts))
-        return [np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)]
+        return pa.ListArray.from_arrays(np.append(np.flatnonzero(self.begins[flat]), len(flat)).astype(np.int32), flat)
+
+    def _pieces(self, pieces: pa.Array) -> pa.ListArray:
+        """_together for distinct pieces, of which some are known from texts before."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))
+        ids, every = self._together(new), self.known_ids
+        is_new = np.asarray(pc.is_null(at))
+        where = np.where(is_new, len(self.known) + np.cumsum(is_new) - 1, pc.fill_null(at, 0).to_numpy())
+        every = pa.concat_arrays([every, ids])
+        if len(self.known) < MEMO:
+            self.known, self.known_ids = pa.concat_arrays([self.known, new]), every
+        return every.take(pa.array(where))
+
+    def _texts(self, texts: list[str]) -> pa.ListArray:
+        """The ids of texts one by one."""
+        return pa.array(self._encode(texts), pa.list_(pa.uint32()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers of the machine's order (little-endian)."""
@@ -109,9 +123,8 @@ class Encoder:
         stems = pc.if_else(pc.starts_with(stems, "\n"), stems, pc.binary_join_element_wise(" ", stems, "")).dictionary_encode()
         heads = words.take(pieces.indices.take(pa.array(first[:-1])))  # no space before them
         # A list of ids for each stem, each tail and each head; a piece is one of the first two and one of the tails.
-        parts = [self._pieces(stems.dictionary), self._texts(tails.dictionary.to_pylist()), self._texts(heads.to_pylist())]
-        sizes = np.concatenate([n for _, n in parts])
-        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), np.concatenate([x for x, _ in parts]))
+        lists = pa.concat_arrays([self._pieces(stems.dictionary), self._texts(tails.dictionary.to_pylist()), self._texts(heads.to_pylist())])
+        sizes = pc.list_value_length(lists).to_numpy()
         n, tail_of = len(stems.dictionary), tails.indices.to_numpy()
         both = np.empty((len(which), 2), np.int32)
         both[:, 0], both[:, 1] = stems.indices.to_numpy()[which], n + tail_of[which]
