@@ -1,4 +1,8 @@
-"""From raw documents to encoded token ids: five stages, each over all that the one before it kept."""
+"""From raw documents to encoded token ids: five stages, each over all that the one before it kept.
+
+Each stage takes documents (doc_id long, text, lang, source, n_chars), ignores other columns, and works on empty tables. Ids
+needn't be unique: rows are decided by their own texts where that matters, see the operators' docstrings.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts fail them; repeated rows are kept or dropped alike; null ids stay."""
     return keep_good(docs.select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8). Texts without words have no duplicates; of repeated rows one stays."""
     return keep_one(docs.select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs. Null and empty texts and items match nothing; repeated rows stay or go alike."""
     return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
+    """The mix: each document as often as it is taken. Null texts have no words; a null source is one of its own; repeated rows share their copies' fate."""
     return repeat_by_copies(mix(docs, keep=tuple(COLUMNS)))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoded corpus, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The encoded corpus, read back: doc_id, start, n_tokens, ids_crc32. Null and empty texts have the end id only; each repeated row is written."""
     return encode_corpus(docs)
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoloom.functions.lineage import cut
+
 WINDOWS = {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
 
 
@@ -23,21 +28,40 @@ def tumbling(points: DataFrame, window: str | None = None) -> DataFrame:
     return points.groupBy("name", bucket.alias("bucket")).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("avg_value"), F.sum("value").alias("sum_value"), F.count("*").alias("n"))
 
 
+#: Points of a series that one window orders: a series is cut at multiples of this in seq.
+CHUNK = 1 << 16
+
+
+def _in_chunks(points: DataFrame, n: int) -> DataFrame:
+    """points with chunk, and carried copies of the last n points before each chunk, so that windows by (name, chunk) see across its start.
+
+    seq is unique in a series, so a chunk has CHUNK points at most; what is carried is a list of n points for each chunk.
+    """
+    points = points.select("name", "seq", "timestamp", "value").withColumn("chunk", F.expr(f"seq div {CHUNK}"))
+    point = F.struct("seq", "timestamp", "value")
+    tail = F.array(F.max(point)) if n == 1 else F.slice(F.sort_array(F.collect_list(point), asc=False), 1, n)
+    tails = points.groupBy("name", "chunk").agg(tail.alias("tail"))
+    before = Window.partitionBy("name").orderBy("chunk").rowsBetween(-n, -1)
+    carried = tails.withColumn("tail", F.slice(F.sort_array(F.flatten(F.collect_list("tail").over(before)), asc=False), 1, n))
+    carried = carried.select("name", "chunk", F.explode("tail").alias("p")).select("name", "p.seq", "p.timestamp", "p.value", "chunk", F.lit(True).alias("carried"))
+    return points.withColumn("carried", F.lit(False)).unionByName(carried)
+
+
 def moving_average(points: DataFrame, n: int) -> DataFrame:
     """The mean of the last n points in arrival order, for full windows only; none for n < 1."""
-    order = Window.partitionBy("name").orderBy("seq")
     if n < 1:
         return points.select("name", "seq", F.col("value").alias("moving_avg")).limit(0)
-    rows = points.withColumn("moving_avg", F.avg("value").over(order.rowsBetween(1 - n, 0))).withColumn("k", F.row_number().over(order))
-    return rows.where(F.col("k") >= n).select("name", "seq", "moving_avg")
+    last = Window.partitionBy("name", "chunk").orderBy("seq").rowsBetween(1 - n, 0)
+    rows = (_in_chunks(points, n - 1) if n > 1 else _in_chunks(points, 1)).withColumns({"moving_avg": F.avg("value").over(last), "n": F.count("*").over(last)})
+    return rows.where((F.col("n") == n) & ~F.col("carried")).select("name", "seq", "moving_avg")
 
 
 def rate_of_change(points: DataFrame) -> DataFrame:
     """Change per second against the point before; points that aren't later than it are left out."""
-    order = Window.partitionBy("name").orderBy("seq")
+    order = Window.partitionBy("name", "chunk").orderBy("seq")
     step = F.col("timestamp") - F.lag("timestamp").over(order)
     change = F.col("value") - F.lag("value").over(order)
-    rows = points.select("name", "seq", step.alias("dt"), change.alias("dv")).where(F.col("dt") > 0)
+    rows = _in_chunks(points, 1).withColumns({"dt": step, "dv": change}).where((F.col("dt") > 0) & ~F.col("carried"))
     return rows.select("name", "seq", (F.col("dv") / (F.col("dt") / 1000)).alias("rate"))
 
 
@@ -47,42 +71,72 @@ def nearest_rank(sorted_values: Column, p: float) -> Column:
     return F.when(F.size(sorted_values) > 0, F.element_at(sorted_values, F.greatest(at, F.lit(1))))
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """Nearest-rank percentiles by group, from ranks over distinct values: no group's values are gathered in one row.
+#: Ranges of values that are counted before the one that holds a rank is opened.
+RANGES = 1024
+
+
+def _values_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys and, for each name, the value at a rank from 1 of a group's n values; ranks: from n to the rank. Null for a rank below 1.
 
-    Values are counted first; the window over the counts then finds, for each percentile, the value whose cumulative count reaches the rank.
+    Values are counted, and the counts summed by RANGES equal ranges between a group's least and largest value; only the ranges that
+    hold a wanted rank are put in order. So no task orders a whole group, unless nearly all its distinct values lie in one range.
     """
+    number = F.col(value).cast("double")
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    counts = counts.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    rank = lambda p: F.round(F.lit(p / 100) * (F.col("n") - 1)).cast("long") + 1
-    return counts.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= rank(p), F.col(value))).alias(f"p{p}") for p in ps])
+    counts = cut(counts)
+    span = cut(counts.groupBy(*keys).agg(F.min(number).alias("low"), F.max(number).alias("high"), F.sum("c").alias("n")))  # small ones are broadcast, as their size is known
+    share = F.try_divide(number - F.col("low"), F.col("high") - F.col("low"))
+    placed = _with(counts, span, keys).withColumn("range", F.coalesce(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)), F.lit(0)))
+    sums = placed.groupBy(*keys, "range").agg(F.sum("c").alias("inside"), F.first("n").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
+    holds = reduce(lambda a, b: a | b, [(F.col("before") < r(F.col("n"))) & (r(F.col("n")) <= F.col("before") + F.col("inside")) for r in ranks.values()])
+    opened = _with(placed, cut(sums.where(holds).select(*keys, "range", "before")), [*keys, "range"])
+    opened = opened.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "range").orderBy(value)))
+    found = opened.groupBy(*keys).agg(*[F.min(F.when((F.col("upto") >= r(F.col("n"))) & (r(F.col("n")) > 0), F.col(value))).alias(k) for k, r in ranks.items()])
+    return _with(span.select(*keys), found, keys, "left")
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by keys, of which nulls are equal."""
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), how).drop(*[f"_{k}" for k in keys])
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """Nearest-rank percentiles by group, sorted[round(p / 100 * (n - 1))]; see _values_at."""
+    rank = lambda p: lambda n: F.round(F.lit(p / 100) * (n - 1)).cast("long") + 1
+    return _values_at(rows, keys, value, {f"p{p}": rank(p) for p in ps})
 
 
 def retained(rows: DataFrame, keys: list[str], cap: int = 10_000, drop: int = 1_000) -> DataFrame:
-    """The durations that a buffer keeps which drops its oldest `drop` rows whenever it holds more than `cap`."""
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    gone = F.when(n > cap, F.ceil((n - cap) / F.lit(drop)) * drop).otherwise(F.lit(0))
-    return ranked.withColumn("gone", gone).where(F.col("k") > F.col("gone")).drop("k", "gone")
+    """The rows that a buffer keeps which drops its oldest `drop` rows, by seq, whenever it holds more than `cap`; seq is unique in a group."""
+    chunk, group = F.expr(f"seq div {CHUNK}"), Window.partitionBy(*keys)
+    sums = rows.groupBy(*keys, chunk.alias("chunk")).agg(F.count("*").alias("inside"))
+    earlier = group.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"n": F.sum("inside").over(group), "before": F.coalesce(F.sum("inside").over(earlier), F.lit(0))})
+    gone = F.when(F.col("n") > cap, F.ceil((F.col("n") - cap) / F.lit(drop)) * drop).otherwise(F.lit(0))
+    # Only the chunk in which the last dropped row lies is put in order.
+    edge = sums.withColumn("skip", gone - F.col("before")).where((F.col("skip") > 0) & (F.col("skip") <= F.col("inside")))
+    edge = cut(edge.select(*keys, F.col("chunk").alias("edge"), "skip"))
+    opened = _with(rows.select(*keys, "seq"), edge, keys).where(chunk == F.col("edge"))
+    last = opened.withColumn("k", F.row_number().over(group.orderBy("seq"))).where(F.col("k") == F.col("skip")).select(*keys, F.col("seq").alias("gone"))
+    return _with(rows, cut(last), keys, "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone"))).drop("gone")
 
 
 def query_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """total, avg and percentiles of duration (retained rows), error_rate (all rows) of rows (keys, seq, duration, failed)."""
     totals = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.avg(F.col("failed").cast("double")).alias("error_rate"))
-    kept = retained(rows, keys)
-    spread = kept.groupBy(*keys).agg(F.avg("duration").alias("avg_duration")).join(percentiles(kept, keys, "duration"), keys)
-    return totals.join(spread, keys)
+    kept = cut(retained(rows, keys))  # the buffer's cap bounds a group
+    spread = _with(kept.groupBy(*keys).agg(F.avg("duration").alias("avg_duration")), percentiles(kept, keys, "duration"), keys, "left")
+    return _with(totals, spread, keys)
 
 
 def performance(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, population deviation, extremes, upper median sorted[n / 2] and count by group."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    middle = counts.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    middle = middle.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= F.expr("n div 2") + 1, F.col(value))).alias("median"))
+    middle = _values_at(rows, keys, value, {"median": lambda n: F.call_function("div", n, F.lit(2)) + 1})
     stats = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.count("*").alias("n"))
-    return stats.join(middle, keys)
+    return _with(stats, middle, keys, "left")
 
 
 def slow_rows(rows: DataFrame, threshold: float) -> DataFrame:
@@ -100,8 +154,9 @@ def z_score_anomalies(points: DataFrame, threshold: float = 2.0, at_least: int =
 
 def sudden_changes(points: DataFrame, percent: float) -> DataFrame:
     """Points that differ from the point before by more than `percent` per cent; a previous value of 0 is skipped."""
-    before = F.lag("value").over(Window.partitionBy("name").orderBy("seq"))
-    rows = points.withColumn("before", before).where(F.col("before") != 0).withColumn("change", F.abs((F.col("value") - F.col("before")) / F.col("before")) * 100).where(F.col("change") > percent)
+    before = F.lag("value").over(Window.partitionBy("name", "chunk").orderBy("seq"))
+    rows = _in_chunks(points, 1).withColumn("before", before).where((F.col("before") != 0) & ~F.col("carried"))
+    rows = rows.withColumn("change", F.abs((F.col("value") - F.col("before")) / F.col("before")) * 100).where(F.col("change") > percent)
     level = F.when(F.col("change") > 2 * percent, "critical").when(F.col("change") > 1.5 * percent, "high").otherwise("medium")
     return rows.select("name", "seq", "before", "value", "change", level.alias("severity"))
 

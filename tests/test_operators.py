@@ -99,6 +99,25 @@ def test_graph_against_a_loop(spark):
     assert {r["entity_id"] for r in graph.reach(edges, 3, 5, entities=only).collect()} <= {22}
 
 
+def test_chunks_and_ranges_change_nothing(spark, monkeypatch):
+    rows = [("a" if k % 3 else None, k * k, 1000 * k, float((k * 37) % 101) if k % 7 else 1e9 * k) for k in range(300)]
+    points = spark.createDataFrame(rows, "name string, seq long, timestamp long, value double")
+    timed = spark.createDataFrame([(n, q, v, False) for n, q, _, v in rows], "name string, seq long, duration double, failed boolean")
+    forms = [lambda: A.moving_average(points, 5), lambda: A.moving_average(points, 1), lambda: A.rate_of_change(points), lambda: A.sudden_changes(points, 10.0), lambda: A.percentiles(timed, ["name"], "duration"), lambda: A.retained(timed, ["name"], 50, 20), lambda: A.performance(timed, ["name"], "duration")]
+    want = [sorted(map(repr, f().collect())) for f in forms]
+    for chunk, ranges in ((1, 1), (7, 3), (1000, 64)):
+        monkeypatch.setattr(A, "CHUNK", chunk)
+        monkeypatch.setattr(A, "RANGES", ranges)
+        assert [sorted(map(repr, f().collect())) for f in forms] == want
+    for name in ("a", None):
+        values = sorted(v for n, _, _, v in rows if n == name)
+        got = [r for r in A.percentiles(timed, ["name"], "duration").collect() if r["name"] == name][0]
+        assert got["p50"] == values[int(0.5 * (len(values) - 1) + 0.5)] and got["p99"] == values[int(0.99 * (len(values) - 1) + 0.5)]
+        series = [(q, v) for n, q, _, v in rows if n == name]
+        means = {q: sum(v for _, v in series[k - 4 : k + 1]) / 5 for k, (q, _) in enumerate(series) if k >= 4}
+        assert {r["seq"]: r["moving_avg"] for r in A.moving_average(points, 5).collect() if r["name"] == name} == pytest.approx(means)
+
+
 def test_large_traversals_use_tables(spark, monkeypatch):
     edges = spark.createDataFrame([("x", k, (k * s + 1) % 40) for k in range(40) for s in (2, 3)], "relation_type string, source_id long, target_id long")
     want = [sorted(map(tuple, graph.reach(edges, 3, d).collect())) for d in (1, 3, 5)]
