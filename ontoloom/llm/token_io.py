@@ -147,7 +147,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         import zstandard
 
         encoder, end, squeeze = Encoder.cached(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
-        for batch, texts in slices(batches, most=10 << 20):
+        for batch, texts in slices(batches, most=5 << 20):
             ids = [x + end for x in encoder.encode(texts)]
             total = np.bincount(np.frombuffer(b"".join(ids), np.uint32))
             used, empty = np.flatnonzero(total), [None] * (len(ids) - 1)
