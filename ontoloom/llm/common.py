@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -39,18 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What goes to a Python worker at once, in bytes; both sides hold a batch as a whole.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(5 << 20)}
+
+
 class Saved:
     """A table written to the shared folder and read again: it cuts the lineage and has a known size."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/ontoloom/{name}-{uuid.uuid4().hex}"
-        before = self.spark.conf.get(CLEAN_UP, "false")
-        self.spark.conf.set(CLEAN_UP, "true")
+        wanted = {CLEAN_UP: "true"} | BATCH_BYTES
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
         try:
+            for k, v in wanted.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(self.path)
         finally:
-            self.spark.conf.set(CLEAN_UP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def _fs(self):
@@ -95,6 +103,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         for a, b in chunks(sizes, most):
             part = batch.slice(a, b - a)
             yield part, [x or "" for x in part.column(column).to_pylist()]
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that isn't in use goes back to the system, as a Python worker outlives its task and the stages share an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def chunks(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
