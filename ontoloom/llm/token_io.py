@@ -34,7 +34,7 @@ BLOCK_TOKENS = 1 << 16
 #: Pieces that are encoded in one string.
 TOGETHER = 64
 #: Pieces whose ids a worker remembers, the first that it meets.
-MEMO = 600_000
+MEMO = 300_000
 #: Closing marks: characters that are neither letters, digits nor white space.
 MARKS = ".,;:!?%$&*#|"
 #: White space other than spaces and line ends, in the widest sense.
@@ -147,7 +147,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         import zstandard
 
         encoder, end, squeeze = Encoder.cached(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
-        for batch, texts in slices(batches, most=5 << 20):
+        for batch, texts in slices(batches, most=2 << 20):
             ids = [x + end for x in encoder.encode(texts)]
             total = np.bincount(np.frombuffer(b"".join(ids), np.uint32))
             used, empty = np.flatnonzero(total), [None] * (len(ids) - 1)
