@@ -327,7 +327,10 @@ def onto_closure(spark, d):
     return views.ONTOLOGY.closure_table(spark)
 
 
-@query("onto_inferred", f"WITH RECURSIVE {_ONTO} SELECT sub AS type, r AS relation, sub AS source, ran AS target, 'SubtypeInheritance' AS reason FROM rels JOIN closure ON super = dom UNION ALL SELECT sub, r, ran, sub, 'Symmetric' FROM rels JOIN closure ON super = dom WHERE sym UNION ALL SELECT sub, inv, ran, sub, 'Inverse' FROM rels JOIN closure ON super = dom WHERE inv IS NOT NULL")
+_INFERRED = "SELECT sub AS type, r AS relation, sub AS source, ran AS target, 'SubtypeInheritance' AS reason FROM rels JOIN closure ON super = dom UNION ALL SELECT sub, r, ran, sub, 'Symmetric' FROM rels JOIN closure ON super = dom WHERE sym UNION ALL SELECT sub, inv, ran, sub, 'Inverse' FROM rels JOIN closure ON super = dom WHERE inv IS NOT NULL"
+
+
+@query("onto_inferred", f"WITH RECURSIVE {_ONTO} {_INFERRED}")
 def onto_inferred(spark, d):
     return views.ONTOLOGY.inferred_table(spark)
 
@@ -491,5 +494,62 @@ def agent_events_by_range(spark, d):
     return e.where("user_id = 7 AND event_type IN ('click', 'view') AND ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-20'").select("event_id", "ts", "value")
 
 
+@query("entity_lookup", "SELECT 'customer:' || c_custkey AS entity_id, 'Customer' AS entity_type FROM customer WHERE c_custkey IN (1, 5) UNION ALL SELECT 'part:' || p_partkey, 'Part' FROM part WHERE p_partkey = 2")
+def entity_lookup(spark, d):
+    return store.get(views.entities(spark, d), "entity_id", ["customer:1", "customer:5", "part:2", "part:none"]).select("entity_id", "entity_type")
+
+
+@query("scan_type", "SELECT 'order:' || o_orderkey AS entity_id FROM orders")
+def scan_type(spark, d):
+    return views.entities(spark, d).where("entity_type = 'Order'").select("entity_id")
+
+
+@query("list_by_label", "SELECT 'part:' || p_partkey AS entity_id, p_name AS name FROM part ORDER BY p_name, entity_id LIMIT 20")
+def list_by_label(spark, d):
+    return store.list_by_label(views.entities(spark, d), "Part", "name", 20).select("entity_id", "name")
+
+
+@query("schema_put", "SELECT event_type AS namespace, max(event_id) AS version FROM events GROUP BY 1")
+def schema_put(spark, d):
+    """Even events are known schemas, odd ones new; ids serve as times."""
+    e = views.table(spark, d, "events").select(F.col("event_type").alias("namespace"), F.col("event_id").alias("created_at"))
+    return store.put_schema(e.where("created_at % 2 = 0"), e.where("created_at % 2 = 1")).select("namespace", F.col("created_at").alias("version"))
+
+
+@query("vectors_with_metadata", "SELECT vec_id AS entity_id, 'item-' || vec_id AS name, label AS collection FROM embeddings")
+def vectors_with_metadata(spark, d):
+    return views.vectors(spark, d).drop("embedding").join(views.vector_entities(spark, d), "entity_id")
+
+
+@query("graph_symmetric", f"WITH RECURSIVE {_EDGES.replace('edges AS', 'given AS', 1)}, edges AS (SELECT * FROM given UNION ALL SELECT t, b, a FROM given WHERE t = 'near'), {_walk('o', 3, 3, 'a', 'b')} SELECT entity_id, CAST(depth AS INTEGER) AS depth FROM o")
+def graph_symmetric(spark, d):
+    return graph.reach(graph.with_symmetric(views.vector_edges(spark, d), ["near"]), 3, 3)
+
+
+@query("vec_similar_edges", f"WITH {_SCORES}, {_EDGES} SELECT entity_id, round(s, 6) AS score, string_agg(t || '>' || b, ' ' ORDER BY t, b) AS edges FROM scores JOIN edges ON a = entity_id WHERE s >= 0.1 GROUP BY ALL")
+def vec_similar_edges(spark, d):
+    found = _rounded(vector.similar_with_edges(views.vectors(spark, d), views.vector_edges(spark, d), views.query_vector(spark, d), 0.1))
+    return found.select("entity_id", "score", F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e["relation_type"], e["target_id"].cast("string"))), " ").alias("edges"))
+
+
+@query("vec_inferred", f"WITH RECURSIVE {_ONTO}, {_SCORES}, h AS (SELECT * FROM scores WHERE collection BETWEEN 0 AND 2 QUALIFY row_number() OVER (PARTITION BY collection ORDER BY s DESC, entity_id) <= 3), i AS ({_INFERRED}) SELECT entity_id, i.relation, i.source, i.target, i.reason FROM h JOIN i ON i.type = (['Customer', 'Supplier', 'Nation'])[h.collection + 1]")
+def vec_inferred(spark, d):
+    """The best of three collections, taken as customers, suppliers and nations, with their types' relations."""
+    kind = F.element_at(F.array(F.lit("Customer"), F.lit("Supplier"), F.lit("Nation")), F.col("collection").cast("int") + 1)
+    hits = vector.top_k_per_collection(views.vectors(spark, d), views.query_vector(spark, d), 3, [0, 1, 2]).withColumn("type", kind)
+    return vector.with_inferred(hits, views.ONTOLOGY.inferred_table(spark)).select("entity_id", "relation", "source", "target", "reason")
+
+
+@query("event_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 7200500 MILLISECONDS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def event_sessions(spark, d):
+    found = A.sessions(views.table(spark, d, "events"), ["user_id"], "7200 seconds 500 milliseconds")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("audit_by_day", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2")
+def audit_by_day(spark, d):
+    return A.audit(views.table(spark, d, "events"), F.expr("TIMESTAMP_NTZ '2024-01-05'"), F.expr("TIMESTAMP_NTZ '2024-01-20'"), "event_type")
+
+
 QUERIES.update(catalogue_more.QUERIES)
 ORACLE_SQL.update(catalogue_more.ORACLE_SQL)

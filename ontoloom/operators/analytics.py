@@ -139,6 +139,18 @@ def performance(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return _with(stats, middle, keys, "left")
 
 
+def sessions(events: DataFrame, keys: list[str], gap: str, time: str = "ts") -> DataFrame:
+    """(keys, start, n): events that follow each other within the gap are one session."""
+    w = F.session_window(F.col(time), gap)
+    return events.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
+
+
+def audit(events: DataFrame, since: Column, until: Column, kind: str, time: str = "ts") -> DataFrame:
+    """(day, kind, n) of the events from since up to and without until."""
+    inside = events.where((F.col(time) >= since) & (F.col(time) < until))
+    return inside.groupBy(F.to_date(time).alias("day"), kind).agg(F.count("*").alias("n"))
+
+
 def slow_rows(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.where(F.col("duration") > threshold)
 

@@ -50,6 +50,13 @@ def _next(steps: DataFrame, frontier: DataFrame) -> DataFrame:
     return steps.join(frontier.select(F.col("entity_id").alias("at")), "at", "left_semi").select(F.col("to").alias("entity_id")).distinct()
 
 
+def with_symmetric(relations: DataFrame, symmetric: list[str]) -> DataFrame:
+    """Edges, and those of symmetric types turned around as well, so that traversals pass them both ways."""
+    edges = relations.select("relation_type", "source_id", "target_id")
+    turned = edges.where(F.col("relation_type").isin(symmetric)).select("relation_type", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    return edges.unionByName(turned)
+
+
 def into_set(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations whose target is one of the entities."""
     return relations.join(entities.select(F.col("entity_id").alias("target_id")), "target_id", "left_semi")

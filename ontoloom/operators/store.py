@@ -53,6 +53,21 @@ def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new).dropDuplicates(["source_id", "relation_type", "target_id"])
 
 
+def get(rows: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows with the given ids; unknown ids give none."""
+    return rows.where(F.col(key).isin(ids))
+
+
+def put_schema(schemas: DataFrame, new: DataFrame) -> DataFrame:
+    """Schemas (namespace, created_at, ...) with the new ones in place of older ones of the same namespace."""
+    return latest(schemas.unionByName(new), "namespace", [F.desc("created_at")])
+
+
+def list_by_label(entities: DataFrame, label: str, order: str, limit: int) -> DataFrame:
+    """The first entities of a type by a column, ties by id."""
+    return entities.where(F.col("entity_type") == label).orderBy(order, "entity_id").limit(limit)
+
+
 def page(rows: DataFrame, key: str, skip: int, limit: int) -> DataFrame:
     """Rows skip + 1 to skip + limit in the order of the key."""
     return rows.orderBy(key).offset(skip).limit(limit)

@@ -161,5 +161,18 @@ def similar_before_insert(vectors: DataFrame, entities: DataFrame, new: DataFram
     return top_k_of_queries(vectors, new, n).where(F.col("score") >= threshold).drop("rank").join(entities, "entity_id")
 
 
+def similar_with_edges(vectors: DataFrame, relations: DataFrame, query: list[float], threshold: float) -> DataFrame:
+    """(collection, entity_id, score, edges): all rows with at least the threshold, and their outgoing edges (relation_type, target_id) in order; none is an empty list."""
+    hits = scored(vectors, query).where(F.col("score") >= threshold)
+    near = relations.join(hits.select(F.col("entity_id").alias("source_id")).distinct(), "source_id", "left_semi")
+    lists = near.groupBy(F.col("source_id").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("relation_type", "target_id"))).alias("edges"))
+    return hits.join(lists, "entity_id", "left").withColumn("edges", F.coalesce("edges", F.array()))
+
+
+def with_inferred(hits: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Hits (entity_id, type, ...) with the relations that the ontology infers for their types (type, relation, source, target, reason); types without any give no row."""
+    return hits.join(inferred, "type")
+
+
 def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("collection").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dimension"))
