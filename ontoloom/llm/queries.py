@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ontoloom.llm import decontam, mixing, neardup, ngram_rules, quality, substring_dedup, token_io, toxicity, urlfilter, warc
+from ontoloom.llm import clustering, decontam, embedding_dedup, mixing, neardup, ngram_rules, quality, substring_dedup, token_io, toxicity, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,9 @@ QUERIES = {
         urlfilter.op8_url_filter,
         mixing.op9_mix_sources,
         substring_dedup.op10_suffix_dedup,
+        embedding_dedup.op11_embedding_near_dedup,
+        clustering.op13_centroid_clustering,
     )
 }
 
-ORACLE_SQL = {"op3_resolve_revisits": warc.OP3_SQL, "op8_url_filter": urlfilter.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL}
+ORACLE_SQL = {"op3_resolve_revisits": warc.OP3_SQL, "op8_url_filter": urlfilter.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL, "op11_embedding_near_dedup": embedding_dedup.OP11_SQL, "op13_centroid_clustering": clustering.OP13_SQL}
