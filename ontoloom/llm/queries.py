@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ontoloom.llm import clustering, decontam, embedding_dedup, mixing, neardup, ngram_rules, quality, substring_dedup, token_io, toxicity, urlfilter, warc
+from ontoloom.llm import alignment, clustering, decontam, embedding_dedup, mixing, neardup, ngram_rules, quality, substring_dedup, token_io, toxicity, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         mixing.op9_mix_sources,
         substring_dedup.op10_suffix_dedup,
         embedding_dedup.op11_embedding_near_dedup,
+        alignment.op12_cross_tokenizer_alignment,
         clustering.op13_centroid_clustering,
     )
 }
