@@ -42,15 +42,15 @@ def searchable_text(head: list[Column], metadata: Column) -> Column:
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " | ")
 
 
-METADATA_KEYS = ("name", "title", "description", "summary", "role", "goal")  # fixed values: the keys that are read, in this order
+METADATA_KEYS = ("role", "goal", "backstory", "description", "expected_output", "agent")  # fixed values: the keys that are read, in this order
 
 
 def metadata_text(metadata: Column, keys: tuple[str, ...] = METADATA_KEYS) -> Column:
-    """The trimmed values of the given keys in order, joined by '. '; if there are none, all other values by key."""
+    """The trimmed values of the given keys in order, joined by '. '; if there are none, all other values in the map's order. Nulls and blanks are skipped; a null map has no text."""
     known = F.array(*[F.trim(F.try_element_at(metadata, F.lit(k))) for k in keys])
     full = lambda a: F.array_join(F.filter(a, lambda x: x.isNotNull() & (x != "")), ". ")
-    rest = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.trim(e["value"]))
-    return F.when(full(known) != "", full(known)).otherwise(full(rest))
+    rest = F.transform(F.map_values(metadata), F.trim)
+    return F.coalesce(F.nullif(full(known), F.lit("")), full(rest), F.lit(""))
 
 
 def log_text(level: Column, message: Column) -> Column:

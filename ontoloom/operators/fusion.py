@@ -14,7 +14,7 @@ from ontoloom.operators import vector as V
 RRF_K = 60
 
 #: Other names that clients use for the strategies.
-ALIASES = {"vector_prioritized": "vector_priority", "graph_prioritized": "graph_priority", "rrf": "rank_fusion", "reciprocal_rank_fusion": "rank_fusion"}
+ALIASES = {"vector_prioritized": "vector_priority", "graph_prioritized": "graph_priority"}
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def fuse(vector: DataFrame, graph: DataFrame, strategy: str = "rank_fusion") -> DataFrame:
-    """(entity_id, score, source) by one of union, intersection, rank_fusion, vector_priority, graph_priority.
+    """(entity_id, score, source) by one of union, intersection, rank_fusion, vector_priority, graph_priority, vector_only, graph_only.
 
     union: the mean for common ids. intersection: common ids with the vector's score. rank_fusion: the sum of 1 / (60 + rank). vector_priority:
-    all vector rows. graph_priority: all graph rows, with the vector's score where there is one.
+    all vector rows. graph_priority: all graph rows, with the vector's score where there is one. vector_only, graph_only: one side as it is.
     """
     strategy = ALIASES.get(strategy, strategy)
+    if strategy in ("vector_only", "graph_only"):
+        side = strategy.removesuffix("_only")
+        return (vector if side == "vector" else graph).select("entity_id", "score", F.lit(side).alias("source"))
     v = vector.select("entity_id", F.col("score").alias("vs"))
     g = graph.select("entity_id", F.col("score").alias("gs"))
     both = F.col("vs").isNotNull() & F.col("gs").isNotNull()

@@ -1,85 +1,47 @@
-"""Trace assignment in event order, the same transition for batches and streams."""
+"""Trace assignment in batches and streams, replays, windowed counts and ingestion."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-HOUR_MS = 3_600_000
-OUT = "agent_id string, event_id long, ts_ms long, session_id string, trace_id string, created boolean"
-STATE = "traces string"
+from ontoloom.operators import trace_sets
+from ontoloom.operators.trace_sets import HOUR_MS, TRACES
 
+__all__ = ["HOUR_MS", "assign_traces", "assign_traces_stream", "ingest", "windowed_counts", "without_replays"]
 
-def advance(traces: list[list], events: pd.DataFrame) -> list[tuple]:
-    """Assigns the events of one agent in order of (ts_ms, event_id), and adds the traces it makes.
+#: The batch form: agent_id, event_id, ts_ms, session_id, trace_id, created. The rules are those of operators.trace_sets.
+assign_traces = trace_sets.assign
 
-    A trace is [trace_id, session_id, start]. A given trace id wins. An event with a session belongs to the newest trace of that session;
-    else, if it has an agent, to the agent's newest trace that started less than an hour before; else it starts a trace of its
-    session. A session that the agent's trace took in isn't registered by that. An event with neither trace nor
-    session always starts a trace, of session 'default'.
-    """
-    out = []
-    for e in events.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
-        session = e.session_id if isinstance(e.session_id, str) else None
-        given = e.trace_id if isinstance(e.trace_id, str) else None
-        found = given
-        if found is None and session is not None:
-            of_session = [t for t in traces if t[1] == session]
-            recent = [t for t in traces if t[2] > e.ts_ms - HOUR_MS] if isinstance(e.agent_id, str) else []
-            chosen = of_session or recent
-            found = max(chosen, key=lambda t: (t[2], t[0]))[0] if chosen else None
-        created = found is None
-        if created:
-            found = f"trace:{e.event_id}"
-            traces.append([found, session or "default", int(e.ts_ms)])
-        out.append((e.agent_id, e.event_id, e.ts_ms, session, found, created))
-    return out
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["agent_id", "event_id", "ts_ms", "session_id", "trace_id", "created"])
-
-
-def assign_traces(events: DataFrame) -> DataFrame:
-    """Batch form for events (agent_id, event_id, ts_ms, session_id, trace_id). A session must belong to one agent, or to none.
-
-    Events with a trace id, and agents' events without sessions anywhere, are decided by themselves. Only agents with sessions are walked
-    through in order, one group per agent; events without agent form a group per session.
-    """
-    with_session = F.max(F.col("session_id").isNotNull() & F.col("trace_id").isNull()).alias("walked")
-    agents = events.groupBy("agent_id").agg(with_session)
-    marked = events.join(agents.withColumnRenamed("agent_id", "a"), F.col("agent_id").eqNullSafe(F.col("a"))).drop("a")
-    walked = F.col("walked") & F.col("trace_id").isNull() & (F.col("agent_id").isNotNull() | F.col("session_id").isNotNull())
-    own = F.concat(F.lit("trace:"), F.col("event_id").cast("string"))
-    alone = marked.where(~walked).select("agent_id", "event_id", "ts_ms", "session_id", F.coalesce("trace_id", own).alias("trace_id"), F.col("trace_id").isNull().alias("created"))
-    group = [F.coalesce("agent_id", F.lit("")), F.when(F.col("agent_id").isNull(), F.col("session_id"))]
-    return alone.unionByName(marked.where(walked).drop("walked").groupBy(*group).applyInPandas(lambda pdf: _frame(advance([], pdf)), OUT))
 
+def _read(spark, path: str) -> DataFrame:
+    """The table at path, or one without rows where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.schema(TRACES).parquet(path)
+    return spark.createDataFrame([], TRACES)
 
-def assign_traces_stream(events: DataFrame) -> DataFrame:
-    """Stream form: each agent's traces are kept as state. Sessions stay known; agents without events for a day are forgotten.
 
-    A processing-time timeout asks for another batch after every batch, so a query with the trigger availableNow ends only with
-    spark.sql.streaming.noDataMicroBatches.enabled set to false.
-    """
-    import json
+def assign_traces_stream(events: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer that assigns a stream's events by micro-batches: rows go to <folder>/assigned, by batch, and what later batches need to <folder>/state.
 
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    A micro-batch is resolved as a set after the traces of all before it, so batches in order of time give what assign_traces gives for all rows at
+    once. The state has a row per session and one per agent of the last hour, in place of a state per key: a session's trace depends on its
+    agents' traces and these on other sessions, so no single key holds both. A replayed batch reads the state before it and writes
+    its own rows and state anew. Set a checkpoint and a trigger, then start it.
+    """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        traces = json.loads(state.get[0]) if state.exists else []
-        rows = advance(traces, pd.concat(list(batches)))
-        state.update((json.dumps(traces),))
-        state.setTimeoutDuration(24 * HOUR_MS)
-        yield _frame(rows)
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _read(spark, f"{folder}/state/{number - 1}")
+        assigned, new = trace_sets.resolve(batch, before)
+        assigned.write.mode("overwrite").parquet(f"{folder}/assigned/batch={number}")
+        trace_sets.carried(before, new).coalesce(8).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    return events.groupBy("agent_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.writeStream.foreachBatch(write)
 
 
 def without_replays(events: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -191,32 +191,5 @@ def test_store(spark):
     assert [x["relation_id"] for x in ok.collect()] == [1] and sorted(x["relation_id"] for x in bad.collect()) == [2, 3, 4]
 
 
-def test_trace_rules():
-    """Sessions first, then the agent's trace of the last hour; neither for events without session, and no agent's trace for events without agent."""
-    h = traces.HOUR_MS
-    columns = ["agent_id", "event_id", "ts_ms", "session_id", "trace_id"]
-    lost = traces.advance([], pd.DataFrame([(None, 1, 0, "s1", None), (None, 2, 10, "s2", None), (None, 3, 20, "s1", None), ("a", 4, 30, None, None), ("a", 5, 40, "s3", None), ("a", 6, 50, None, None)], columns=columns))
-    assert [r[4] for r in lost] == ["trace:1", "trace:2", "trace:1", "trace:4", "trace:4", "trace:6"]
-    rows = [("a", 1, 0, "s", None), ("a", 2, 10, "s", None), ("a", 3, 20, "other", None), ("a", 4, 30, None, "given"), ("a", 5, h + 5, "other", None), ("a", 6, h + 6, "s", None)]
-    got = traces.advance([], pd.DataFrame(rows, columns=["agent_id", "event_id", "ts_ms", "session_id", "trace_id"]))
-    assert [r[4] for r in got] == ["trace:1", "trace:1", "trace:1", "given", "trace:5", "trace:1"]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(f"a{k % 3}", k, k * 600_000, f"s{k % 2}" if k % 4 else None, None) for k in range(60)]
-    frame = spark.createDataFrame(rows, "agent_id string, event_id long, ts_ms long, session_id string, trace_id string")
-    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    q = traces.assign_traces_stream(stream).writeStream.format("memory").queryName("assigned").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    try:
-        assert q.awaitTermination(60)
-    finally:
-        q.stop()
-        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
-    key = lambda r: r["event_id"]
-    assert sorted(spark.table("assigned").collect(), key=key) == sorted(traces.assign_traces(frame).collect(), key=key)
-
-
 def test_views(spark):
     assert views.ONTOLOGY.check() is None
