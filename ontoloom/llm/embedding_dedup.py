@@ -30,7 +30,7 @@ CELL = TILE = 16_384
 #: Most pivots of a block.
 PIVOTS = 1_024
 #: Pairs that are compared at once in a tile.
-AT_ONCE = 1 << 20
+ROWS, COLUMNS = 512, 2_048
 
 
 def usable(vector: Column) -> Column:
@@ -57,8 +57,12 @@ class Blocks:
         # A little more than the budget: rounding must not lose a pair, and the cosine decides.
         self.budgets = [(2 - 2 * cosine) * (b - a) / d * (1 + 1e-9) + 1e-12 for a, b in self.spans]
 
+        #: What float32 products may be off by; pairs within it are decided in double precision.
+        self.slack = 1e-6 * (16 + d)
+
     def rotated(self, units: np.ndarray) -> np.ndarray:
-        return units @ self.rotation
+        """Row by row the same in whatever tile, which matrix products of a library needn't be."""
+        return np.einsum("ij,jk->ik", units, self.rotation, optimize=False)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -93,26 +97,62 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = shorter
 
 
-def linked(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, block: int, blocks: Blocks, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs of rotated x and y (units ux, uy) that are links and meet no budget before this block's. same: pairs above the diagonal alone."""
-    a, b = blocks.spans[block]
-    near = distances(x[:, a:b], y[:, a:b]) <= blocks.budgets[block]
-    if same:
-        near = np.triu(near, 1)
-    if np.count_nonzero(near) * 50 > near.size:  # many: whole matrices are faster
+class Side:
+    """The vectors of one side of a tile. For each block up to its own, products of left and right forms are minus half the squared distances."""
+
+    def __init__(self, units: np.ndarray, block: int, blocks: Blocks):
+        self.units, self.single, self.rotated = units, units.astype(np.float32), blocks.rotated(units)
+        self.left, self.right = [], []
+        for a, b in blocks.spans[: block + 1]:
+            x = self.rotated[:, a:b]
+            half, one = -0.5 * (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1))
+            self.left.append(np.hstack([x, half, one]).astype(np.float32))
+            self.right.append(np.hstack([x, one, half]).astype(np.float32))
+
+    def __len__(self) -> int:
+        return len(self.units)
+
+
+def _exact(x: Side, y: Side, p: np.ndarray, q: np.ndarray, block: int, blocks: Blocks, cosine: float) -> np.ndarray:
+    """Which of the pairs p-q are links and meet this block's budget as the first one, in double precision."""
+    out = np.zeros(len(p), bool)
+    for k in range(0, len(p), 1 << 15):
+        at = np.arange(k, min(len(p), k + (1 << 15)))
+        for n, (a, b) in enumerate(blocks.spans[: block + 1]):
+            gap = x.rotated[p[at], a:b] - y.rotated[q[at], a:b]
+            met = (gap * gap).sum(axis=1) <= blocks.budgets[n]
+            at = at[met if n == block else ~met]
+        out[at[(x.units[p[at]] * y.units[q[at]]).sum(axis=1) >= cosine]] = True
+    return out
+
+
+def linked(x: Side, y: Side, i: slice, j: slice, block: int, blocks: Blocks, cosine: float, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of x[i] and y[j] that are links and meet no budget before this block's. above: only with the second index larger."""
+    slack = blocks.slack
+    low, high = ([-0.5 * (t + sign * slack) for t in blocks.budgets] for sign in (1, -1))
+    s = x.left[block][i] @ y.right[block][j].T
+    near = s >= low[block]
+    if above:
+        near &= np.arange(i.start, i.start + len(s))[:, None] < np.arange(j.start, j.start + s.shape[1])
+    n = np.count_nonzero(near)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = []
+    if n * 50 > near.size:  # many, as among copies: most are decided by matrices
+        sure = s >= high[block]
         for k in range(block):
-            a, b = blocks.spans[k]
-            near &= distances(x[:, a:b], y[:, a:b]) > blocks.budgets[k]
-        return np.nonzero(near & (ux @ uy.T >= cosine))
-    i, j = np.nonzero(near)
-    for k in range(block):
-        a, b = blocks.spans[k]
-        # The same formula as above, so that both sides of a budget agree.
-        p, q = x[i, a:b], y[j, a:b]
-        new = np.maximum((p * p).sum(axis=1) + (q * q).sum(axis=1) - 2 * (p * q).sum(axis=1), 0) > blocks.budgets[k]
-        i, j = i[new], j[new]
-    hit = (ux[i] * uy[j]).sum(axis=1) >= cosine
-    return i[hit], j[hit]
+            s = x.left[k][i] @ y.right[k][j].T
+            near &= s < high[k]
+            sure &= s < low[k]
+        s = x.single[i] @ y.single[j].T
+        near &= s > cosine - slack
+        sure &= near & (s > cosine + slack)
+        near &= ~sure
+        found.append(np.nonzero(sure))
+    p, q = np.nonzero(near)
+    hit = _exact(x, y, p + i.start, q + j.start, block, blocks, cosine)
+    found.append((p[hit], q[hit]))
+    return np.concatenate([p for p, _ in found]) + i.start, np.concatenate([q for _, q in found]) + j.start
 
 
 def _pack(x: np.ndarray, kind: str) -> bytes:
@@ -186,30 +226,28 @@ def _links(nodes: DataFrame, cosine: float, seed: int, cell: int, tile: int) ->
             own = rows[rows["side"] == side]
             raw = np.frombuffer(b"".join(own["raw"]), kind).reshape(-1, d)
             units = unit(raw) if len(raw) else raw.astype(np.float64)
-            sides.append((np.frombuffer(b"".join(own["node"]), "<i8"), np.frombuffer(b"".join(own["n"]), "<i8"), units, blocks.rotated(units)))
-        (node, n, u, x), (node_y, n_y, v, y) = sides[0], sides[0 if left == right else 1]
-        both = np.concatenate([node, node_y])
+            sides.append((np.frombuffer(b"".join(own["node"]), "<i8"), np.frombuffer(b"".join(own["n"]), "<i8"), Side(units, block, blocks)))
+        alone = left == right
+        (node, n, x), (node_y, n_y, y) = sides[0], sides[0 if alone else 1]
+        both = node if alone else np.concatenate([node, node_y])
         at = np.argsort(both, kind="stable")  # places are numbered by node, so that a root is the smallest node
         place = np.empty(len(both), np.int64)
         place[at] = np.arange(len(both))
         links, label = np.zeros(len(both), np.int64), np.arange(len(both))
-        step = max(1, AT_ONCE // 2048)
-        for i in range(0, len(x), step):
-            for j in range(i // 2048 * 2048 if left == right else 0, len(y), 2048):
-                if left == right and j < i + step and i < j + 2048:  # crosses the diagonal
-                    p, q = linked(x[i : i + step], y[j : j + 2048], u[i : i + step], v[j : j + 2048], block, blocks, cosine, False)
-                    above = p + i < q + j
-                    p, q = p[above], q[above]
-                elif left == right and j < i:
+        for i in range(0, len(x), ROWS):
+            for j in range(0, len(y), COLUMNS):
+                if alone and j + COLUMNS <= i:
                     continue
-                else:
-                    p, q = linked(x[i : i + step], y[j : j + 2048], u[i : i + step], v[j : j + 2048], block, blocks, cosine, False)
+                p, q = linked(x, y, slice(i, i + ROWS), slice(j, j + COLUMNS), block, blocks, cosine, alone and j < i + ROWS)
                 if len(p):
-                    p, q = p + i, q + j
+                    second = q if alone else q + len(node)
                     np.add.at(links, p, n_y[q])
-                    np.add.at(links, q if left == right else q + len(node), n[p])
-                    a, b = place[p], place[q if left == right else q + len(node)]
-                    label = roots(np.concatenate([np.arange(len(label)), a]), np.concatenate([label, b]), len(label))
+                    np.add.at(links, second, n[p])
+                    a, b = place[p], place[second]
+                    new = label[a] != label[b]
+                    if new.any():
+                        every = np.arange(len(label))
+                        label = roots(np.concatenate([every, a[new]]), np.concatenate([label, b[new]]), len(label))
         hit = np.flatnonzero(links)
         return pd.DataFrame({"node": both[hit], "links": links[hit], "root": both[at[label[place[hit]]]]})
 
