@@ -6,7 +6,7 @@
    not with all others; links found merge components, and only buckets that still hold several components go on.
 3. What stays after the hub rounds meets by its rarest shingles, which is exact and parts the members of a large bucket that
    have just a passage in common; pairs from different components are compared, so that no link is lost.
-4. Pairs are confirmed on full sets of 64-bit shingle hashes.
+4. Pairs are confirmed on full sets of 64-bit shingle hashes, which depend on the bytes and the order of the words.
 """
 
 from __future__ import annotations
@@ -41,7 +41,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Hashes of the word shingles of normalised texts, by differences of a running polynomial over the bytes."""
+    """Hashes of the word shingles of normalised texts. A word's hash comes from a polynomial over its bytes, a shingle's from a chain of mixes over its words' hashes.
+
+    Differences of such a polynomial vanish for some pairs of long words (a Thue-Morse word and its complement), so longer words are hashed by BLAKE2b.
+    """
+
+    #: Bytes up to which a word goes through the polynomial; the differences above need more than a thousand.
+    SHORT = 64
 
     def __init__(self, words: int):
         self.words = words
@@ -66,11 +72,15 @@ class Shingler:
         np.cumsum(self.values[data] * self._up[:n], out=run[1:])
         gaps = np.flatnonzero(data == 32)
         starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [n]])
-        if len(starts) >= self.words:
-            starts, ends = starts[: len(starts) - self.words + 1], ends[self.words - 1 :]
-        else:
-            starts, ends = starts[:1], ends[-1:]
-        return _mix((run[ends] - run[starts]) * self._down[starts])
+        each = _mix((run[ends] - run[starts]) * self._down[starts])
+        for k in np.flatnonzero(ends - starts > self.SHORT).tolist():
+            each[k] = int.from_bytes(hashlib.blake2b(text[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        size = min(self.words, len(each))
+        n = len(each) - size + 1
+        out = each[:n]
+        for k in range(1, size):
+            out = _mix(out * self.base + each[k : n + k])
+        return out
 
 
 class CirculantMinHash:

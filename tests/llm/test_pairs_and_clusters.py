@@ -171,3 +171,16 @@ def test_against_sql(spark, name):
     df, rel = QUERIES[name](spark, folder), duck.sql(ORACLE_SQL[name])
     assert df.columns == rel.columns
     assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
+
+
+def test_words_with_vanishing_polynomials(spark):
+    """A Thue-Morse word and its complement have the same polynomial modulo 2 ** 64; they are different words, and share no shingle."""
+    from ontoloom.llm import neardup
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"one {word} two three four", f"one {other} two three four", f"one {word} two three four", "ab " * 30, "ba " * 30]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: 6}
+    shingler = neardup.Shingler(4)
+    assert len({int(shingler.hashes(x.encode())[0]) for x in ("a b c d", "b a c d", "a b d c", "ab c d e", "a bc d e")}) == 5
