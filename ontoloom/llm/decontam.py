@@ -8,14 +8,16 @@ distance verifies the item around each hit. Items are broadcast in blocks of bou
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ontoloom.llm.common import documents, slices
+from ontoloom.llm.common import Saved, documents, slices, worker_state
 
 #: Errors allowed per character of an item.
 ERROR_RATE = 0.05
@@ -92,9 +94,10 @@ def bordered(item: str, text: str, start: int, most: int) -> int | None:
 class Matcher:
     """Finds the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = MIN_CHARS):
         import ahocorasick
 
+        self.short = short
         self.items = [(i, x, int(len(x) * rate)) for i, x in items]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, x, errors) in enumerate(self.items):
@@ -106,6 +109,14 @@ class Matcher:
         self.automaton.make_automaton()
         self.empty = not at
 
+    @classmethod
+    def cached(cls, items: Broadcast, name: str, rate: float, short: int) -> Matcher:
+        """The matcher of a block of items; a worker keeps the last one for its next task."""
+        state = worker_state().__dict__
+        if state.get("matcher", ("",))[0] != name:
+            state["matcher"] = name, cls(items.value, rate, short)
+        return state["matcher"][1]
+
     def find(self, text: str, first: bool = False) -> list[tuple[int, int]]:
         """(item_id, errors) of the items within their budgets in a normalised text, with the fewest errors of each; with first, one is enough."""
         found: dict[int, int] = {}
@@ -118,7 +129,7 @@ class Matcher:
                     continue
                 _, item, errors = self.items[n]
                 start = end + 1 - size - offset  # of the item, if there were no insertions or deletions
-                short = len(item) < MIN_CHARS
+                short = len(item) < self.short
                 if start >= 0 and text.startswith(item, start) and (not short or is_border(text, start) and is_border(text, start + len(item))):
                     found[n] = 0
                     if first:
@@ -151,13 +162,13 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
             yield found
 
 
-def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, short: int = MIN_CHARS) -> DataFrame:
     """Pairs (doc_id, item_id, errors): the item occurs in the document's normalised text with at most rate * length edits.
 
     docs needs doc_id and text, items item_id and text; other columns are ignored. Null and empty texts match nothing. A repeated
     document gives its pairs once for each row, an item id with several texts once for each of them. Rows with null
-    doc_id match like others. Empty tables give an empty result. Whole texts are searched. Items of fewer than MIN_CHARS characters have the same
-    budget (none below 1 / rate characters) and must stand between word borders.
+    doc_id match like others. Empty tables give an empty result. Whole texts are searched. Items of fewer than `short` characters have the same
+    budget (none below 1 / rate characters) and must stand between word borders; with 0 no item must.
     """
     id_type, item_type = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType.simpleString()
     ids = to_arrow_type(items.schema["item_id"].dataType)
@@ -166,8 +177,8 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
     for block in item_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+        def match(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher.cached(shared, name, rate, short)
             for batch, texts in slices(batches):
                 rows = [(k, *hit) for k, x in enumerate(texts) if x for hit in matcher.find(normalise(x))]
                 take = pa.array([r[0] for r in rows], pa.int64())
@@ -177,18 +188,32 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """docs without the rows in which any item occurs; same columns."""
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, short: int = MIN_CHARS) -> DataFrame:
+    """docs without the rows in which any item occurs, by the rules of leaks(); same columns.
+
+    Null and empty texts stay; repeated rows stay or go alike; empty tables of either kind take nothing away. With several blocks of items the rows
+    that a block leaves are written before the next one, so that a task has one Python worker with one automaton.
+    """
+    last = saved = None
     for block in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        if last is not None:
+            before, saved = saved, Saved(_cleaned(docs if saved is None else saved.df, last, rate, short), "clean")
+            if before is not None:
+                before.delete()
+        last = block
+    rest = docs if saved is None else saved.df
+    return rest if last is None else _cleaned(rest, last, rate, short)
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
-            for batch, texts in slices(batches):
-                yield batch.filter(pa.array([not x or not matcher.find(normalise(x), first=True) for x in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+def _cleaned(docs: DataFrame, block: list[tuple[int, str]], rate: float, short: int) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher.cached(shared, name, rate, short)
+        for batch, texts in slices(batches):
+            yield batch.filter(pa.array([not x or not matcher.find(normalise(x), first=True) for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,3 +184,20 @@ def test_words_with_vanishing_polynomials(spark):
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: 6}
     shingler = neardup.Shingler(4)
     assert len({int(shingler.hashes(x.encode())[0]) for x in ("a b c d", "b a c d", "a b d c", "ab c d e", "a bc d e")}) == 5
+
+
+def test_blocks_of_items_in_turn(spark, monkeypatch):
+    """Several blocks leave what one does; borders are a parameter."""
+    from ontoloom.llm import decontam
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(k, " ".join(word() for _ in range(12))) for k in range(30)]
+    docs = [(k, " ".join(word() for _ in range(20)) + (" " + items[k][1] if k < 15 else "") + " xtailx") for k in range(40)] + [(90, None), (91, ""), (92, items[0][1][3:])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (77, "tail")], "item_id long, text string")
+    want = [k for k, _ in docs if 15 <= k < 92]  # 92 lacks three characters of an item, which is within its budget
+    assert sorted(r.doc_id for r in decontam.without_leaks(d, i).collect()) == want
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 500)
+    assert sorted(r.doc_id for r in decontam.without_leaks(d, i).collect()) == want
+    assert sorted(r.doc_id for r in decontam.without_leaks(d, i, short=0).collect()) == [90, 91]
+    assert decontam.without_leaks(d, i.limit(0)).count() == len(docs)
