@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ontoloom import catalogue_more
+from ontoloom import catalogue_more, catalogue_reason
 from ontoloom.functions import text as T
 from ontoloom.operators import analytics as A
 from ontoloom.operators import fusion, graph, store, validate, vector
@@ -184,6 +184,8 @@ _FUSIONS = {
     "fuse_intersection": ("intersection", f"SELECT v.entity_id, v.score, {_SOURCE} FROM v JOIN g ON v.entity_id = g.entity_id"),
     "fuse_rrf": ("rank_fusion", "SELECT entity_id, sum(part) AS score, 'hybrid' AS source FROM (SELECT entity_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, entity_id)) AS part FROM v UNION ALL SELECT entity_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, entity_id)) FROM g) GROUP BY entity_id"),
     "fuse_vector_priority": ("vector_priority", f"SELECT v.entity_id, v.score, {_SOURCE} FROM v LEFT JOIN g ON v.entity_id = g.entity_id"),
+    "fuse_vector_only": ("vector_only", "SELECT entity_id, score, 'vector' AS source FROM v"),
+    "fuse_graph_only": ("graph_only", "SELECT entity_id, score, 'graph' AS source FROM g"),
     "fuse_graph_priority": ("graph_priority", f"SELECT g.entity_id, coalesce(v.score, g.score) AS score, {_SOURCE} FROM g LEFT JOIN v ON v.entity_id = g.entity_id"),
 }
 
@@ -322,24 +324,9 @@ closure(sub, super, depth) AS (SELECT t, t, 0 FROM types UNION ALL SELECT c.sub,
 rels(r, dom, ran, inv, sym) AS (VALUES ('IN_REGION', 'Nation', 'Region', NULL, false), ('IN_NATION', 'Party', 'Nation', NULL, false), ('PLACED', 'Customer', 'Order', 'PLACED_BY', false), ('PLACED_BY', 'Order', 'Customer', NULL, false), ('CONTAINS', 'Order', 'Part', NULL, false), ('PARTNER_OF', 'Party', 'Party', NULL, true))"""
 
 
-@query("onto_closure", f"WITH RECURSIVE {_ONTO} SELECT sub, super, CAST(depth AS INTEGER) AS depth FROM closure")
-def onto_closure(spark, d):
-    return views.ONTOLOGY.closure_table(spark)
-
-
 _INFERRED = "SELECT sub AS type, r AS relation, sub AS source, ran AS target, 'SubtypeInheritance' AS reason FROM rels JOIN closure ON super = dom UNION ALL SELECT sub, r, ran, sub, 'Symmetric' FROM rels JOIN closure ON super = dom WHERE sym UNION ALL SELECT sub, inv, ran, sub, 'Inverse' FROM rels JOIN closure ON super = dom WHERE inv IS NOT NULL"
 
 
-@query("onto_inferred", f"WITH RECURSIVE {_ONTO} {_INFERRED}")
-def onto_inferred(spark, d):
-    return views.ONTOLOGY.inferred_table(spark)
-
-
-@query("onto_compatible", f"WITH RECURSIVE {_ONTO} SELECT a.sub AS source_type, b.sub AS target_type, r AS relation_type FROM rels JOIN closure a ON a.super = dom JOIN closure b ON b.super = ran")
-def onto_compatible(spark, d):
-    return views.ONTOLOGY.compatible_table(spark)
-
-
 @query("scan_expanded", "SELECT 'customer:' || c_custkey AS entity_id, 'Customer' AS entity_type FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'Supplier' FROM supplier")
 def scan_expanded(spark, d):
     return views.entities(spark, d).where(F.col("entity_type").isin(views.ONTOLOGY.expand_or_self("Party"))).select("entity_id", "entity_type")
@@ -551,5 +538,6 @@ def audit_by_day(spark, d):
     return A.audit(views.table(spark, d, "events"), F.expr("TIMESTAMP_NTZ '2024-01-05'"), F.expr("TIMESTAMP_NTZ '2024-01-20'"), "event_type")
 
 
-QUERIES.update(catalogue_more.QUERIES)
-ORACLE_SQL.update(catalogue_more.ORACLE_SQL)
+for _part in (catalogue_more, catalogue_reason):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)

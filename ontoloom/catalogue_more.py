@@ -258,13 +258,13 @@ def log_and_thought_text(spark, d):
     return _events(spark, d).select("event_id", T.log_text(F.col("event_type"), F.col("props")).alias("log"), T.thought_text(F.col("event_id") % 7, F.col("props")).alias("thought"))
 
 
-@query("metadata_text", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(p_brand) || '. ' || trim(p_name) || '. ' || p_size || '. ' || trim(p_type) || '. out. ' || trim(p_container)
+@query("metadata_text", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(p_brand) || '. ' || trim(p_name) || '. ' || p_size || '. ' || trim(p_type) || '. out. a' || p_partkey
 WHEN p_partkey % 3 = 1 THEN trim(p_name) ELSE p_size || '. ' || trim(p_brand) END AS text FROM part""")
 def metadata_text(spark, d):
     """Parts with all six keys in another order, with one of them among blanks, and with none."""
     m = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     name, size = F.concat(F.lit(" "), "p_name", F.lit("  ")), F.col("p_size").cast("string")
-    whole = m(("agent", F.col("p_container")), ("expected_output", F.lit("out")), ("zz", F.lit("unused")), ("backstory", size), ("goal", name), ("role", F.col("p_brand")), ("description", F.col("p_type")))
+    whole = m(("agent", F.concat(F.lit("a"), F.col("p_partkey").cast("string"))), ("expected_output", F.lit("out")), ("zz", F.lit("unused")), ("backstory", size), ("goal", name), ("role", F.col("p_brand")), ("description", F.col("p_type")))
     one = m(("other", F.col("p_brand")), ("role", F.lit("  ")), ("description", name), ("goal", F.lit(None).cast("string")))
     none = m(("b", size), ("a", F.col("p_brand")), ("c", F.lit(" ")))
     kind = F.col("p_partkey") % 3

@@ -49,7 +49,7 @@ def metadata_text(metadata: Column, keys: tuple[str, ...] = METADATA_KEYS) -> Co
     """The trimmed values of the given keys in order, joined by '. '; if there are none, all other values in the map's order. Nulls and blanks are skipped; a null map has no text."""
     known = F.array(*[F.trim(F.try_element_at(metadata, F.lit(k))) for k in keys])
     full = lambda a: F.array_join(F.filter(a, lambda x: x.isNotNull() & (x != "")), ". ")
-    rest = F.transform(F.map_values(metadata), F.trim)
+    rest = F.transform(F.map_values(metadata), lambda x: F.trim(x))
     return F.coalesce(F.nullif(full(known), F.lit("")), full(rest), F.lit(""))
 
 

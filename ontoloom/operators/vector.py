@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ontoloom.functions.text import cosine
+from ontoloom.functions.embedding import Provider, embed_texts
+from ontoloom.functions.text import cosine, metadata_text, normalise_threshold
 
 
 def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -176,3 +177,23 @@ def with_inferred(hits: DataFrame, inferred: DataFrame) -> DataFrame:
 
 def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("collection").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dimension"))
+
+
+#: How many rows a search by metadata returns and how similar they are at least, unless told otherwise; and the fields it shows.
+METADATA_LIMIT, METADATA_THRESHOLD = 10, 0.65
+SHOWN = ("role", "goal", "backstory", "description", "expected_output")
+
+
+def similar_by_metadata(items: DataFrame, asked: DataFrame, provider: Provider, limit: int = METADATA_LIMIT, threshold: float = METADATA_THRESHOLD) -> DataFrame:
+    """(query_id, entity_id, similarity, role, goal, backstory, description, expected_output) for rows asked (query_id, metadata) among items (entity_id, metadata).
+
+    Both are compared by the vectors of their metadata's text: the limit nearest items, of these the ones with at least the threshold, as a share or
+    in percent. Metadata without text, or with a zero vector, ask nothing and are never found. Ids of either side differ.
+    """
+    text = metadata_text(F.col("metadata")).alias("text")
+    shown = [F.try_element_at("metadata", F.lit(k)).alias(k) for k in SHOWN]
+    known = embed_texts(items.select(F.lit(0).alias("collection"), "entity_id", text).where("text <> ''"), provider)
+    sought = embed_texts(asked.select("query_id", text).where("text <> ''"), provider)
+    hits = top_k_of_queries(known.select("collection", "entity_id", "embedding"), sought.select("query_id", "embedding"), limit)
+    hits = hits.where(F.col("score") >= normalise_threshold(F.lit(float(threshold))))
+    return hits.join(items.select("entity_id", *shown), "entity_id").select("query_id", "entity_id", F.col("score").alias("similarity"), *SHOWN)
