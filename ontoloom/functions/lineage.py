@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a result that the driver may hold in place of a written table.
+FEW = 1000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, evaluated once: few of them as a local table, more as cut() does."""
+    rows = df.limit(FEW + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else cut(df)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that cut() has made; nothing may read them any more. Others are left alone."""
     for df in tables:

@@ -39,8 +39,11 @@ def _in_chunks(points: DataFrame, n: int) -> DataFrame:
     """
     points = points.select("name", "seq", "timestamp", "value").withColumn("chunk", F.expr(f"seq div {CHUNK}"))
     point = F.struct("seq", "timestamp", "value")
-    tail = F.array(F.max(point)) if n == 1 else F.slice(F.sort_array(F.collect_list(point), asc=False), 1, n)
-    tails = points.groupBy("name", "chunk").agg(tail.alias("tail"))
+    if n == 1:
+        tails = points.groupBy("name", "chunk").agg(F.array(F.max(point)).alias("tail"))
+    else:
+        from_end = F.row_number().over(Window.partitionBy("name", "chunk").orderBy(F.desc("seq")))
+        tails = points.withColumn("k", from_end).where(F.col("k") <= n).groupBy("name", "chunk").agg(F.sort_array(F.collect_list(point), asc=False).alias("tail"))
     before = Window.partitionBy("name").orderBy("chunk").rowsBetween(-n, -1)
     carried = tails.withColumn("tail", F.slice(F.sort_array(F.flatten(F.collect_list("tail").over(before)), asc=False), 1, n))
     carried = carried.select("name", "chunk", F.explode("tail").alias("p")).select("name", "p.seq", "p.timestamp", "p.value", "chunk", F.lit(True).alias("carried"))
@@ -113,22 +116,20 @@ def retained(rows: DataFrame, keys: list[str], cap: int = 10_000, drop: int = 1_
     """The rows that a buffer keeps which drops its oldest `drop` rows, by seq, whenever it holds more than `cap`; seq is unique in a group."""
     chunk, group = F.expr(f"seq div {CHUNK}"), Window.partitionBy(*keys)
     sums = rows.groupBy(*keys, chunk.alias("chunk")).agg(F.count("*").alias("inside"))
-    earlier = group.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumns({"n": F.sum("inside").over(group), "before": F.coalesce(F.sum("inside").over(earlier), F.lit(0))})
+    later = group.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"n": F.sum("inside").over(group), "later": F.coalesce(F.sum("inside").over(later), F.lit(0))})
     gone = F.when(F.col("n") > cap, F.ceil((F.col("n") - cap) / F.lit(drop)) * drop).otherwise(F.lit(0))
-    # Only the chunk in which the last dropped row lies is put in order.
-    edge = sums.withColumn("skip", gone - F.col("before")).where((F.col("skip") > 0) & (F.col("skip") <= F.col("inside")))
-    edge = cut(edge.select(*keys, F.col("chunk").alias("edge"), "skip"))
-    opened = _with(rows.select(*keys, "seq"), edge, keys).where(chunk == F.col("edge"))
-    last = opened.withColumn("k", F.row_number().over(group.orderBy("seq"))).where(F.col("k") == F.col("skip")).select(*keys, F.col("seq").alias("gone"))
-    return _with(rows, cut(last), keys, "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone"))).drop("gone")
+    # Of a group only the chunks in which its last rows lie are put in order, cap + CHUNK rows at most.
+    last = sums.withColumn("left", F.col("n") - gone).where("later < left").select(*keys, "chunk", "left")
+    near = _with(rows.withColumn("chunk", chunk), last, [*keys, "chunk"])
+    return near.withColumn("k", F.row_number().over(group.orderBy(F.desc("seq")))).where("k <= left").drop("k", "left", "chunk")
 
 
 def query_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """total, avg and percentiles of duration (retained rows), error_rate (all rows) of rows (keys, seq, duration, failed)."""
     totals = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.avg(F.col("failed").cast("double")).alias("error_rate"))
-    kept = cut(retained(rows, keys))  # the buffer's cap bounds a group
-    spread = _with(kept.groupBy(*keys).agg(F.avg("duration").alias("avg_duration")), percentiles(kept, keys, "duration"), keys, "left")
+    each = retained(rows, keys).groupBy(*keys).agg(F.avg("duration").alias("avg_duration"), F.array_sort(F.collect_list("duration")).alias("v"))  # the buffer's cap bounds a group
+    spread = each.select(*keys, "avg_duration", *[nearest_rank(F.col("v"), p).alias(f"p{p}") for p in (50, 95, 99)])
     return _with(totals, spread, keys)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.lineage import cut
+from ontoloom.functions.lineage import settled
 from ontoloom.operators import graph as G
 from ontoloom.operators import vector as V
 
@@ -53,7 +53,7 @@ def fuse(vector: DataFrame, graph: DataFrame, strategy: str = "rank_fusion") ->
 
 def finish(fused: DataFrame, limit: int) -> DataFrame:
     """Best first, ties by id, with the count before the cut to limit."""
-    fused = cut(fused)
+    fused = settled(fused)
     best = fused.orderBy(F.desc("score"), "entity_id").limit(limit)  # only these are ranked in one task
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "entity_id")))
     return ranked.crossJoin(F.broadcast(fused.agg(F.count("*").alias("total_count"))))  # one row

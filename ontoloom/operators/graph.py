@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoloom.functions import lineage
 from ontoloom.functions.lineage import cut
 
 
@@ -84,7 +85,10 @@ def paths(relations: DataFrame, start: object, depth: int, types: list[str] = ()
 
 
 def numbered(rows: DataFrame, order: list, column: str) -> DataFrame:
-    """rows with their place in an order, from 1: sorted by ranges, numbered within each, and moved by the sizes of those before. No task has all rows."""
+    """rows with their place in an order, from 1: sorted by ranges, numbered within each, and moved by the sizes of those before. No task has all rows, unless they are few."""
+    rows = lineage.settled(rows)
+    if not rows.inputFiles():  # a local table
+        return rows.withColumn(column, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     local = F.monotonically_increasing_id()
     ranged = cut(ranged.withColumn("_part", F.shiftright(local, 33)).withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))))

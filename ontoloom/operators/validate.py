@@ -24,19 +24,25 @@ def _error(kind: str, name: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), name.alias("property"))
 
 
+#: Columns of a property's value and of its kind, which are taken from the properties once.
+_VALUE, _KIND = "_value:{}", "_kind:{}"
+
+
+def _of(form: str, name: str) -> Column:
+    return F.col(f"`{form.format(name)}`")
+
+
 def _property_errors(o: Ontology, name: str) -> list[Column]:
     """Required, type and cardinality errors. A required property is missing only if its key is absent; an explicit null has the wrong type."""
     out, first = [], {}
     for p in o.properties(name):
-        value = F.try_variant_get("properties", f"$['{p.name}']", "variant")
         if p.required:
-            out.append(F.when(value.isNull(), _error("MissingRequiredProperty", F.lit(p.name))))
+            out.append(F.when(_of(_VALUE, p.name).isNull(), _error("MissingRequiredProperty", F.lit(p.name))))
         first.setdefault(p.name, p)
     for p in first.values():
-        value = F.try_variant_get("properties", f"$['{p.name}']", "variant")
-        kind = json_kind(value)
+        value, kind = _of(_VALUE, p.name), _of(_KIND, p.name)
         out.append(F.when(kind != ACCEPTS[p.kind.split("(")[0]], _error("InvalidPropertyType", F.lit(p.name))))
-        size = F.when(kind == "array", F.size(F.try_variant_get("properties", f"$['{p.name}']", "array<variant>"))).otherwise(1)
+        size = F.when(kind == "array", F.size(F.try_variant_get(value, "$", "array<variant>"))).otherwise(1)
         wrong = {"One": size != 1, "ZeroOrOne": size > 1, "OneOrMore": size < 1}.get(p.cardinality)
         if wrong is not None:
             out.append(F.when(value.isNotNull() & wrong, _error("CardinalityViolation", F.lit(p.name))))
@@ -47,8 +53,8 @@ def _constraint_error(c: Constraint, names: list[str]) -> Column | None:
     """The violation with the smallest name. A constraint holds for every property of its type's kind."""
     found = []
     for n in sorted(names):
-        path = f"$['{n}']"
-        kind, number, text = json_kind(F.try_variant_get("properties", path, "variant")), F.try_variant_get("properties", path, "double"), F.try_variant_get("properties", path, "string")
+        value, kind = _of(_VALUE, n), _of(_KIND, n)
+        number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
         low, high = c.config.get("min"), c.config.get("max")
         if c.kind == "ValueRange":
             bad = (kind == "number") & ((number < low if low is not None else F.lit(False)) | (number > high if high is not None else F.lit(False)))
@@ -68,13 +74,16 @@ def validate_entities(entities: DataFrame, o: Ontology, property_names: list[str
 
     property_names: the keys that constraints look at, next to those that the ontology declares. Only a type's own constraints run.
     """
-    errors = F.array(_error("UnknownEntityType", F.lit(None).cast("string")))
+    errors, every = F.array(_error("UnknownEntityType", F.lit(None).cast("string"))), set(property_names)
     for name, t in o.entity_types.items():
         names = sorted({*property_names, *(p.name for p in o.properties(name))})
+        every |= set(names)
         checks = _property_errors(o, name) + [e for c in t.constraints if (e := _constraint_error(c, names)) is not None]
         made = F.filter(F.array(*checks), lambda e: e.isNotNull()) if checks else F.array().cast(f"array<{ERROR}>")
         errors = F.when(F.col("entity_type") == name, made).otherwise(errors)
-    return entities.withColumn("errors", errors)
+    values = entities.withColumns({_VALUE.format(n): F.try_variant_get("properties", f"$['{n}']", "variant") for n in sorted(every)})
+    kinds = values.withColumns({_KIND.format(n): json_kind(_of(_VALUE, n)) for n in sorted(every)})
+    return kinds.withColumn("errors", errors).select(*[F.col(f"`{c}`") for c in entities.columns], "errors")
 
 
 def validate_relations(relations: DataFrame, entities: DataFrame, o: Ontology) -> DataFrame:
