@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions import embedding, fitted
 from ontoloom.functions import text as T
-from ontoloom.operators import clusters, ivf, rates, vector
+from ontoloom.operators import clusters, graph, ivf, rates, store, vector
 from ontoloom.plans import hierarchy, rules, views
+from ontoloom.sources import logs
 from ontoloom.streaming import traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +254,92 @@ def similar_by_metadata(spark, d):
     provider = fitted.fit(items.select(T.metadata_text(F.col("metadata")).alias("text")), dimension=16, features=1024)
     asked = items.where("entity_id % 100 = 0").select(F.col("entity_id").alias("query_id"), "metadata")
     return vector.similar_by_metadata(items, asked, provider)
+
+
+@query("relation_expansions", f"WITH {_RELS} SELECT id AS relation, id AS stands_for FROM rels UNION SELECT id, inverse FROM rels WHERE inverse IS NOT NULL UNION SELECT inverse, id FROM rels WHERE inverse IS NOT NULL")
+def relation_expansions(spark, d):
+    return hierarchy.expand_relations(_relation_types(spark, d), extended=True)
+
+
+# Thoughts: each event is one, of its user and, if its id is even, of a task; orders are tasks of customers.
+_THOUGHTS = """thoughts AS (SELECT 'thought:' || event_id AS id, event_id AS step, event_type || ' ' || props || ' ' || repeat('x', CAST(event_id % 90 AS INTEGER)) AS content, 'agent:' || user_id AS agent, CASE WHEN event_id % 2 = 0 THEN 'task:' || (event_id * 3) END AS task FROM events),
+agents AS (SELECT 'agent:' || c_custkey AS id, c_name AS name FROM customer), tasks AS (SELECT 'task:' || o_orderkey AS id, o_orderstatus AS name, 'agent:' || o_custkey AS agent FROM orders),
+made AS (SELECT DISTINCT 'GENERATED_THOUGHT' AS type, agent AS source, id AS target FROM thoughts WHERE agent IN (SELECT id FROM agents)),
+had AS (SELECT DISTINCT 'HAS_THOUGHT' AS type, task AS source, id AS target FROM thoughts WHERE task IN (SELECT id FROM tasks))"""
+
+
+def _thoughts(spark, d) -> DataFrame:
+    e = views.table(spark, d, "events")
+    content = F.concat_ws(" ", "event_type", "props", F.repeat(F.lit("x"), (F.col("event_id") % 90).cast("int")))
+    return e.select(_str("thought:", "event_id").alias("item_id"), F.col("event_id").alias("step_index"), content.alias("content"), _str("agent:", "user_id").alias("agent_id"), F.when(F.col("event_id") % 2 == 0, _str("task:", F.col("event_id") * 3)).alias("task_id"))
+
+
+def _actors(spark, d) -> tuple[DataFrame, DataFrame]:
+    agents = views.table(spark, d, "customer").select(_str("agent:", "c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
+    return agents, views.table(spark, d, "orders").select(_str("task:", "o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("name"), _str("agent:", "o_custkey").alias("agent_id"))
+
+
+def _thought_edges(spark, d) -> DataFrame:
+    agents, tasks = _actors(spark, d)
+    return store.linked_rows(_thoughts(spark, d), agents, tasks, "GENERATED_THOUGHT", "HAS_THOUGHT")[1]
+
+
+@query("thought_edges", f"WITH {_THOUGHTS} SELECT type AS relation_type, source AS source_id, target AS target_id FROM (FROM made UNION ALL FROM had)")
+def thought_edges(spark, d):
+    return _thought_edges(spark, d)
+
+
+def _picture(spark, d) -> tuple[DataFrame, DataFrame]:
+    (agents, tasks), thoughts = _actors(spark, d), _thoughts(spark, d)
+    belongs = tasks.select(F.lit("BELONGS_TO").alias("relation_type"), F.col("entity_id").alias("source_id"), F.col("agent_id").alias("target_id"))
+    return graph.ui_graph(agents, tasks.drop("agent_id"), thoughts.withColumnRenamed("item_id", "entity_id"), belongs.unionByName(_thought_edges(spark, d)))
+
+
+@query(
+    "ui_nodes",
+    f"""WITH {_THOUGHTS} SELECT id, 'Agent' AS kind, name AS label FROM agents UNION ALL SELECT id, 'Task', name FROM tasks WHERE agent IN (SELECT id FROM agents)
+UNION ALL SELECT id, 'Thought', 'Step ' || step || ': ' || substr(content, 1, 80) FROM thoughts WHERE id IN (SELECT target FROM made UNION SELECT target FROM had)""",
+)
+def ui_nodes(spark, d):
+    return _picture(spark, d)[0]
+
+
+@query("ui_edges", f"WITH {_THOUGHTS} SELECT id AS source, agent AS target, 'BELONGS_TO' AS type FROM tasks WHERE agent IN (SELECT id FROM agents) UNION ALL SELECT source, target, type FROM made UNION ALL SELECT source, target, type FROM had")
+def ui_edges(spark, d):
+    return _picture(spark, d)[1]
+
+
+# Texts of typed properties.
+def _typed(spark, d) -> DataFrame:
+    part = views.table(spark, d, "part")
+    fields = F.struct(
+        F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_size") > 25).alias("large"), F.array("p_brand", "p_type").alias("tags"), F.array(F.col("p_size")).alias("sizes"), F.struct("p_brand").alias("nested"), F.lit(None).cast("string").alias("gone")
+    )
+    return part.select("p_partkey", "p_brand", F.parse_json(F.to_json(fields, {"ignoreNullFields": "false"})).alias("properties"))
+
+
+@query("entity_text_typed", "SELECT p_partkey, 'large: ' || (p_size > 25) || '. name: ' || p_name || '. size: ' || p_size AS text FROM part")
+def entity_text_typed(spark, d):
+    """Strings, numbers and booleans by key; arrays, objects and nulls are skipped."""
+    return _typed(spark, d).select("p_partkey", T.event_text(F.col("properties")).alias("text"))
+
+
+@query("searchable_arrays", "SELECT p_partkey, p_brand || ' | ' || p_name || ' | ' || p_brand || ' | ' || p_type AS text FROM part")
+def searchable_arrays(spark, d):
+    """Strings and arrays of strings of the metadata."""
+    return _typed(spark, d).select("p_partkey", T.searchable_variant([F.col("p_brand"), F.lit(None).cast("string")], F.col("properties")).alias("text"))
+
+
+# Rules of a deployment's own, and the pattern of errors that no rule uses.
+@query("log_regex", r"SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'action' END AS event_type, CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS VARCHAR) END AS user, CASE WHEN event_id % 3 > 0 THEN event_type END AS what FROM events")
+def log_regex(spark, d):
+    message = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("at noon user "), F.col("user_id").cast("string"), F.lit(" did "), "event_type")).otherwise(F.concat(F.lit("nothing of "), "event_type"))
+    rows = logs.parse_logs(views.table(spark, d, "events").select("event_id", message.alias("message")), [logs.Rule("own", "regex", pattern=r"user (\d+) did (\w+)", groups=("user", "what"), event_type="action")])
+    return rows.select("event_id", F.col("event_type"), F.try_element_at("properties", F.lit("user")).alias("user"), F.try_element_at("properties", F.lit("what")).alias("what"))
+
+
+@query("log_errors", "SELECT event_id, 'Error' AS level, '' AS message, 'of ' || user_id || ' in line ' || event_id AS location FROM events WHERE event_type = 'error'")
+def log_errors(spark, d):
+    """The error pattern's first group is lazy and stays empty, so that all of the line is its last one."""
+    message = F.when(F.col("event_type") == "error", F.format_string("Error of %d in line %d", "user_id", "event_id")).otherwise(F.lit("all is well"))
+    return views.table(spark, d, "events").select("event_id", logs.error_parts(message).alias("e")).where("e IS NOT NULL").select("event_id", "e.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,31 @@ def hashing_provider(dimension: int = 384) -> Provider:
     return Provider("hashing", dimension, embed)
 
 
+def local_dimension(model: str) -> int:
+    """The dimension of a local model by its name, with or without an organisation before a slash; that of the first one for unknown names."""
+    return LOCAL_MODELS.get(model.rpartition("/")[2], next(iter(LOCAL_MODELS.values())))
+
+
+def local_provider(model: str) -> Provider:
+    """A stand-in for a local model without its weights: hashed words in the model's dimension."""
+    return replace(hashing_provider(local_dimension(model)), name=model)
+
+
+def indexed_provider(name: str, dimension: int, call: Callable[[list[str]], list[tuple[int, list[float]]]]) -> Provider:
+    """A provider over a service whose answers (index, vector) come in any order; an answer that is missing or comes twice is an error."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        answers = call(texts) if texts else []
+        if sorted(k for k, _ in answers) != list(range(len(texts))):
+            raise ValueError("not one vector for each text")
+        out = np.zeros((len(texts), dimension), np.float32)
+        for k, vector in answers:
+            out[k] = vector
+        return out
+
+    return Provider(name, dimension, embed)
+
+
 @dataclass
 class Registry:
     """Providers by name; the first one registered is active until another is chosen."""

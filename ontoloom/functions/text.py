@@ -42,6 +42,17 @@ def searchable_text(head: list[Column], metadata: Column) -> Column:
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " | ")
 
 
+def searchable_variant(head: list[Column], metadata: Column) -> Column:
+    """searchable_text for a VARIANT: of an object's values, by key, the strings and the strings in arrays, in order; all else is skipped."""
+    fields = F.try_variant_get(metadata, "$", "map<string,variant>")
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    strings = lambda a: F.transform(F.filter(a, lambda v: kind(v) == "STRING"), lambda v: v.cast("string"))
+    none = F.array().cast("array<string>")
+    found = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.when(kind(fields[k]) == "STRING", F.array(fields[k].cast("string"))).when(kind(fields[k]) == "ARRAY", strings(F.try_variant_get(fields[k], "$", "array<variant>"))).otherwise(none))
+    parts = F.concat(F.array(*head), F.coalesce(F.flatten(found), none))
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " | ")
+
+
 METADATA_KEYS = ("role", "goal", "backstory", "description", "expected_output", "agent")  # fixed values: the keys that are read, in this order
 
 

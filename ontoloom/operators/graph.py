@@ -130,3 +130,26 @@ def closure(relations: DataFrame, start: object, relation_type: str, transitive:
 
 def degree_summary(relations: DataFrame) -> DataFrame:
     return relations.groupBy("relation_type").agg(F.count("*").alias("n_edges"), F.countDistinct("source_id").alias("n_sources"), F.countDistinct("target_id").alias("n_targets"))
+
+
+def ui_graph(agents: DataFrame, tasks: DataFrame, thoughts: DataFrame, relations: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) for a picture: agents with their tasks, and the thoughts of agents and of tasks.
+
+    agents and tasks: entity_id, name; thoughts: entity_id, step_index, content. nodes: id, kind, label, each id once: all agents, the tasks that belong to
+    one, the thoughts with an edge; a thought's label has its step and the first 80 characters. edges: source, target, type, for BELONGS_TO,
+    GENERATED_THOUGHT and HAS_THOUGHT whose ends exist. limit: of agents, and of either kind of edges to thoughts, by id; None: all.
+    """
+    cut_to = lambda rows, *by: rows if limit is None else rows.orderBy(*by).limit(limit)
+    of = lambda kind: relations.where(F.col("relation_type") == kind).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("type")).distinct()
+    among = lambda rows, column, known: rows.join(known.select(F.col("entity_id").alias(column)), column, "left_semi").select("source", "target", "type")
+    listed = cut_to(agents, "entity_id")
+    belongs = among(among(of("BELONGS_TO"), "target", listed), "source", tasks)
+    made = cut_to(among(among(of("GENERATED_THOUGHT"), "source", agents), "target", thoughts), "source", "target")
+    had = cut_to(among(among(of("HAS_THOUGHT"), "source", tasks), "target", thoughts), "source", "target")
+    own = tasks.join(belongs.select(F.col("source").alias("entity_id")), "entity_id", "left_semi")
+    seen = thoughts.join(made.unionByName(had).select(F.col("target").alias("entity_id")), "entity_id", "left_semi")
+    label = F.format_string("Step %d: %s", "step_index", F.substring("content", 1, 80))
+    nodes = listed.select(F.col("entity_id").alias("id"), F.lit("Agent").alias("kind"), F.col("name").alias("label"))
+    nodes = nodes.unionByName(own.select(F.col("entity_id").alias("id"), F.lit("Task").alias("kind"), F.col("name").alias("label")))
+    nodes = nodes.unionByName(seen.select(F.col("entity_id").alias("id"), F.lit("Thought").alias("kind"), label.alias("label")))
+    return nodes.dropDuplicates(["id"]), belongs.unionByName(made).unionByName(had)

@@ -34,11 +34,20 @@ def insert_new(rows: DataFrame, existing: DataFrame, key: str, order: list[Colum
     return existing.unionByName(first.join(existing.select(key), key, "left_anti"))
 
 
+def _orderable(rows: DataFrame) -> list[Column]:
+    """Columns by which rows can be put in order, by name."""
+    return [F.col(f"`{c}`") for c in sorted(rows.columns) if not any(t in rows.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
+
+
 def create_entities(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table, rejected): rows appended with one clock for created_at and updated_at; ids that exist already are rejected."""
+    """(table, rejected): rows appended with one clock for created_at and updated_at. Ids that exist already are rejected, and so are all rows of an id in the batch but the first, by all columns."""
     now = F.current_timestamp()
-    new = rows.join(existing.select("entity_id"), "entity_id", "left_anti").withColumns({"created_at": now, "updated_at": now})
-    return existing.unionByName(new, allowMissingColumns=True), rows.join(existing.select("entity_id"), "entity_id", "left_semi")
+    w = Window.partitionBy("entity_id").orderBy(*_orderable(rows))
+    placed = rows.withColumn("_k", F.row_number().over(w))
+    known = existing.select("entity_id")
+    new = placed.where("_k = 1").drop("_k").join(known, "entity_id", "left_anti").withColumns({"created_at": now, "updated_at": now})
+    rejected = placed.where("_k = 1").join(known, "entity_id", "left_semi").unionByName(placed.where("_k > 1")).drop("_k")
+    return existing.unionByName(new, allowMissingColumns=True), rejected
 
 
 def upsert_vectors(existing: DataFrame, new: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,8 +58,10 @@ def upsert_vectors(existing: DataFrame, new: DataFrame, collections: DataFrame)
 
 
 def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges without repeats of (source, type, target)."""
-    return existing.unionByName(new).dropDuplicates(["source_id", "relation_type", "target_id"])
+    """existing without repeats of (source, type, target), and of new the first of each that it lacks; an existing edge keeps its properties. First: by all columns."""
+    keys = ["source_id", "relation_type", "target_id"]
+    first = lambda rows: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*_orderable(rows)))).where("_k = 1").drop("_k")
+    return first(existing).unionByName(first(new).join(existing.select(*keys), keys, "left_anti"))
 
 
 def get(rows: DataFrame, key: str, ids: list) -> DataFrame:

@@ -89,3 +89,13 @@ def compatible(closed: DataFrame, relations: DataFrame) -> DataFrame:
 def functional_repeats(facts: DataFrame, functional: DataFrame) -> DataFrame:
     """(source_id, relation_type, n) of sources with more than one target by a relation type in functional (id)."""
     return facts.join(functional.select(F.col("id").alias("relation_type")), "relation_type", "left_semi").groupBy("source_id", "relation_type").agg(F.countDistinct("target_id").alias("n")).where("n > 1")
+
+
+def expand_relations(relations: DataFrame, extended: bool = False) -> DataFrame:
+    """(relation, stands_for): what each relation type stands for in a query: itself, and if extended the relation types that it is the inverse of or that are its inverse."""
+    own = relations.select(F.col("id").alias("relation"), F.col("id").alias("stands_for"))
+    if not extended:
+        return own
+    pairs = relations.where("inverse IS NOT NULL")
+    there, back = pairs.select(F.col("id").alias("relation"), F.col("inverse").alias("stands_for")), pairs.select(F.col("inverse").alias("relation"), F.col("id").alias("stands_for"))
+    return own.unionByName(there).unionByName(back).distinct()

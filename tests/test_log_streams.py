@@ -131,3 +131,30 @@ def test_observed_counts(spark):
     report.write.format("noop").mode("overwrite").save()
     plain = prepared(spark.range(100).select(F.col("id").alias("v")))
     assert seen.get == {"ingested": plain.where("ok").count(), "failed": plain.where("NOT ok").count(), "embedded": plain.where("ok AND text <> ''").count()}
+
+
+def test_stream_forms(spark, tmp_path):
+    """Replays within the watermark, windowed counts and ingestion over micro-batches."""
+    from ontoloom.streaming import traces
+
+    base = spark.range(40).select(F.concat(F.lit("l"), (F.col("id") % 25).cast("string")).alias("log_id"), F.timestamp_seconds(F.col("id") * 20).alias("ts"), F.when(F.col("id") % 4 == 0, "error").otherwise("view").alias("event_type"))
+    for k in range(2):
+        base.where(f"unix_seconds(ts) div 20 between {20 * k} and {20 * k + 19}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p*"))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+        return spark.table(name).collect()
+
+    assert sorted(r.log_id for r in run(traces.without_replays(stream), "once")) == sorted(f"l{k}" for k in range(25))
+    done = run(traces.windowed_counts(stream, "2 minutes", "1 minute"), "counted")
+    want = base.groupBy((F.unix_seconds("ts") / 120).cast("int").alias("w"), "event_type").agg(F.count("*").alias("n")).collect()
+    got = {(int(r.start.timestamp()) // 120, r.event_type): r.n for r in done}
+    assert got and got.items() <= {(r.w, r.event_type): r.n for r in want}.items() and len(got) >= len(want) - 4
+    q = traces.ingest(stream, str(tmp_path / "out"), str(tmp_path / "ingest"), 0)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40

@@ -165,3 +165,26 @@ def test_counter_rates(spark):
         want.append((name, seq, up, round(up / 60, 6)))
     got = rates.counter_rates(frame, 60_000).collect()
     assert sorted((r.name, r.seq, r.increase, round(r.rate, 6)) for r in got) == sorted(want)
+
+
+def test_providers():
+    assert embedding.local_dimension("all-mpnet-base-v2") == 768 and embedding.local_dimension("org/bge-small-en-v1.5") == embedding.local_dimension("unknown") == 384
+    assert embedding.local_provider("all-mpnet-base-v2").embed(["a b"]).shape == (1, 768)
+    mixed = embedding.indexed_provider("service", 1, lambda texts: [(k, [float(len(texts[k]))]) for k in reversed(range(len(texts)))])
+    assert mixed.embed(["a", "bbb", "cc"]).ravel().tolist() == [1, 3, 2] and mixed.embed([]).shape == (0, 1)
+    with pytest.raises(ValueError):
+        embedding.indexed_provider("service", 1, lambda texts: [(0, [1.0]), (0, [1.0])]).embed(["a", "b"])
+
+
+def test_store_keeps_what_exists(spark):
+    from ontoloom.operators import store
+
+    schema = "source_id string, relation_type string, target_id string, properties map<string,string>, weight int"
+    old = spark.createDataFrame([("a", "r", "b", {"k": "old"}, 1)], schema)
+    new = spark.createDataFrame([("a", "r", "b", {"k": "new"}, 0), ("a", "r", "c", {"k": "x"}, 5), ("a", "r", "c", {"k": "y"}, 4)], schema)
+    got = sorted((r.target_id, r.properties["k"], r.weight) for r in store.merge_edges(old, new).collect())
+    assert got == [("b", "old", 1), ("c", "y", 4)]
+    rows = spark.createDataFrame([("e1", "x"), ("e2", "b"), ("e2", "a"), ("e3", "z")], "entity_id string, name string")
+    table, rejected = store.create_entities(rows, spark.createDataFrame([("e1", "kept")], "entity_id string, name string"))
+    assert sorted((r.entity_id, r["name"]) for r in table.collect()) == [("e1", "kept"), ("e2", "a"), ("e3", "z")]
+    assert sorted((r.entity_id, r["name"]) for r in rejected.collect()) == [("e1", "x"), ("e2", "b")]
