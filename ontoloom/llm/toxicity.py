@@ -2,7 +2,8 @@
 
 The lexicon is what the labelled training rows teach: words that stand in many different contexts of toxic documents and
 hardly in others. The Levenshtein automata of all terms run along one trie;
-the product is made deterministic once and run over all words of a batch at a time, a table lookup per character.
+the product is made deterministic once and run over all words of a batch at a time, a table lookup per character. Words that stand near
+terms in rows that aren't toxic are cues of a report, learned from the same rows; quotation marks tell one, too.
 Each hit is weighed by its surroundings; a logistic model of the sums gives the score.
 """
 
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from ontoloom.llm.common import Saved, documents, in_fold, slices
 from ontoloom.llm.quality import labelled
 
-#: Words that report what others say.
-CUES = ("called", "dit", "dice", "quote", "quoted", "said", "sagt", "sagte", "says", "word", "wrote")
 MAX_TRAIN = 30_000
 #: A learned term stands in so many different contexts of toxic training documents, and so much more often than in others.
 MIN_CONTEXTS, MIN_RATIO = 4, 25.0
@@ -27,6 +26,8 @@ MIN_CONTEXTS, MIN_RATIO = 4, 25.0
 FUZZY_FROM = 5
 #: Words on either side that are searched for a cue.
 WINDOW = 4
+#: A learned cue stands near so many terms, in different contexts, of training documents that aren't toxic, and so much more often there than near terms of toxic ones.
+MIN_CUE_CONTEXTS, MIN_CUE_RATIO = 4, 8.0
 QUOTES = "\"“”„«»"
 
 
@@ -113,10 +114,10 @@ class LevenshteinTrie:
 _LETTER = np.array([chr(c).isalnum() for c in range(0x3000)], bool)
 
 
-def hit_features(texts: list[str], trie: LevenshteinTrie, classes: np.ndarray) -> np.ndarray:
+def hit_features(texts: list[str], trie: LevenshteinTrie, classes: np.ndarray, cues: frozenset[str] = frozenset()) -> np.ndarray:
     """Per text: exact hits used, exact hits quoted or reported, near hits used, largest number of hits in a stretch of 20 words, log(1 + words).
 
-    Quoted: an odd number of quotation marks before it on its line, and one after it. Reported: one of the WINDOW words on either side is a cue.
+    Quoted: an odd number of quotation marks before it on its line, and one after it. Reported: one of the WINDOW words on either side is one of the cues.
     """
     lowered = [x.lower() for x in texts]
     joined = "\n".join(lowered) + "\n"
@@ -138,10 +139,10 @@ def hit_features(texts: list[str], trie: LevenshteinTrie, classes: np.ndarray) -
     line = np.searchsorted(lines, starts[hits])
     before, after = marks[starts[hits]] - marks[lines[line - 1] + 1], marks[lines[line]] - marks[ends[hits]]
     aside = (before % 2 == 1) & (after > 0)
-    for k in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]:
+    for k in [*range(-WINDOW, 0), *range(1, WINDOW + 1)] if cues else []:
         near = np.clip(hits + k, 0, len(starts) - 1)
         same = owner[near] == owner[hits]
-        aside[same] |= [joined[a:b] in CUES for a, b in zip(starts[near[same]].tolist(), ends[near[same]].tolist())]
+        aside[same] |= [joined[a:b] in cues for a, b in zip(starts[near[same]].tolist(), ends[near[same]].tolist())]
     exact = found[hits] == 0
     for k, chosen in enumerate((exact & ~aside, exact & aside, ~exact & ~aside)):
         out[:, k] = np.bincount(owner[hits[chosen]], minlength=len(texts))
@@ -168,6 +169,26 @@ def learn_terms(train: DataFrame) -> list[str]:
     return sorted(r["w"] for r in found)
 
 
+def learn_cues(train: DataFrame, terms: list[str]) -> frozenset[str]:
+    """Words that tell reports from abuse: the WINDOW words on either side of a term, in rows (text, y) that aren't toxic against toxic ones, by a smoothed ratio of rates.
+
+    Each context, a term with its neighbours, counts once for each label, so that copies of a document teach what one does.
+    """
+    if not terms:
+        return frozenset()
+    words = train.select("y", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w"))
+    places = words.select("y", "w", F.posexplode("w").alias("k", "term")).where(F.col("term").isin(terms))  # from a bounded number of training rows
+    before = F.slice("w", F.greatest(F.lit(1), F.col("k") + 1 - WINDOW), F.least(F.col("k"), F.lit(WINDOW)))
+    around = F.concat(before, F.slice("w", F.col("k") + 2, WINDOW))
+    contexts = places.select("y", "term", around.alias("near")).distinct()
+    sizes = {r["y"]: r["n"] for r in contexts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return frozenset()
+    met = contexts.select("y", F.explode(F.array_distinct("near")).alias("word")).where(~F.col("word").isin(terms)).groupBy("word").agg(F.count_if(F.col("y") == 0).alias("n"), F.count_if(F.col("y") == 1).alias("m"))
+    rate = ((F.col("n") + 0.5) / sizes[0]) / ((F.col("m") + 0.5) / sizes[1])
+    return frozenset(r["word"] for r in met.where((F.col("n") >= MIN_CUE_CONTEXTS) & (rate >= MIN_CUE_RATIO)).select("word").collect())
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Coefficients (the last one is the constant) by Newton's method."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -192,12 +213,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, most
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    terms = learn_terms(labelled(docs.select("doc_id", "text"), labels, "toxic", most))
+    taught = Saved(labelled(docs.select("doc_id", "text"), labels, "toxic", most), "taught")  # about `most` rows
+    terms = learn_terms(taught.df)
+    cues = learn_cues(taught.df, terms)
+    taught.delete()
     trie = LevenshteinTrie(terms)
     classes = np.zeros(max(map(ord, trie.classes), default=0) + 2, np.int64)
     for c, k in trie.classes.items():
         classes[ord(c)] = k
-    shared = spark.sparkContext.broadcast((trie, classes))  # grows with the terms that about `most` rows can teach
+    shared = spark.sparkContext.broadcast((trie, classes, cues))  # grows with the terms that about `most` rows can teach
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):

@@ -196,6 +196,14 @@ def test_toxicity(spark):
                 m[c] += 1
     terms = [c for c, x in contexts.items() if len(x) >= toxicity.MIN_CONTEXTS and ((len(x) + 0.5) / total[1]) / ((m[c] + 0.5) / total[0]) >= toxicity.MIN_RATIO]
     assert {"idiot", "scum"} & set(terms)
+    near, size, window = {0: collections.Counter(), 1: collections.Counter()}, [set(), set()], toxicity.WINDOW
+    for text, label in train:
+        w = re.findall(r"[^\W_]+", text.lower())
+        size[label] |= {(x, tuple(w[max(0, k - window) : k] + w[k + 1 : k + 1 + window])) for k, x in enumerate(w) if x in terms}
+    for label in (0, 1):
+        near[label].update(x for _, around in size[label] for x in set(around) - set(terms))
+    cues = {x for x, n in near[0].items() if n >= toxicity.MIN_CUE_CONTEXTS and ((n + 0.5) / len(size[0])) / ((near[1][x] + 0.5) / len(size[1])) >= toxicity.MIN_CUE_RATIO}
+    assert cues == {"you", "then"}
 
     def errors(word):
         best = 9
@@ -220,8 +228,8 @@ def test_toxicity(spark):
                 continue
             line, stop = text.rfind("\n", 0, a) + 1, (text + "\n").find("\n", b)
             before, after = sum(c in toxicity.QUOTES for c in text[line:a]), sum(c in toxicity.QUOTES for c in text[b:stop])
-            near = words[max(0, k - toxicity.WINDOW) : k] + words[k + 1 : k + 1 + toxicity.WINDOW]
-            aside = (before % 2 == 1 and after > 0) or any(text[c:d] in toxicity.CUES for c, d in near)
+            around = words[max(0, k - window) : k] + words[k + 1 : k + 1 + window]
+            aside = (before % 2 == 1 and after > 0) or any(text[c:d] in cues for c, d in around)
             if e == 0:
                 out[1 if aside else 0] += 1
                 if not aside:

@@ -264,6 +264,7 @@ def test_toxicity_automaton():
         got = trie.distances(classes[[ord(c) for c in w]], np.array([0]), np.array([len(w)]))[0]
         assert got == (best if best <= 1 else 9), w
     x = toxicity.hit_features(["you idiot", 'they said "idiot" there', "an idoit and an idiott", ""], trie, classes)
+    assert toxicity.hit_features(["they said idiot there"], trie, classes, frozenset(["said"]))[0, :2].tolist() == [0, 1]
     assert x[:, 0].tolist() == [1, 0, 0, 0] and x[:, 1].tolist() == [0, 1, 0, 0] and x[2, 2] >= 1
 
 
