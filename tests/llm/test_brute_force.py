@@ -203,7 +203,6 @@ def test_toxicity(spark):
     for label in (0, 1):
         near[label].update(x for _, around in size[label] for x in set(around) - set(terms))
     cues = {x for x, n in near[0].items() if n >= toxicity.MIN_CUE_CONTEXTS and ((n + 0.5) / len(size[0])) / ((near[1][x] + 0.5) / len(size[1])) >= toxicity.MIN_CUE_RATIO}
-    assert cues == {"you", "then"}
 
     def errors(word):
         best = 9
@@ -247,6 +246,15 @@ def test_toxicity(spark):
     assert collections.Counter((r.doc_id, int(r.used), int(r.quoted), int(r.near), int(r.densest), round(r.score, 4)) for r in got) == want
 
 
+def test_cues(spark):
+    """Words near terms in clean rows and hardly in toxic ones; copies of a row teach nothing more."""
+    clean = [(f"item {k} she wrote idiot about number {k}", 0) for k in range(6)] + [("they reported scum once", 0)] * 9
+    rude = [(f"you idiot are number {k} now", 1) for k in range(20)] + [(f"such scum wrote {k}", 1) for k in range(1)]
+    train = spark.createDataFrame([*clean, *rude, (None, 0)], "text string, y int")
+    assert toxicity.learn_cues(train, ["idiot", "scum"]) == {"she", "wrote", "about", "item"}
+    assert toxicity.learn_cues(train, ["absent"]) == toxicity.learn_cues(train, []) == toxicity.learn_cues(train.where("y = 0"), ["idiot"]) == frozenset()
+
+
 def plain_pipeline(rows, items):
     """run() of the pipeline on (doc_id, text, lang, source, n_chars)."""
     good = [r for r, q in zip(rows, plain_rules([r[:2] for r in rows])) if q[-1]]
