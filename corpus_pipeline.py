@@ -56,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Saved(stage(spark, docs, sf_dir), f"stage-{name}").df
-    return STAGES[-1][1](spark, docs, sf_dir)
+        now = Saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            last.delete()
+        docs, last = now.df, now
+    out = STAGES[-1][1](spark, docs, sf_dir)  # has written the corpus, and reads it only
+    if last is not None:
+        last.delete()
+    return out
