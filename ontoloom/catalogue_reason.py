@@ -179,19 +179,19 @@ def trace_assignment_shared(spark, d):
 _RATE = """p AS (SELECT event_type AS name, event_id AS seq, epoch_us(ts) // 1000 AS timestamp, value FROM events WHERE value IS NOT NULL),
 s AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN value < b THEN value ELSE value - b END AS step FROM (SELECT *, lag(value) OVER (PARTITION BY name ORDER BY timestamp, seq) AS b FROM p)),
 c AS (SELECT *, sum(step) OVER (PARTITION BY name ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY name ORDER BY timestamp, seq) AS k FROM s),
-f AS (SELECT name, seq, timestamp, value, total, min(k) OVER (PARTITION BY name ORDER BY timestamp RANGE BETWEEN 7199999 PRECEDING AND CURRENT ROW) AS first FROM c),
-r AS (SELECT f.name, f.seq, f.timestamp, f.value, f.total - c.total AS increase, (f.total - c.total) * 1000 / 7200000 AS rate FROM f JOIN c ON c.name = f.name AND c.k = f.first)"""
+f AS (SELECT name, seq, timestamp, value, total, min(k) OVER (PARTITION BY name ORDER BY timestamp RANGE BETWEEN 6999999 PRECEDING AND CURRENT ROW) AS first FROM c),
+r AS (SELECT f.name, f.seq, f.timestamp, f.value, greatest(f.total - c.total, 0) AS increase, greatest(f.total - c.total, 0) * 1000 / 7000000 AS rate FROM f JOIN c ON c.name = f.name AND c.k = f.first)"""
 
 
 @query("ts_counter_rates", f"WITH {_RATE} SELECT name, seq, timestamp, value, round(increase, 4) AS increase, round(rate, 6) AS rate FROM r")
 def ts_counter_rates(spark, d):
-    found = rates.counter_rates(views.points(spark, d), 7_200_000)
+    found = rates.counter_rates(views.points(spark, d), 7_000_000)
     return found.select("name", "seq", "timestamp", "value", F.round("increase", 4).alias("increase"), F.round("rate", 6).alias("rate"))
 
 
 @query("ts_summed_rates", f"WITH {_RATE}, last AS (SELECT name, (timestamp // 3600000 + 1) * 3600000 AS slot, rate, row_number() OVER (PARTITION BY name, timestamp // 3600000 ORDER BY timestamp DESC, seq DESC) AS k FROM r) SELECT slot AS timestamp, round(sum(rate), 6) AS rate FROM last WHERE k = 1 GROUP BY slot")
 def ts_summed_rates(spark, d):
-    return rates.summed_rates(views.points(spark, d), 7_200_000, 3_600_000).select("timestamp", F.round("rate", 6).alias("rate"))
+    return rates.summed_rates(views.points(spark, d), 7_000_000, 3_600_000).select("timestamp", F.round("rate", 6).alias("rate"))
 
 
 # Indexes and clusters.

@@ -23,7 +23,7 @@ def counter_rates(points: DataFrame, width_ms: int) -> DataFrame:
     # A window's first step leads into it from outside. Points of one time share a window, so each leaves out the steps after its own.
     stepped = spread.withColumn("_step", step).withColumn("_total", F.sum("_step").over(Window.partitionBy("name", "_chunk").orderBy("timestamp", "seq")))
     first = F.min(F.struct("timestamp", "seq", "_total"))
-    out = stepped.withColumn("increase", F.col("_total") - first.over(near)["_total"]).where(own == F.col("_chunk"))
+    out = stepped.withColumn("increase", F.greatest(F.lit(0.0), F.col("_total") - first.over(near)["_total"])).where(own == F.col("_chunk"))
     return out.withColumn("rate", F.col("increase") * 1000 / width_ms).drop("_chunk", "_step", "_total")
 
 
