@@ -117,15 +117,54 @@ def traverse_multiset(relations: DataFrame, start: object, depth: int, types: li
     return steps.join(nodes, F.col("at") == F.col("entity_id")).select(F.col("to").alias("entity_id"), (F.col("depth") + 1).alias("depth"))
 
 
+#: Levels that a closure walks one by one before it looks for chains.
+SHALLOW = 6
+
+
+def _along_chains(start: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """start (entity_id, distinct) and all that chains lead to from there, by jumps over 1, 2, 4, ... links: log2(n) rounds for n links.
+
+    jumps begins with the table (at, to) of the nodes with one next node; longer jumps are added to it when they are needed.
+    """
+    seen, size, k = start, start.count(), 0
+    while True:
+        if k == len(jumps):
+            last = jumps[-1]
+            jumps.append(cut(last.select("at", F.col("to").alias("mid")).join(last.select(F.col("at").alias("mid"), "to"), "mid").select("at", "to")))
+        old, seen = seen, cut(seen.unionByName(_next(jumps[k], seen)).distinct())
+        if old is not start:
+            lineage.drop(old)
+        before, size = size, seen.count()
+        if size == before:  # what single links reach lies within 2 ** k of them, so nothing is further
+            return seen
+        k += 1
+
+
 def closure(relations: DataFrame, start: object, relation_type: str, transitive: bool) -> DataFrame:
-    """Nodes reachable by one step or more (the start only on a cycle); direct neighbours for a relation that isn't transitive."""
-    steps = _steps(relations, [relation_type], "outgoing")
-    seen = cut(steps.where(F.col("at") == F.lit(start)).select(F.col("to").alias("entity_id")).distinct())
-    frontier = seen
-    while transitive and not frontier.isEmpty():
+    """Nodes reachable by one step or more (the start only on a cycle); direct neighbours for a relation that isn't transitive.
+
+    The first levels are walked one by one. Deeper ones take a round for each branching on the way: chains of nodes with one next node
+    each, and cycles of such nodes, are passed by doubled jumps.
+    """
+    steps = _steps(relations, [relation_type], "outgoing").where("at is not null and to is not null")
+    seen = frontier = cut(steps.where(F.col("at") == F.lit(start)).select(F.col("to").alias("entity_id")).distinct())
+    for _ in range(SHALLOW):
+        if not transitive or frontier.isEmpty():
+            return seen
         frontier = cut(_next(steps, frontier).join(seen, "entity_id", "left_anti"))
         seen = cut(seen.unionByName(frontier))
-    return seen
+    ends = steps.groupBy("at").agg(F.min("to").alias("to"), F.max("to").alias("last"))
+    jumps = [cut(ends.where("to = last").select("at", "to"))]
+    forks = cut(steps.join(jumps[0].select("at"), "at", "left_anti").distinct())
+    seen = frontier = _along_chains(seen, jumps)
+    while True:
+        new = cut(_next(forks, frontier).join(seen, "entity_id", "left_anti"))
+        if new.isEmpty():
+            lineage.drop(forks, *jumps)
+            return seen
+        frontier = cut(_along_chains(new, jumps).join(seen, "entity_id", "left_anti"))
+        old, seen = seen, cut(seen.unionByName(frontier))
+        lineage.drop(old)
 
 
 def degree_summary(relations: DataFrame) -> DataFrame:
