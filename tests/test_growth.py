@@ -1,6 +1,11 @@
 """Operators whose work or memory once grew faster than their input."""
 
-from ontoloom.operators import graph
+import tracemalloc
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ontoloom.operators import clusters, graph
 
 
 def test_closure_passes_chains_by_doubled_jumps(spark, monkeypatch):
@@ -15,3 +20,24 @@ def test_closure_passes_chains_by_doubled_jumps(spark, monkeypatch):
     assert sorted(r[0] for r in graph.closure(rows, 1050, "t", True).collect()) == list(range(1000, 1101))
     assert [r[0] for r in graph.closure(rows, 0, "t", False).collect()] == [1]
     assert graph.closure(rows, 300, "t", True).count() == 0
+
+
+def test_clusters_compare_each_pair_once_where_buckets_would_not_help(spark):
+    x = np.random.default_rng(3).standard_normal((200, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(enumerate(((unit @ unit.T >= 0.45).sum(axis=1) - 1).tolist()))
+    for tile in (clusters.TILE, 40):
+        got = clusters.similar_edges(rows, 0.45, bits=4, tables=80, tile=tile).groupBy("a").agg(F.sum("links")).collect()
+        assert dict(map(tuple, got)) == {k: n for k, n in want.items() if n}  # pairs met in several buckets before
+
+
+def test_a_tile_of_similar_rows_holds_no_list_of_pairs():
+    x = np.full((6000, 8), 8**-0.5) + np.random.default_rng(5).standard_normal((6000, 8)) * 1e-4
+    x = np.concatenate([x, -x[:10]])
+    tracemalloc.start()
+    root, met = clusters._stars(x / np.linalg.norm(x, axis=1, keepdims=True), None, 0.98)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6  # 36 million pairs of two places before
+    assert met.tolist() == [5999] * 6000 + [9] * 10 and root.tolist() == [0] * 6000 + [6000] * 10
