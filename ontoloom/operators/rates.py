@@ -17,14 +17,19 @@ def counter_rates(points: DataFrame, width_ms: int) -> DataFrame:
     """
     own = F.floor(F.col("timestamp") / width_ms)
     spread = points.where("value IS NOT NULL").withColumn("_chunk", F.explode(F.array(own, own + 1)))
-    before = F.lag("value").over(Window.partitionBy("name", "_chunk").orderBy("timestamp", "seq"))
+    forward = Window.partitionBy("name", "_chunk").orderBy("timestamp", "seq")
+    before = F.lag("value").over(forward)
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    near = Window.partitionBy("name", "_chunk").orderBy("timestamp").rangeBetween(-width_ms + 1, Window.currentRow)
-    # A window's first step leads into it from outside. Points of one time share a window, so each leaves out the steps after its own.
-    stepped = spread.withColumn("_step", step).withColumn("_total", F.sum("_step").over(Window.partitionBy("name", "_chunk").orderBy("timestamp", "seq")))
-    first = F.min(F.struct("timestamp", "seq", "_total"))
-    out = stepped.withColumn("increase", F.greatest(F.lit(0.0), F.col("_total") - first.over(near)["_total"])).where(own == F.col("_chunk"))
-    return out.withColumn("rate", F.col("increase") * 1000 / width_ms).drop("_chunk", "_step", "_total")
+    stepped = spread.withColumn("_step", step).withColumn("_total", F.sum("_step").over(forward)).drop("_step")
+    # A window's first step leads into it from outside, so the total at its first point is taken off. Each own point asks for that total by a
+    # second row, at the first time of its window; read backwards, the last total before the asking row is it. No window is gone through again.
+    entry = F.struct(F.col("timestamp").alias("_at"), F.lit(0).alias("_asks"), F.col("_total").alias("_given"))
+    asking = F.struct((F.col("timestamp") - width_ms + 1).alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("_given"))
+    both = stepped.withColumn("_row", F.explode(F.when(own == F.col("_chunk"), F.array(entry, asking)).otherwise(F.array(entry)))).select("*", "_row.*").drop("_row")
+    backward = Window.partitionBy("name", "_chunk").orderBy(F.desc("_at"), "_asks", F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_first", F.last("_given", ignorenulls=True).over(backward)).where("_asks = 1")
+    out = out.withColumn("increase", F.greatest(F.lit(0.0), F.col("_total") - F.col("_first")))
+    return out.withColumn("rate", F.col("increase") * 1000 / width_ms).drop("_chunk", "_total", "_at", "_asks", "_given", "_first")
 
 
 def summed_rates(points: DataFrame, width_ms: int, step_ms: int) -> DataFrame:
