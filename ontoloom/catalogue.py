@@ -375,9 +375,8 @@ def store_delete_anti(spark, d):
 def relation_endpoints(spark, d):
     ids = views.table(spark, d, "orders").where("o_totalprice > 100000").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("entity_id"))
     ids = ids.unionByName(views.table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("entity_id")))
-    lines = views.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.concat(F.lit("o"), F.col("l_orderkey")).alias("source_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target_id"))
-    ok, bad = store.check_endpoints(lines, ids)
-    return ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False))).select("l_orderkey", "l_partkey", "l_linenumber", "accepted")
+    lines = views.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return store.with_accepted(lines, ids, F.concat(F.lit("o"), F.col("l_orderkey")), F.concat(F.lit("p"), F.col("l_partkey")))
 
 
 @query("store_merge_edges", "SELECT DISTINCT user_id, event_type FROM events")

@@ -20,12 +20,21 @@ def delete(rows: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     return rows.join(tombstones.select(key), key, "left_anti")
 
 
+def with_accepted(relations: DataFrame, entities: DataFrame, source: Column | None = None, target: Column | None = None) -> DataFrame:
+    """relations with `accepted`: whether both ends exist. source and target are the ends' ids where they aren't the columns source_id and target_id."""
+    ids = entities.where("entity_id is not null").select("entity_id").distinct()
+    out = relations
+    for end, column in (("source", source), ("target", target)):
+        known = ids.select(F.col("entity_id").alias(f"_{end}"), F.lit(True).alias(f"_has_{end}"))
+        column = F.col(f"{end}_id") if column is None else column
+        out = out.join(known, column == F.col(f"_{end}"), "left").drop(f"_{end}")
+    return out.withColumn("accepted", F.coalesce(F.col("_has_source") & F.col("_has_target"), F.lit(False))).drop("_has_source", "_has_target")
+
+
 def check_endpoints(relations: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): both ends of an accepted relation exist."""
-    source, target = (entities.select(F.col("entity_id").alias(c)) for c in ("source_id", "target_id"))
-    started = relations.join(source, "source_id", "left_semi")
-    rejected = relations.join(source, "source_id", "left_anti").unionByName(started.join(target, "target_id", "left_anti"))
-    return started.join(target, "target_id", "left_semi"), rejected
+    """(accepted, rejected): both ends of an accepted relation exist. with_accepted gives both in one pass."""
+    rows = with_accepted(relations, entities)
+    return rows.where("accepted").drop("accepted"), rows.where("not accepted").drop("accepted")
 
 
 def insert_new(rows: DataFrame, existing: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
