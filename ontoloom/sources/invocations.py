@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +11,15 @@ from ontoloom.functions.text import mentions_error
 PREVIEW = 200
 
 
-def _messages(records: DataFrame) -> DataFrame:
-    """(request_id, timestamp, m, role, c, content): the parts of input messages with their places."""
-    rows = records.select(F.col("requestId").alias("request_id"), "timestamp", F.posexplode("input.inputBodyJson.messages").alias("m", "message"))
-    return rows.select("request_id", "timestamp", "m", F.col("message.role").alias("role"), F.posexplode("message.content").alias("c", "content"))
+def _with_parts(records: DataFrame, *more: str | Column) -> DataFrame:
+    """(request_id, timestamp, answered, asked, answers, ...): one row per record, with the parts of users' messages (m, c, content) and of the output (c, role, content).
+
+    All rows that a record gives are made from this one row, so a record is read and parsed once.
+    """
+    said = F.col("output.outputBodyJson.output.message")
+    asked = F.flatten(F.transform(F.coalesce("input.inputBodyJson.messages", F.array()), lambda m, i: F.transform(F.when(m["role"] == "user", F.coalesce(m["content"], F.array())).otherwise(F.array()), lambda c, j: F.struct(i.alias("m"), j.alias("c"), c.alias("content")))))
+    answers = F.transform(F.coalesce(said["content"], F.array()), lambda c, j: F.struct(j.alias("c"), said["role"].alias("role"), c.alias("content")))
+    return records.select(F.col("requestId").alias("request_id"), "timestamp", F.col("output").isNotNull().alias("answered"), asked.alias("asked"), answers.alias("answers"), *more)
 
 
 def _answers(records: DataFrame) -> DataFrame:
@@ -25,8 +28,9 @@ def _answers(records: DataFrame) -> DataFrame:
     return records.select(F.col("requestId").alias("request_id"), "timestamp", F.col(f"{message}.role").alias("role"), F.posexplode(f"{message}.content").alias("c", "content"))
 
 
-def _result_text() -> Column:
-    return F.array_join("content.toolResult.content.text", " ")
+def _text_of(content: Column) -> Column:
+    """The joined texts of a part's tool result."""
+    return F.array_join(content["toolResult"]["content"]["text"], " ")
 
 
 def tool_uses(records: DataFrame) -> DataFrame:
@@ -50,26 +54,33 @@ def interaction_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     -provides_context_to-> Request, ToolResult -contains-> Error for results that mention an error. A result is returned by the last call
     (by time, request and place) with its tool_use_id, wherever it stands.
     """
-    records = records.where(~F.col("errorCode").eqNullSafe("ThrottlingException"))
-    name = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *[F.col(p).cast("string") for p in parts])
-    parts, answers = _messages(records).where("role = 'user'"), _answers(records)
-    requests = records.select(F.col("requestId").alias("request_id"), F.col("output").isNotNull().alias("answered")).withColumn("request", name("request", "request_id")).withColumn("response", name("response", "request_id"))
-    queries = parts.where("content.text is not null").select("request_id", name("query", "request_id", "m", "c").alias("id"))
-    results = parts.where("content.toolResult is not null").select("request_id", name("result", "request_id", "m", "c").alias("id"), F.col("content.toolResult.toolUseId").alias("tool_use_id"), mentions_error(_result_text()).alias("failed"))
-    texts = answers.where("content.text is not null").select("request_id", name("answer", "request_id", "c").alias("id"))
-    calls = answers.where("content.toolUse is not null").select("request_id", "timestamp", "c", name("call", "request_id", "c").alias("id"), F.col("content.toolUse.toolUseId").alias("tool_use_id"))
-    last = calls.groupBy("tool_use_id").agg(F.max_by("id", F.struct("timestamp", "request_id", "c")).alias("call"))
-    answered, failed = requests.where("answered"), results.where("failed")
-    error = F.concat(F.lit("error:"), F.col("id"))
-    node = lambda rows, kind, c="id": rows.select((F.col(c) if isinstance(c, str) else c).alias("entity_id"), F.lit(kind).alias("entity_type"))
-    edge = lambda rows, kind, a, b: rows.select(F.lit(kind).alias("relation_type"), a.alias("source_id"), b.alias("target_id"))
-    of = lambda kind: name(kind, "request_id")
-    nodes = [node(requests, "Request", "request"), node(answered, "Response", "response"), node(queries, "UserQuery"), node(results, "ToolResult"), node(texts, "AssistantResponse"), node(calls, "ToolCall"), node(failed, "Error", error)]
+    records = _with_parts(records.where(~F.col("errorCode").eqNullSafe("ThrottlingException")))
+    name = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts])
+    own = F.col("request_id")
+    request, response = name("request", own), name("response", own)
+    query, result = (lambda p, kind=kind: name(kind, own, p["m"], p["c"]) for kind in ("query", "result"))
+    answer, call = (lambda p, kind=kind: name(kind, own, p["c"]) for kind in ("answer", "call"))
+    error = lambda p: F.concat(F.lit("error:"), result(p))
+    has = lambda parts, what: F.filter(F.col(parts), lambda p: p["content"][what].isNotNull())
+    queries, results, texts, calls = has("asked", "text"), has("asked", "toolResult"), has("answers", "text"), has("answers", "toolUse")
+    failed = F.filter(results, lambda p: mentions_error(_text_of(p["content"])))
+    if_answered = lambda *rows: F.when(F.col("answered"), F.array(*rows)).otherwise(F.array())
+    node = lambda kind, c: F.struct(c.alias("entity_id"), F.lit(kind).alias("entity_type"))
+    edge = lambda kind, a, b: F.struct(F.lit(kind).alias("relation_type"), a.alias("source_id"), b.alias("target_id"))
+    nodes = [
+        F.array(node("Request", request)), if_answered(node("Response", response)), F.transform(queries, lambda p: node("UserQuery", query(p))), F.transform(results, lambda p: node("ToolResult", result(p))),
+        F.transform(texts, lambda p: node("AssistantResponse", answer(p))), F.transform(calls, lambda p: node("ToolCall", call(p))), F.transform(failed, lambda p: node("Error", error(p))),
+    ]
     edges = [
-        edge(queries, "triggers", F.col("id"), of("request")), edge(answered, "produces", F.col("request"), F.col("response")), edge(texts, "contains", of("response"), F.col("id")), edge(calls, "invokes", of("response"), F.col("id")),
-        edge(results, "provides_context_to", F.col("id"), of("request")), edge(results.join(last, "tool_use_id"), "returns", F.col("call"), F.col("id")), edge(failed, "contains", F.col("id"), error),
+        F.transform(queries, lambda p: edge("triggers", query(p), request)), if_answered(edge("produces", request, response)), F.transform(texts, lambda p: edge("contains", response, answer(p))),
+        F.transform(calls, lambda p: edge("invokes", response, call(p))), F.transform(results, lambda p: edge("provides_context_to", result(p), request)), F.transform(failed, lambda p: edge("contains", result(p), error(p))),
     ]
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+    one = lambda rows: records.select(F.explode(rows).alias("x")).select("x.*")
+    of = records.select("timestamp", "request_id", F.explode(F.transform(calls, lambda p: F.struct(p["c"].alias("c"), call(p).alias("id"), p["content"]["toolUse"]["toolUseId"].alias("tool_use_id")))).alias("x")).select("timestamp", "request_id", "x.*")
+    last = of.groupBy("tool_use_id").agg(F.max_by("id", F.struct("timestamp", "request_id", "c")).alias("call"))
+    given = one(F.transform(results, lambda p: F.struct(result(p).alias("id"), p["content"]["toolResult"]["toolUseId"].alias("tool_use_id"))))
+    returned = given.join(last, "tool_use_id").select(F.lit("returns").alias("relation_type"), F.col("call").alias("source_id"), F.col("id").alias("target_id"))
+    return one(F.concat(*nodes)), one(F.concat(*edges)).unionByName(returned)
 
 
 def flat_logs(records: DataFrame) -> DataFrame:
@@ -78,22 +89,21 @@ def flat_logs(records: DataFrame) -> DataFrame:
     A throttled request gives its warning only. Results that mention an error have level ERROR, all else INFO. System prompts are cut to PREVIEW characters.
     """
     throttled = F.col("errorCode").eqNullSafe("ThrottlingException")
-    row = lambda rows, kind, message, level=F.lit("INFO"): rows.select("request_id", F.lit(kind).alias("message_type"), level.alias("level"), message.alias("message"))
-    stopped = records.where(throttled).select(F.col("requestId").alias("request_id"), "region")
-    records = records.where(~throttled)
-    users, answers = _messages(records).where("role = 'user'"), _answers(records).where("role = 'assistant'")
-    asked = records.select(F.col("requestId").alias("request_id"), "input.inputBodyJson.*")
+    rows = _with_parts(records.select("*", throttled.alias("throttled")), "region", "throttled", F.col("input.inputBodyJson.system").alias("system"), F.col("input.inputBodyJson.toolConfig").alias("toolConfig"))
+    row = lambda kind, message, level=F.lit("INFO"): F.struct(F.lit(kind).alias("message_type"), level.alias("level"), message.alias("message"))
+    each = lambda parts, what, made: F.transform(F.filter(parts, lambda p: p["content"][what].isNotNull()), lambda p: made(p["content"]))
+    users, answers = F.col("asked"), F.filter("answers", lambda p: p["role"] == "assistant")
     names = F.transform("toolConfig.tools", lambda t: t["toolSpec"]["name"])
+    stopped = row("throttled", F.concat(F.lit("Request throttled: "), "request_id", F.lit(" in region "), "region"), F.lit("WARNING"))
     parts = [
-        row(stopped, "throttled", F.concat(F.lit("Request throttled: "), "request_id", F.lit(" in region "), "region"), F.lit("WARNING")),
-        row(users.where("content.text is not null"), "user_query", F.concat(F.lit("User query: "), "content.text")),
-        row(users.where("content.toolResult is not null"), "tool_result", F.concat(F.lit("Tool result ("), "content.toolResult.toolUseId", F.lit("): "), _result_text()), F.when(mentions_error(_result_text()), "ERROR").otherwise("INFO")),
-        row(asked.select("request_id", F.explode("system").alias("s")), "system_prompt", F.concat(F.lit("System prompt: "), F.substring("s.text", 1, PREVIEW))),
-        row(asked.where("toolConfig is not null"), "tool_config", F.concat(F.lit("Available tools: "), F.array_join(names, ", "))),
-        row(answers.where("content.text is not null"), "assistant_response", F.concat(F.lit("Assistant response: "), "content.text")),
-        row(answers.where("content.toolUse is not null"), "tool_call", F.concat(F.lit("Tool call: "), "content.toolUse.name", F.lit(" ("), "content.toolUse.toolUseId", F.lit(")"))),
+        each(users, "text", lambda c: row("user_query", F.concat(F.lit("User query: "), c["text"]))),
+        each(users, "toolResult", lambda c: row("tool_result", F.concat(F.lit("Tool result ("), c["toolResult"]["toolUseId"], F.lit("): "), _text_of(c)), F.when(mentions_error(_text_of(c)), "ERROR").otherwise("INFO"))),
+        F.transform(F.coalesce("system", F.array()), lambda s: row("system_prompt", F.concat(F.lit("System prompt: "), F.substring(s["text"], 1, PREVIEW)))),
+        F.when(F.col("toolConfig").isNotNull(), F.array(row("tool_config", F.concat(F.lit("Available tools: "), F.array_join(names, ", "))))).otherwise(F.array()),
+        each(answers, "text", lambda c: row("assistant_response", F.concat(F.lit("Assistant response: "), c["text"]))),
+        each(answers, "toolUse", lambda c: row("tool_call", F.concat(F.lit("Tool call: "), c["toolUse"]["name"], F.lit(" ("), c["toolUse"]["toolUseId"], F.lit(")")))),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return rows.select("request_id", F.explode(F.when(F.col("throttled"), F.array(stopped)).otherwise(F.concat(*parts))).alias("x")).select("request_id", "x.*")
 
 
 def analysis(events: DataFrame) -> DataFrame:
