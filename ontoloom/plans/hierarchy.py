@@ -79,11 +79,30 @@ def expansions(closed: DataFrame, relations: DataFrame) -> DataFrame:
     return defined.join(types, "type").join(counts, "type", "left").select("type", "type_count", F.coalesce("relation_count", F.lit(0)).alias("relation_count"))
 
 
+#: Types that a block of `compatible` has on one side: a task gets blocks, and makes BLOCK * BLOCK rows of two.
+BLOCK = 2048
+
+
 def compatible(closed: DataFrame, relations: DataFrame) -> DataFrame:
-    """(source_type, target_type, relation_type) for all that the relations' domains and ranges allow."""
-    left = closed.select(F.col("sub").alias("source_type"), F.col("super").alias("domain"))
-    right = closed.select(F.col("sub").alias("target_type"), F.col("super").alias("range"))
-    return relations.join(left, "domain").join(right, "range").select("source_type", "target_type", F.col("id").alias("relation_type"))
+    """(source_type, target_type, relation_type) for all that the relations' domains and ranges allow.
+
+    The result has as many rows as the subtypes of a domain times those of its range. Both sides are packed in blocks of BLOCK types, and pairs
+    of blocks are dealt out, so that a relation with many pairs is made by many tasks.
+    """
+    wanted = relations.where("domain is not null and range is not null").select("domain", "range", "id")
+    ends = wanted.select(F.col("domain").alias("super")).unionByName(wanted.select(F.col("range").alias("super"))).distinct()
+    below = cut(closed.join(ends, "super", "left_semi").select("super", "sub"))
+    sizes = below.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    spread = below.join(sizes, "super").withColumn("block", F.pmod(F.xxhash64("sub"), F.col("blocks")))
+    blocks = cut(spread.groupBy("super", "block").agg(F.collect_list("sub").alias("subs")))
+    side = lambda end, n: blocks.select(F.col("super").alias(end), F.col("block").alias(f"_{n}"), F.col("subs").alias(n))
+    left, right = side("domain", "sources"), side("range", "targets")
+    number = blocks.select("super", "block")
+    plan = wanted.join(number.select(F.col("super").alias("domain"), F.col("block").alias("_sources")), "domain").join(number.select(F.col("super").alias("range"), F.col("block").alias("_targets")), "range")
+    pairs = plan.join(left, ["domain", "_sources"]).join(right, ["range", "_targets"])
+    many = max(1, plan.count())
+    dealt = pairs.select("id", "sources", "targets").repartition(min(many, 2000))
+    return dealt.select("id", "targets", F.explode("sources").alias("source_type")).select("source_type", F.explode("targets").alias("target_type"), F.col("id").alias("relation_type"))
 
 
 def functional_repeats(facts: DataFrame, functional: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from ontoloom.operators import clusters, graph
+from ontoloom import catalogue_more
+from ontoloom.operators import clusters, graph, rates, store
+from ontoloom.plans import hierarchy
+from ontoloom.sources import invocations
 
 
 def test_closure_passes_chains_by_doubled_jumps(spark, monkeypatch):
@@ -41,3 +44,43 @@ def test_a_tile_of_similar_rows_holds_no_list_of_pairs():
     tracemalloc.stop()
     assert peak < 400e6  # 36 million pairs of two places before
     assert met.tolist() == [5999] * 6000 + [9] * 10 and root.tolist() == [0] * 6000 + [6000] * 10
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counter_rates_go_through_no_window_again(spark):
+    rows = spark.createDataFrame([("m", k, k // 3 * 700, float(k * 7 % 11)) for k in range(60)] + [("m", 99, 5, None)], "name string, seq long, timestamp long, value double")
+    got = {r.seq: r.increase for r in rates.counter_rates(rows, 2000).collect()}
+    values = [float(k * 7 % 11) for k in range(60)]
+    for k in range(60):
+        first = next(j for j in range(60) if j // 3 * 700 > k // 3 * 700 - 2000)
+        assert got[k] == sum(v if v < u else v - u for u, v in zip(values[first:k], values[first + 1 : k + 1])) and len(got) == 60
+    assert "RangeFrame, -" not in _plan(rates.counter_rates(rows, 2000))  # a frame of that kind is gone through for each row
+
+
+def test_endpoints_are_checked_in_one_pass(spark):
+    lines = spark.createDataFrame([(1, "a", "b"), (2, "a", "x"), (3, None, "b"), (4, "a", "b")], "n long, source_id string, target_id string")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "entity_id string")
+    assert sorted((r.n, r.accepted) for r in store.with_accepted(lines, ids).collect()) == [(1, True), (2, False), (3, False), (4, True)]
+    ok, bad = store.check_endpoints(lines, ids)
+    assert sorted(r.n for r in ok.collect()) == [1, 4] and sorted(r.n for r in bad.collect()) == [2, 3]
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    spark.range(7).selectExpr("id AS event_id", "timestamp_micros(id) AS ts", "id AS user_id", "'view' AS event_type", "1.5D AS value", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    records = catalogue_more.invocation_records(spark, str(tmp_path))
+    nodes, edges = invocations.interaction_graph(records)
+    assert [_plan(x).count("Relation [") for x in (nodes, edges, invocations.flat_logs(records))] == [1, 3, 1]  # 7, 8 and 7 before
+
+
+def test_compatible_deals_blocks_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "BLOCK", 8)
+    types = spark.createDataFrame([("a", None), ("b", None)] + [(f"a{k}", "a") for k in range(60)] + [(f"b{k}", "b") for k in range(50)], "id string, parent string")
+    links = spark.createDataFrame([("r", "a", "b"), ("s", "b", "b"), ("u", "none", "a"), ("v", None, "a")], "id string, domain string, range string")
+    got = hierarchy.compatible(hierarchy.closure(types), links)
+    assert sorted(map(tuple, got.groupBy("relation_type").count().collect())) == [("r", 61 * 51), ("s", 51 * 51)]
+    assert got.distinct().count() == 61 * 51 + 51 * 51
+    held = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
+    assert held < 61 * 51 / 2  # all pairs of a relation were made by one task before
