@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ontoloom import catalogue_more
-from ontoloom.operators import clusters, graph, rates, store
+from ontoloom.operators import clusters, graph, rates, store, vector
 from ontoloom.plans import hierarchy
 from ontoloom.sources import invocations
 
@@ -84,3 +84,17 @@ def test_compatible_deals_blocks_of_pairs(spark, monkeypatch):
     assert got.distinct().count() == 61 * 51 + 51 * 51
     held = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
     assert held < 61 * 51 / 2  # all pairs of a relation were made by one task before
+
+
+def test_top_k_scores_few_queries_once_the_best_are_known(spark):
+    x = np.random.default_rng(8).standard_normal((4000, 6))
+    x[1500:1600] = x[:100]  # equal rows are ordered by id
+    rows = spark.createDataFrame([(k % 3, k, v.tolist()) for k, v in enumerate(x)], "collection int, entity_id long, embedding array<double>").coalesce(1)
+    asked = rows.where("entity_id < 40").select(F.col("entity_id").alias("query_id"), "embedding")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for per, ways in ((False, [None]), (True, [0, 1, 2])):
+        got = {(r.query_id, r.collection if per else None, r["rank"]): r.entity_id for r in vector.top_k_of_queries(rows, asked, 7, per).collect()}
+        for q in range(40):
+            for c in ways:
+                best = sorted((j for j in range(4000) if c is None or j % 3 == c), key=lambda j: (-round(float(unit[q] @ unit[j]), 12), j))[:7]
+                assert [got[q, c, n + 1] for n in range(7)] == best
