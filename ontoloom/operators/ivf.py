@@ -155,10 +155,10 @@ class IvfIndex:
             asked /= np.linalg.norm(asked, axis=1, keepdims=True)
             if asked.shape[1] != centroids.shape[1]:
                 raise ValueError("dimension mismatch")
-            wanted: dict[int, list[int]] = {}
-            for q, lists in enumerate(self._nearest_lists(asked)[:, :probes].tolist()):
-                for c in lists:
-                    wanted.setdefault(c, []).append(q)
+            near = self._nearest_lists(asked)[:, :probes]
+            order = np.argsort(near, axis=None, kind="stable")  # by list, then by query
+            found, starts = np.unique(near.ravel()[order], return_index=True)
+            wanted = dict(zip(found.tolist(), np.split((order // near.shape[1]).astype(np.int32), starts[1:])))
             shared = self.spark.sparkContext.broadcast((names, asked, wanted))
 
             def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
