@@ -168,7 +168,15 @@ def closure(relations: DataFrame, start: object, relation_type: str, transitive:
 
 
 def degree_summary(relations: DataFrame) -> DataFrame:
-    return relations.groupBy("relation_type").agg(F.count("*").alias("n_edges"), F.countDistinct("source_id").alias("n_sources"), F.countDistinct("target_id").alias("n_targets"))
+    """(relation_type, n_edges, n_sources, n_targets): edges with repeats, distinct ends without nulls.
+
+    One pass with a row for each end. A task joins its equal ends before they are moved, so that a frequent end comes once from each task, but
+    it holds all its distinct ends in memory: edges that come in large parts should be dealt over more tasks first.
+    """
+    ends = F.array(F.struct(F.lit(True).alias("out"), F.col("source_id").alias("id")), F.struct(F.lit(False).alias("out"), F.col("target_id").alias("id")))
+    found = relations.select("relation_type", F.inline(ends)).groupBy("relation_type", "out", "id").agg(F.count("*").alias("n"))
+    ids = lambda out: F.count(F.when(F.col("out") == out, F.col("id")))
+    return found.groupBy("relation_type").agg(F.sum(F.when(F.col("out"), F.col("n"))).alias("n_edges"), ids(True).alias("n_sources"), ids(False).alias("n_targets"))
 
 
 def ui_graph(agents: DataFrame, tasks: DataFrame, thoughts: DataFrame, relations: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,9 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from ontoloom import catalogue_more
+from ontoloom import catalogue, catalogue_more
 from ontoloom.operators import clusters, graph, rates, store, vector
-from ontoloom.plans import hierarchy
+from ontoloom.plans import hierarchy, views
 from ontoloom.sources import invocations
 
 
@@ -98,3 +98,30 @@ def test_top_k_scores_few_queries_once_the_best_are_known(spark):
             for c in ways:
                 best = sorted((j for j in range(4000) if c is None or j % 3 == c), key=lambda j: (-round(float(unit[q] @ unit[j]), 12), j))[:7]
                 assert [got[q, c, n + 1] for n in range(7)] == best
+
+
+def test_relation_counts_deal_large_tables_over_tasks_that_grow_with_them(spark, tmp_path, monkeypatch):
+    tables = {
+        "nation": spark.range(5).selectExpr("id AS n_nationkey", "id % 2 AS n_regionkey"),
+        "customer": spark.range(40).selectExpr("if(id = 7, null, id) AS c_custkey", "id % 5 AS c_nationkey"),
+        "supplier": spark.range(9).selectExpr("id AS s_suppkey", "if(id < 3, null, 1L) AS s_nationkey"),
+        "orders": spark.range(1000).selectExpr("id AS o_orderkey", "if(id < 600, 1L, id % 30) AS o_custkey"),
+        "lineitem": spark.range(9000).selectExpr("id % 3000 div 3 AS l_orderkey", "id % 6 AS l_partkey"),  # each pair three times
+    }
+    for name, rows in tables.items():
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(views, "SHARE", 200)
+    counts = catalogue.graph_relation_counts(spark, str(tmp_path))
+    got = {r.relation_type: tuple(r)[1:] for r in counts.collect()}
+    assert got == {"IN_REGION": (5, 5, 2), "IN_NATION": (49, 48, 5), "PLACED": (1000, 30, 1000), "CONTAINS": (3000, 1000, 6)}
+    assert _plan(counts).count("RepartitionByExpression") == 2 and "Expand" not in _plan(counts)  # no dealing, three rows an edge before
+    dealt = views.relations(spark, str(tmp_path), 200)
+    assert dealt.groupBy("relation_type", F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400  # all orders were in one task before
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, views.relations(spark, str(tmp_path)).collect()))
+
+
+def test_degrees_count_edges_with_repeats_and_ends_without_nulls(spark):
+    rows = [("a", "x", "y"), ("a", "x", "y"), ("a", None, "x"), ("b", "y", None), (None, "x", "x")]
+    rows = spark.createDataFrame(rows, "relation_type string, source_id string, target_id string")
+    assert {tuple(r) for r in graph.degree_summary(rows).collect()} == {("a", 3, 1, 2), ("b", 1, 1, 0), (None, 1, 1, 1)}
+    assert graph.degree_summary(rows.limit(0)).count() == 0
