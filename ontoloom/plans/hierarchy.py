@@ -79,30 +79,39 @@ def expansions(closed: DataFrame, relations: DataFrame) -> DataFrame:
     return defined.join(types, "type").join(counts, "type", "left").select("type", "type_count", F.coalesce("relation_count", F.lit(0)).alias("relation_count"))
 
 
-#: Types that a block of `compatible` has on one side: a task gets blocks, and makes BLOCK * BLOCK rows of two.
-BLOCK = 2048
+#: Types on one side of a block of `compatible`, and of a slice of a block: a task gets pairs of blocks, and makes the rows of two slices at once.
+BLOCK, SLICE = 2048, 64
 
 
-def compatible(closed: DataFrame, relations: DataFrame) -> DataFrame:
-    """(source_type, target_type, relation_type) for all that the relations' domains and ranges allow.
-
-    The result has as many rows as the subtypes of a domain times those of its range. Both sides are packed in blocks of BLOCK types, and pairs
-    of blocks are dealt out, so that a relation with many pairs is made by many tasks.
-    """
+def _meetings(closed: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, sources, targets): for each relation and pair of slices below its domain and its range, the types in both; pairs of blocks are dealt out."""
     wanted = relations.where("domain is not null and range is not null").select("domain", "range", "id")
     ends = wanted.select(F.col("domain").alias("super")).unionByName(wanted.select(F.col("range").alias("super"))).distinct()
     below = cut(closed.join(ends, "super", "left_semi").select("super", "sub"))
     sizes = below.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    spread = below.join(sizes, "super").withColumn("block", F.pmod(F.xxhash64("sub"), F.col("blocks")))
-    blocks = cut(spread.groupBy("super", "block").agg(F.collect_list("sub").alias("subs")))
-    side = lambda end, n: blocks.select(F.col("super").alias(end), F.col("block").alias(f"_{n}"), F.col("subs").alias(n))
-    left, right = side("domain", "sources"), side("range", "targets")
-    number = blocks.select("super", "block")
-    plan = wanted.join(number.select(F.col("super").alias("domain"), F.col("block").alias("_sources")), "domain").join(number.select(F.col("super").alias("range"), F.col("block").alias("_targets")), "range")
-    pairs = plan.join(left, ["domain", "_sources"]).join(right, ["range", "_targets"])
-    many = max(1, plan.count())
-    dealt = pairs.select("id", "sources", "targets").repartition(min(many, 2000))
-    return dealt.select("id", "targets", F.explode("sources").alias("source_type")).select("source_type", F.explode("targets").alias("target_type"), F.col("id").alias("relation_type"))
+    placed = below.join(sizes, "super").select("super", "sub", F.pmod(F.xxhash64("sub"), F.col("blocks")).alias("block"), F.pmod(F.hash("sub"), F.lit(-(-BLOCK // SLICE))).alias("slice"))
+    slices = cut(placed.groupBy("super", "block", "slice").agg(F.collect_list("sub").alias("subs")))
+    blocks = slices.select("super", "block").distinct()
+    of = lambda rows, end: rows.select(F.col("super").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in rows.columns if c != "super"))
+    plan = cut(wanted.join(of(blocks, "domain"), "domain").join(of(blocks, "range"), "range").withColumn("pair", F.monotonically_increasing_id()))
+    tasks = max(1, min(plan.count(), 2000))
+
+    def side(end: str, name: str) -> DataFrame:
+        own = plan.select("pair", "id", end, f"{end}_block").join(of(slices, end), [end, f"{end}_block"])
+        return own.select("pair", *["id"] * (end == "domain"), F.col(f"{end}_subs").alias(name)).repartition(tasks, "pair")
+
+    # A merge join hands on two slices at a time. All rows that an explode makes of one row are held at once.
+    return side("domain", "sources").join(side("range", "targets").hint("merge"), "pair").select("id", "sources", "targets")
+
+
+def compatible(closed: DataFrame, relations: DataFrame) -> DataFrame:
+    """(source_type, target_type, relation_type) for all that the relations' domains and ranges allow.
+
+    The result has as many rows as the subtypes of a domain times those of its range. Both sides are dealt in blocks of BLOCK types, so that a
+    relation with many pairs is made by many tasks, and meet in slices of about SLICE types, so that a task holds few pairs.
+    """
+    pairs = _meetings(closed, relations)
+    return pairs.select("id", "targets", F.explode("sources").alias("source_type")).select("source_type", F.explode("targets").alias("target_type"), F.col("id").alias("relation_type"))
 
 
 def functional_repeats(facts: DataFrame, functional: DataFrame) -> DataFrame:

@@ -86,6 +86,18 @@ def test_compatible_deals_blocks_of_pairs(spark, monkeypatch):
     assert held < 61 * 51 / 2  # all pairs of a relation were made by one task before
 
 
+def test_compatible_makes_few_pairs_of_one_row(spark):
+    types = spark.range(2101).selectExpr("concat('a', id) AS id", "if(id > 0, 'a0', null) AS parent")
+    links = spark.createDataFrame([("r", "a0", "a0"), ("r", "a0", "a7"), ("r", "a0", "a7"), (None, "a7", "a0")], "id string, domain string, range string")
+    closed = hierarchy.closure(types)
+    met = hierarchy._meetings(closed, links)
+    made = met.agg(F.max(F.size("sources") * F.size("targets")), F.sum(F.size("sources").cast("long") * F.size("targets"))).first()
+    assert made[0] < 3 * hierarchy.SLICE**2 < 100_000 and made[1] == 2101 * 2101 + 3 * 2101  # a row made a whole pair of blocks before, all held at once
+    got = hierarchy.compatible(closed, links)
+    assert got.count() == got.distinct().count() + 2 * 2101 == made[1]
+    assert "explode" in _plan(got) and "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()  # which stops between rows
+
+
 def test_top_k_scores_few_queries_once_the_best_are_known(spark):
     x = np.random.default_rng(8).standard_normal((4000, 6))
     x[1500:1600] = x[:100]  # equal rows are ordered by id
