@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ontoloom import catalogue, catalogue_more
+from ontoloom.functions import fitted
 from ontoloom.operators import clusters, graph, rates, store, vector
 from ontoloom.plans import hierarchy, views
 from ontoloom.sources import invocations
@@ -46,6 +47,53 @@ def test_a_tile_of_similar_rows_holds_no_list_of_pairs():
     assert met.tolist() == [5999] * 6000 + [9] * 10 and root.tolist() == [0] * 6000 + [6000] * 10
 
 
+def _brute_groups(x, cosine):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links, label = unit @ unit.T >= cosine, np.arange(len(x))
+    while True:
+        low = np.where(links, label[None, :], len(x)).min(axis=1)
+        if (low == label).all():
+            return label
+        label = low
+
+
+def test_a_large_group_grows_without_its_pairs(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.full((4000, 8), 8**-0.5) + rng.standard_normal((4000, 8)) * 0.02, rng.standard_normal((300, 8))])
+    x = x[rng.permutation(len(x))] * rng.uniform(0.5, 2, (len(x), 1))
+    compared, stars = [], clusters._stars
+    monkeypatch.setattr(clusters, "_stars", lambda a, b, cosine: compared.append(len(a)) or stars(a, b, cosine))
+    got = clusters._groups(x / np.linalg.norm(x, axis=1, keepdims=True), 0.98)
+    assert (got == _brute_groups(x, 0.98)).all()
+    assert sum(compared) < 400  # all 4300 rows met each other before
+
+
+def test_only_rows_outside_the_largest_group_meet_other_parts(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((5, 12))
+    x = np.concatenate([base[rng.integers(0, 2, 900)] + 0.15 * rng.standard_normal((900, 12)), base[2] + 0.1 * rng.standard_normal((200, 12)), base[3:].repeat(40, 0) + 0.4 * rng.standard_normal((80, 12)), rng.standard_normal((120, 12))])
+    x = x[rng.permutation(len(x))]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, embedding array<double>")
+    for own, tile, cosine in ((8, 64, 0.95), (64, 200, 0.85), (10_000, 200, 0.2)):  # many pivots, some, a single one
+        monkeypatch.setattr(clusters, "OWN", own)
+        edges = clusters.linked(rows, cosine, 12, len(x), tile)
+        got = {r.node: r.component for r in clusters.components(edges).collect()}
+        assert [got.get(k, k) for k in range(len(x))] == _brute_groups(x, cosine).tolist()
+
+
+def test_grams_are_those_of_a_plain_loop():
+    for text in ["", "a", "  Some  words, some WORDS \n again", "\u00e9\u00e8 " * 30]:
+        data, want = f" {' '.join(text.lower().split())} ".encode(), {}
+        for n in fitted.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = n
+                for byte in data[i : i + n]:
+                    h = (h ^ byte) * 0x100000001B3 % 2**64
+                    h ^= h >> 29
+                want[h % 1000] = want.get(h % 1000, 0) + 1
+        assert dict(zip(*(v.tolist() for v in fitted.grams(text, 1000)))) == want
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
