@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ontoloom import catalogue, catalogue_more
-from ontoloom.functions import fitted
+from ontoloom.functions import embedding, fitted
 from ontoloom.operators import clusters, graph, rates, store, vector
 from ontoloom.plans import hierarchy, views
 from ontoloom.sources import invocations
@@ -81,6 +81,18 @@ def test_only_rows_outside_the_largest_group_meet_other_parts(spark, monkeypatch
         assert [got.get(k, k) for k in range(len(x))] == _brute_groups(x, cosine).tolist()
 
 
+def test_clusters_embed_each_message_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        made.add(len(texts))
+        return np.array([[1.0, len(x)] for x in texts], np.float32).reshape(-1, 2)
+
+    rows = spark.range(40).selectExpr("id AS node", "repeat('x', int(id % 3) * 5) AS message", "id AS ts").repartition(2)
+    got = clusters.error_clusters(embedding.embed_texts(rows, embedding.Provider("sizes", 2, embed), "message"), 0.99)
+    assert [tuple(r)[:2] for r in got.collect()] == [(0, 14), (1, 26)][::-1] and made.value == 40  # 80 before
+
+
 def test_grams_are_those_of_a_plain_loop():
     for text in ["", "a", "  Some  words, some WORDS \n again", "\u00e9\u00e8 " * 30]:
         data, want = f" {' '.join(text.lower().split())} ".encode(), {}
