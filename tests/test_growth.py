@@ -135,6 +135,24 @@ def test_records_are_parsed_once(spark, tmp_path):
     assert [_plan(x).count("Relation [") for x in (nodes, edges, invocations.flat_logs(records))] == [1, 3, 1]  # 7, 8 and 7 before
 
 
+def test_figures_are_made_in_one_pass_over_the_events(spark):
+    rows = [
+        ("tool_use", None, "find", 10, 3, 7), ("tool_use", None, "find", 10, 3, 7), ("error", "E", None, 5, None, None), ("error", "", "", None, 9, 2), (None, None, None, 4, 4, None),
+        ("tokens", "numbers", "numbers", -1, 0, -3),
+    ]
+    schema = "event_type string, error_code string, tool string, input_tokens long, output_tokens long, latency_ms long"
+    events = spark.createDataFrame(rows, schema)
+    got = invocations.analysis(events)
+    want = {("event_type", "tool_use"): 2, ("event_type", "error"): 2, ("event_type", "tokens"): 1, ("error_code", "E"): 1, ("error_code", ""): 1, ("error_code", "numbers"): 1, ("tool", "find"): 2, ("tool", ""): 1, ("tool", "numbers"): 1}
+    want |= {("tokens", "input"): 23, ("tokens", "output"): 10, ("tokens", "total"): 33, ("tokens", "average_input"): 5, ("tokens", "average_output"): 2, ("latency", "average"): 3, ("latency", "min"): -3, ("latency", "max"): 7}
+    assert got.count() == len(want) and {(r.figure, r.key): r.value for r in got.collect()} == want
+    least = {(r.figure, r.key): r.value for r in invocations.analysis(events.where("event_type is null")).collect()}
+    assert least == {("tokens", "input"): 4, ("tokens", "output"): 4, ("tokens", "total"): 8, ("tokens", "average_input"): 4, ("tokens", "average_output"): 4}
+    assert invocations.analysis(spark.createDataFrame([], schema)).count() == 0
+    assert invocations.analysis(spark.createDataFrame([(None,) * 6] * 3, schema)).count() == 0
+    assert _plan(got).count("LogicalRDD") == 1  # 4 before
+
+
 def test_compatible_deals_blocks_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "BLOCK", 8)
     types = spark.createDataFrame([("a", None), ("b", None)] + [(f"a{k}", "a") for k in range(60)] + [(f"b{k}", "b") for k in range(50)], "id string, parent string")
