@@ -1,5 +1,6 @@
 """Operators whose work or memory once grew faster than their input."""
 
+import json
 import tracemalloc
 
 import numpy as np
@@ -9,7 +10,7 @@ from ontoloom import catalogue, catalogue_more
 from ontoloom.functions import embedding, fitted
 from ontoloom.operators import clusters, graph, rates, store, vector
 from ontoloom.plans import hierarchy, views
-from ontoloom.sources import invocations
+from ontoloom.sources import invocations, logs
 
 
 def test_closure_passes_chains_by_doubled_jumps(spark, monkeypatch):
@@ -153,6 +154,32 @@ def test_figures_are_made_in_one_pass_over_the_events(spark):
     assert _plan(got).count("LogicalRDD") == 1  # 4 before
 
 
+def test_throttled_records_are_left_out_without_a_second_parse(spark):
+    user = lambda *parts: {"input": {"inputBodyJson": {"messages": [{"role": "assistant", "content": [{"text": "not asked"}]}, {"role": "user", "content": [*parts]}, {"role": "user"}]}}}
+    said = lambda *parts: {"output": {"outputBodyJson": {"output": {"message": {"role": "assistant", "content": [*parts]}}}}}
+    call, result = (lambda i: {"toolUse": {"toolUseId": i, "name": "n"}}), (lambda i, *t: {"toolResult": {"toolUseId": i, "content": [{"text": x} for x in t]}})
+    lines = [
+        {"requestId": "a", "timestamp": "1", **user({"text": "q"}, result("t", "an Error")), **said({"text": "x"}, call("t"), call("t"))},
+        {"requestId": "b", "timestamp": "2", "errorCode": "ThrottlingException", **user({"text": "q"}, result("t", "ok")), **said(call("t"))},
+        {"requestId": "c", "timestamp": "0", "errorCode": "Other", **user(result("t"), result(None, "error")), **said(call(None), {"text": ""})},
+        {"requestId": None, "timestamp": None, **said()}, {"requestId": "d", "timestamp": "1", **user(result("u", "ok"))},
+        {"requestId": "d", "timestamp": "1", **user(result("u", "ok"))},
+    ]
+    texts = spark.createDataFrame([(json.dumps(x),) for x in [*lines, {}]] + [("",), ("[]",), (None,)], "t string")
+    records = texts.select(F.from_json("t", logs.INVOCATION).alias("r")).select("r.*")
+    nodes, edges = invocations.interaction_graph(records)
+    got = sorted(" ".join(map(str, x)) for x in edges.collect())
+    want = ["triggers query:a:1:0 request:a", "produces request:a response:a", "contains response:a answer:a:0", "invokes response:a call:a:1", "invokes response:a call:a:2", "provides_context_to result:a:1:1 request:a"]
+    want += ["contains result:a:1:1 error:result:a:1:1", "returns call:a:2 result:a:1:1", "returns call:a:2 result:c:1:0", "provides_context_to result:c:1:0 request:c", "provides_context_to result:c:1:1 request:c"]
+    want += ["contains result:c:1:1 error:result:c:1:1", "produces request:c response:c", "invokes response:c call:c:0", "contains response:c answer:c:1", "produces request response"] + ["provides_context_to result:d:1:0 request:d"] * 2
+    assert got == sorted(want)
+    kinds = {r.entity_type: r["count"] for r in nodes.groupBy("entity_type").count().collect()}
+    assert kinds == {"Request": 9, "Response": 3, "UserQuery": 1, "ToolResult": 5, "AssistantResponse": 2, "ToolCall": 3, "Error": 2}
+    none = [x.count() for x in invocations.interaction_graph(records.where("requestId = 'b'"))]
+    assert none == [0, 0]
+    assert [_plan(x).count("from_json(") for x in (nodes, edges)] == [1, 3]  # 2 and 6 before
+
+
 def test_compatible_deals_blocks_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "BLOCK", 8)
     types = spark.createDataFrame([("a", None), ("b", None)] + [(f"a{k}", "a") for k in range(60)] + [(f"b{k}", "b") for k in range(50)], "id string, parent string")
